@@ -27,11 +27,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+#: Spark deletes the shuffle files of a finished query when this is on.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = path or scratch(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        # a new frame, planned under this setting
+        df.select("*").write.mode("overwrite").option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

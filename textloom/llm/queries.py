@@ -8,6 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import table
 from textloom.llm.minhash import near_duplicates
+from textloom.llm.mixing import mix, taken_words
+from textloom.llm.pieces import encode_decode
+from textloom.llm.tokens import round_trip
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), keep=False)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +30,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": op3_token_files,
+    "op5_mixing": op5_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 SQL: dict[str, str] = {}
