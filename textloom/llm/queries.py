@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm.ann import nearest_neighbours
 from textloom.llm.common import table
@@ -13,6 +14,7 @@ from textloom.llm.mixing import mix, taken_words
 from textloom.llm.pieces import encode_decode
 from textloom.llm.pq import near_duplicate_vectors
 from textloom.llm.tokens import round_trip
+from textloom.llm.toxicity import fit, score
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def held_out(doc_id: str = "doc_id"):
+    """The fold whose labels are never learnt from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(~held_out()))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,6 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op3_token_files": op3_token_files,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op7_vector_near_dedup": op7_vector_near_dedup,
     "op9_sentencepiece": op9_sentencepiece,
