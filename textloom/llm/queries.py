@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from textloom.llm.ann import nearest_neighbours
 from textloom.llm.common import table
+from textloom.llm.html import extract
 from textloom.llm.minhash import near_duplicates
 from textloom.llm.mixing import mix, taken_words
 from textloom.llm.pieces import encode_decode
 from textloom.llm.pq import near_duplicate_vectors
+from textloom.llm.sharding import compacted
 from textloom.llm.tokens import round_trip
 from textloom.llm.toxicity import fit, score
 
@@ -22,6 +24,11 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compacted(table(spark, sf_dir, "documents"), "doc_id")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,10 @@ def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), keep=False)
 
@@ -55,11 +66,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_sharding": op2_sharding,
     "op3_token_files": op3_token_files,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op7_vector_near_dedup": op7_vector_near_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+}
