@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +29,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Spark deletes the shuffle files of a finished query when this is on.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the plans made and run inside; `__` stands for a dot."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and lost executors cost no recomputation."""
+    """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and lost executors cost no recomputation.
+
+    The shuffle files of the write go when it ends.
+    """
     spark = df.sparkSession
     path = path or scratch(spark, name)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        # a new frame, planned under this setting
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        # a new frame, planned under these settings
         df.select("*").write.mode("overwrite").option("compression", compression).parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

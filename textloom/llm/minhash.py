@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import U64, components, forget, mix64, text_buffers, written
+from textloom.llm.common import U64, components, forget, mix64, settings, text_buffers, written
 
 WIDTH = 5
 BINS = 120
@@ -245,7 +245,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     buckets = written(slots.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least"), "buckets")
     members = written(slots.join(buckets, "bucket").select("bucket", "least", "rep"), "members")
     stars = written(members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    one = docs.where("doc_id is not null")
+    # the texts that stand in any pair, once; Spark drops most others by a Bloom filter of bounded size before they are shuffled
+    needed = written(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+    with settings(docs.sparkSession, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="64MB"):
+        one = written(docs.join(needed.where(F.col("doc_id") >= F.lit(-(2**63))), "doc_id", "left_semi"), "texts", compression="zstd")
     text_b = stars.join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     texts = text_b.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     links = written(texts.mapInArrow(_verified(percent), "a long, b long").distinct().unionAll(same), "links")
@@ -275,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         for used in (open_, sized, many, where, pairs):
             forget(used)
     of = written(classes.select(*key, "rep").join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component")), "of")
-    for used in (classes, buckets, members, stars, links, found, apart):
+    for used in (classes, buckets, members, stars, needed, one, links, found, apart):
         forget(used)
     out = seen.select("doc_id", *key).join(of, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
