@@ -12,6 +12,7 @@ from textloom.llm.common import table
 from textloom.llm.html import extract
 from textloom.llm.minhash import near_duplicates
 from textloom.llm.mixing import mix, taken_words
+from textloom.llm.pii import personal_data
 from textloom.llm.pieces import encode_decode
 from textloom.llm.pq import near_duplicate_vectors
 from textloom.llm.sharding import compacted
@@ -48,6 +49,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op6_personal_data": op6_personal_data,
     "op7_vector_near_dedup": op7_vector_near_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op9_sentencepiece": op9_sentencepiece,
