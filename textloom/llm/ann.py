@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import forget, written
+from textloom.llm.common import forget, small_batches, written
 from textloom.llm.vectors import matrices, sample, usable
 
 LEAF = 32
@@ -216,7 +216,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, dire
     queries count once, and so do repeated candidates of equal id and vector.
     """
     clean = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v")).where(usable("v") & F.col("vec_id").isNotNull())
-    base, asked = clean(vectors), written(clean(queries).distinct(), "asked")
+    base, asked = clean(small_batches(vectors)), written(clean(queries).distinct(), "asked")
     total = base.count()
     depth = max(0, min(most_cells, -(-total // cell_rows)) - 1).bit_length()
     models = {d: Cells(m, depth, directions) for d, m in sample(base, "vec_id", "v", sample_rows, 13).items()}

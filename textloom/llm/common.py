@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,19 @@ def written(df: DataFrame, name: str, path: str | None = None, compression: str
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of the batches that go to Python workers: memory in flight follows them, on either side.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose batches for Python are small unless it has been told otherwise."""
+    conf = df.sparkSession.conf
+    for k, (default, own) in BATCH.items():
+        if conf.get(k) == default:
+            conf.set(k, own)
+    return df
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -100,6 +114,18 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def slices(batch: pa.RecordBatch, texts: list[str], rows: int = 512, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many rows and, but for a single longer row, bytes of text."""
+    each = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts)
+    ends = np.cumsum(each)
+    at = 0
+    while at < len(batch):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        to = min(max(to, at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
     """Connected components of an edge table: (node, component), component the smallest node reachable.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import U64, components, forget, mix64, settings, text_buffers, written
+from textloom.llm.common import U64, components, forget, mix64, settings, slices, small_batches, text_buffers, written
 
 WIDTH = 5
 BINS = 120
@@ -136,8 +136,7 @@ def band_rows(threshold: float) -> int:
 def _sketched(rows_per_band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, ["text"]):
                 items, offsets = shingle_sets(part.column("text"))
                 keys = bands_of(sketches(items, offsets), rows_per_band)
                 total = lambda salt: np.add.reduceat(np.append(mix64(items ^ U64(salt)), U64(0)), np.minimum(offsets[:-1], len(items))) * (np.diff(offsets) > 0)
@@ -159,10 +158,10 @@ def _verified(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                a, ao = shingle_sets(part.column("text_a").dictionary_encode().dictionary) if len(part) else (None, None)
-                ia = part.column("text_a").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            for part in slices(batch, ["text_a", "text_b"]):
+                first = part.column("text_a").dictionary_encode()
+                a, ao = shingle_sets(first.dictionary)
+                ia = first.indices.to_numpy(zero_copy_only=False)
                 b, bo = shingle_sets(part.column("text_b"))
                 keep = np.zeros(len(part), bool)
                 for k in range(len(part)):
@@ -233,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     keeps its row, with a null component, and is kept. Repeated rows of one doc_id are one node: each
     gets its row, and whatever links any of them links the id. Other columns are not read.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = band_rows(percent / 100)
     seen = written(docs.mapInArrow(_sketched(rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sketch")
     key = ["f1", "f2", "n_shingles"]

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import small_batches
+
 SPACE = "▁"
 _NONE = np.int64(np.iinfo(np.int64).max)
 #: Words of which the encoding is kept within a worker, and the longest word kept.
@@ -281,7 +283,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_i
     model's path is one that every executor has.
     """
     path = path or default_model()
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
