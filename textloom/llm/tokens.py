@@ -20,6 +20,8 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import forget, scratch, written
+from textloom.llm.common import forget, scratch, small_batches, written
 
 MAGIC, VERSION = b"TLVB", 1
 #: Ids to a file, about; a longer document is still whole in one.
@@ -35,6 +37,7 @@ SEGMENT_VALUES = 4 << 20
 #: Stretches end where the library's pattern must end one: before white space, and between a letter and an ASCII
 #: character that is neither letter nor apostrophe.
 _SPLIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-&(-@\[-`{-~])| ?\S+|\s+(?!\S)|\s+")
+_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _ODD = "\x1c\x1d\x1e\x1f"
 CACHE_CHUNKS, CACHE_CHARS = 600_000, 64
 
@@ -70,7 +73,7 @@ class Encoder:
 
     Its byte-level pattern never joins what `_SPLIT` parts, so a text's ids are those of its stretches end
     to end. Texts with one of its special tokens, or with a separator on which regular-expression engines
-    differ, go to it whole.
+    differ, go to it whole. A stretch of letters is one word of the pattern: of the library, its model alone is asked for it.
     """
 
     def __init__(self, path: str):
@@ -79,15 +82,29 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + list(_ODD)
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
         self.cache: dict[str, bytes] = {}
 
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         flow = [[t] if any(w in t for w in self.whole) else _SPLIT.findall(t) for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {}
+            # stretches met first are the frequent ones
+            self.cache = dict(islice(self.cache.items(), CACHE_CHUNKS // 3))
         known = self.cache
         new = list(set().union(*flow).difference(known))
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        rest = []
+        for c in new:
+            if _LETTERS.fullmatch(c):
+                known[c] = self._word(c)
+            else:
+                rest.append(c)
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[c] = array("I", e.ids).tobytes()
         out = [np.frombuffer(b"".join([known[c] for c in f]), np.uint32) for f in flow]
         for c in new:
@@ -96,6 +113,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, whose tasks share its cache."""
+    return Encoder(path)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -113,7 +136,7 @@ def _encoded(path: str, end: int, segment_values: int):
     """A task's documents, which come in order, as rows of up to segment_values ids, each with its ids' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(path)
+        e = encoder(path)
         wide = "<u2" if e.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4"
         docs: list[int] = []
         parts: list[np.ndarray] = []
@@ -189,6 +212,21 @@ def _filed(folder: str):
     return run
 
 
+def _by_range(docs: DataFrame, parts: int) -> DataFrame:
+    """docs in partitions of consecutive doc_ids, of which only the ids are read to find the bounds."""
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    cuts = sorted(set(cuts))
+
+    def below(lo: int, hi: int):
+        """How many of the bounds lie below the id, found by halves."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col("doc_id") <= F.lit(cuts[mid]), below(lo, mid)).otherwise(below(mid + 1, hi))
+
+    return docs.repartitionById(parts, below(0, len(cuts)))
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int = 0, segment_values: int = SEGMENT_VALUES, doc_id: str = "doc_id", text: str = "text") -> str:
     """Encodes every whole text, appends the end id, and writes files in ascending doc_id order to folder.
 
@@ -198,8 +236,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
     that the table of segments names count, and that table comes last.
     """
     spark, path = docs.sparkSession, path or default_tokenizer()
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    ordered = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    ordered = _by_range(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))).sortWithinPartitions("doc_id", "text")
     encoded = written(ordered.mapInArrow(_encoded(path, end, segment_values), _CHUNK), "encoded", compression="zstd")
     times = encoded.select("counts").mapInArrow(_counted, "id long, times long").groupBy("id").agg(F.sum("times").alias("times"))
     # one row for each id of the vocabulary, however large the corpus
@@ -248,7 +286,7 @@ def read_tokens(spark: SparkSession, folder: str, keep: bool = True) -> DataFram
                         out.append(pa.array([v.astype(np.int64) for v in own], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return segments.repartition("segment").select("file", "start").mapInArrow(run, schema)
+    return segments.repartition(max(1, min(segments.count(), 4096)), "segment").select("file", "start").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
