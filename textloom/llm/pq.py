@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import components, forget, written
+from textloom.llm.common import components, forget, small_batches, written
 from textloom.llm.vectors import k_means, matrices, nearest, sample, usable
 
 CHUNK = 256
@@ -48,8 +48,8 @@ class Quantiser:
         return square - square[np.arange(len(x)), cell][:, None] <= 2 * apart * (reach + 1e-9)
 
     def tables(self, x: np.ndarray) -> list[np.ndarray]:
-        """Products of each row's subvectors with the codewords."""
-        return [(x[:, a:b] @ book.T).astype(np.float32) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
+        """Products of the codewords with each row's subvectors."""
+        return [np.ascontiguousarray(book @ x[:, a:b].T, np.float32) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -152,10 +152,13 @@ def _compared(models: dict[int, Quantiser], least: float):
                     q = x[at : at + CHUNK]
                     if d in models:
                         m = models[d]
-                        near = np.repeat((q @ m.centres[r["cell_y"]]).astype(np.float32)[:, None], len(y), axis=1)
+                        # a codeword's products with all rows of the chunk lie together: a look-up copies one row of the table
+                        near = np.repeat((q @ m.centres[r["cell_y"]]).astype(np.float32)[None], len(y), axis=0)
                         for table, column in zip(m.tables(q), codes.T, strict=True):
-                            near += table[:, column]
-                        i, j = np.nonzero(near >= margin)
+                            near += table.take(column, axis=0)
+                        j, i = np.nonzero(near >= margin[:, None])
+                        order = np.argsort(i, kind="stable")
+                        i, j = i[order], j[order]
                     else:
                         i, j = (k.reshape(-1) for k in np.indices((len(q), len(y))))
                     if own:
@@ -192,7 +195,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, part_rows: in
     part_rows rows, so a dense group is met in pairs of parts, and writes counts and a forest only. Vectors that are null, empty, zero or hold
     null or non-finite components link with nothing, nor does a row without id; vectors of different lengths do not link. A repeated row is another vector.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = small_batches(vectors).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     # -0.0 and 0.0 are equal components
     same = F.transform("v", lambda x: x + F.lit(0.0))
     ok = usable("v") & F.col("vec_id").isNotNull()
