@@ -26,9 +26,13 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import small_batches
+
 #: Labelled documents of either class that a classifier is fitted on, at most, and the bytes of one that training reads at most.
-SAMPLE_DOCS, SAMPLE_BYTES = 3000, 200_000
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 200_000
 REPEAT = 4
+#: Letters of a beginning.
+SHORTEST, LONGEST = 4, 14
 #: Shorter matches are shared with chance.
 LEVEL, MIN_MATCH = 6, 6
 #: Before each word: with it, a match of the least length holds a beginning of four letters.
@@ -43,28 +47,21 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _starts(ws: list[str], shortest: int = 4, longest: int = 14) -> dict[str, set[str]]:
-    """The beginnings of words and the words that they follow."""
-    out: dict[str, set[str]] = {}
-    for before, w in zip(["", *ws], ws, strict=False):
-        for n in range(shortest, min(len(w), longest) + 1):
-            out.setdefault(w[:n], set()).add(before)
-    return out
-
-
 def _contrast(toxic: list[list[str]], ordinary: list[list[str]], least: float = 15.0) -> list[str]:
     """Stretches for the toxic dictionary: log-likelihood ratio over `least`, 25 times as frequent, in different contexts."""
     count: tuple[Counter, Counter] = (Counter(), Counter())
+    for ws in toxic:
+        count[0].update({w[:n] for w in set(ws) for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
+    often = {g for g, n in count[0].items() if n >= 3}
     contexts: dict[str, set[str]] = {}
     for ws in toxic:
-        own = _starts(ws)
-        count[0].update(own.keys())
-        for g, before in own.items():
-            if len(s := contexts.setdefault(g, set())) < 1000:
-                s |= before
-    often = {g for g, n in count[0].items() if n >= 3 and len(contexts[g]) >= 3}
+        for before, w in zip(["", *ws], ws, strict=False):
+            for n in range(SHORTEST, min(len(w), LONGEST) + 1):
+                if w[:n] in often and len(s := contexts.setdefault(w[:n], set())) < 1000:
+                    s.add(before)
+    often = {g for g in often if len(contexts[g]) >= 3}
     for ws in ordinary:
-        count[1].update(_starts(ws).keys() & often)
+        count[1].update({w[:n] for w in set(ws) for n in range(SHORTEST, min(len(w), LONGEST) + 1)} & often)
     nt, no = len(toxic), len(ordinary)
 
     def ratio(a: float, b: float) -> float:
@@ -206,17 +203,15 @@ def train(texts: list[str], toxic: list[int], folds: int = 4) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from at most sample_docs labelled documents of each class, those whose texts have the smallest hashes.
+    """A model from at most sample_docs labelled documents of each class, those whose ids have the smallest hashes.
 
-    Labels other than 0 and 1, and documents without label, are left out; a document labelled twice counts by its larger label.
+    Labels other than 0 and 1, and documents without label, are left out; a document labelled twice counts by its larger label. Only
+    the sampled ids, which the bound keeps few, go to the documents; texts are not shuffled.
     """
     own = labels.select(F.col(doc_id).cast("long").alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
-    known = docs.select(F.col(doc_id).cast("long").alias("i"), F.substring(F.coalesce(F.col(text).cast("string"), F.lit("")), 1, SAMPLE_BYTES).alias("t")).join(own, "i")
-    some = None
-    for c in (0, 1):
-        part = known.where(F.col("y") == c).orderBy(F.xxhash64("t"), "i").limit(sample_docs).select("t", "y")
-        some = part if some is None else some.unionAll(part)
-    got = some.toArrow()
+    some = [own.where(F.col("y") == c).orderBy(F.xxhash64("i"), "i").limit(sample_docs) for c in (0, 1)]
+    known = docs.select(F.col(doc_id).cast("long").alias("i"), F.substring(F.coalesce(F.col(text).cast("string"), F.lit("")), 1, SAMPLE_BYTES).alias("t"))
+    got = known.join(F.broadcast(some[0].unionAll(some[1])), "i").toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
     return train(got.column("t").to_pylist(), got.column("y").to_pylist())
 
 
@@ -225,7 +220,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     A null or empty text, or one without words, has the score of no finding. Repeated rows and null ids are rows like others.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model)
@@ -240,6 +235,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 def passed(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs, with its columns, whose texts score below 0.5."""
+    small_batches(docs)
     s: list[Scorer] = []
 
     @F.pandas_udf("double")
