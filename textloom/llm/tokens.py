@@ -19,9 +19,11 @@ import re
 import uuid
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ SEGMENT_VALUES = 4 << 20
 #: character that is neither letter nor apostrophe.
 _SPLIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-&(-@\[-`{-~])| ?\S+|\s+(?!\S)|\s+")
 _LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_ID = attrgetter("id")
 _ODD = "\x1c\x1d\x1e\x1f"
 CACHE_CHUNKS, CACHE_CHARS = 600_000, 64
 
@@ -68,8 +71,8 @@ def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-class Encoder:
-    """The tokenizers library, asked once for each distinct stretch of a batch.
+class Encoder(dict):
+    """Stretches of text and their ids as bytes, from the tokenizers library, asked once for each stretch that is not known.
 
     Its byte-level pattern never joins what `_SPLIT` parts, so a text's ids are those of its stretches end
     to end. Texts with one of its special tokens, or with a separator on which regular-expression engines
@@ -85,32 +88,29 @@ class Encoder:
         self.model = self.tokenizer.model
         # the byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
-        self.cache: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        others = iter(range(256, 512))
+        self.letters = "".join(chr(b if b in plain else next(others)) for b in range(256))
+
+    def _ask(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, stretch: str) -> bytes:
+        if _LETTERS.fullmatch(stretch):
+            word = charmap_decode(stretch.encode(), "strict", self.letters)[0]
+            ids = array("I", map(_ID, self.model.tokenize(word))).tobytes()
+        else:
+            ids = self._ask(stretch)
+        if len(stretch) <= CACHE_CHARS:
+            self[stretch] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        flow = [[t] if any(w in t for w in self.whole) else _SPLIT.findall(t) for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
+        if len(self) > CACHE_CHUNKS:
             # stretches met first are the frequent ones
-            self.cache = dict(islice(self.cache.items(), CACHE_CHUNKS // 3))
-        known = self.cache
-        new = list(set().union(*flow).difference(known))
-        rest = []
-        for c in new:
-            if _LETTERS.fullmatch(c):
-                known[c] = self._word(c)
-            else:
-                rest.append(c)
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[c] = array("I", e.ids).tobytes()
-        out = [np.frombuffer(b"".join([known[c] for c in f]), np.uint32) for f in flow]
-        for c in new:
-            if len(c) > CACHE_CHARS:
-                del known[c]
-        return out
+            for stretch in list(islice(self, CACHE_CHUNKS // 3, None)):
+                del self[stretch]
+        of = self.__getitem__
+        return [np.frombuffer(self._ask(t) if any(w in t for w in self.whole) else b"".join(map(of, _SPLIT.findall(t))), np.uint32) for t in texts]
 
 
 @lru_cache(maxsize=1)
