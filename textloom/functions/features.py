@@ -28,9 +28,11 @@ def _mean(a: Column) -> Column:
 
 
 def _std(a: Column) -> Column:
-    """The population's deviation; 0 for fewer than two."""
-    m = _mean(a)
-    return F.when(F.size(a) > 1, F.sqrt(F.aggregate(F.transform(a, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x) / F.size(a))).otherwise(0.0)
+    """The population's deviation, from one pass over small whole numbers; 0 for fewer than two."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    n = F.size(a)
+    end = lambda z: F.sqrt(F.greatest(F.lit(0.0), z["q"] / n - (z["s"] / n) * (z["s"] / n)))
+    return F.when(n > 1, F.aggregate(a, zero, lambda z, x: F.struct((z["s"] + x).alias("s"), (z["q"] + x * x).alias("q")), end)).otherwise(0.0)
 
 
 def _among(ws: Column, words_: list[str]) -> Column:

@@ -109,3 +109,30 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     per = df.groupBy(label).agg(F.count("*").alias("n_"))
     total = F.broadcast(per.agg(F.sum("n_").alias("t_"), F.count("*").alias("k_")))
     return per.crossJoin(total).select(label, (F.col("t_") / (F.col("k_") * F.col("n_")).cast("double")).alias("weight"))
+
+
+def guard_metrics(df: DataFrame, threshold: float, by: list[str] | None = None, label: str = "label", p: str = "p") -> DataFrame:
+    """Of a guard whose 1 means unsafe: protection, vetoes of safe rows and misses; rates without labelled rows are null, the veto rate is of all rows."""
+    y, veto = F.col(label), F.col(p) >= threshold
+    n = lambda c: _sum(F.coalesce(c, F.lit(False)))
+    own = df.groupBy(*(by or [])).agg(F.count("*").alias("rows"), n(y.isin(0, 1)).alias("labelled"), n((y == 0) & ~veto).alias("safe_pass"), n((y == 0) & veto).alias("safe_veto"), n((y == 1) & ~veto).alias("unsafe_miss"), n((y == 1) & veto).alias("unsafe_veto"), F.avg(veto.cast("double")).alias("veto_rate"), F.avg(p).alias("mean_p"))
+    some = F.col("labelled") > 0
+    precision, recall = over(F.col("unsafe_veto"), F.col("unsafe_veto") + F.col("safe_veto")), over(F.col("unsafe_veto"), F.col("unsafe_veto") + F.col("unsafe_miss"))
+    rate = {"accuracy": over(F.col("safe_pass") + F.col("unsafe_veto"), F.col("labelled")), "unsafe_precision": precision, "unsafe_recall": recall, "unsafe_f1": F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0), "safe_veto_rate": over(F.col("safe_veto"), F.col("safe_pass") + F.col("safe_veto")), "unsafe_miss_rate": over(F.col("unsafe_miss"), F.col("unsafe_miss") + F.col("unsafe_veto"))}
+    return own.withColumns({k: F.when(some, v) for k, v in rate.items()})
+
+
+def selector_metrics(df: DataFrame, threshold: float, by: list[str] | None = None, label: str = "label", p: str = "p") -> DataFrame:
+    """Of a selector whose 1 means safe: rates of passing and blocking, null where there is nothing to pass or block."""
+    y, ok = F.col(label), F.col(p) >= threshold
+    own = df.groupBy(*(by or [])).agg(_sum((y == 1) & ok).alias("safe_pass"), _sum((y == 1) & ~ok).alias("safe_block"), _sum((y == 0) & ok).alias("unsafe_pass"), _sum((y == 0) & ~ok).alias("unsafe_block"), F.avg(p).alias("mean_p"))
+    safe, unsafe = F.col("safe_pass") + F.col("safe_block"), F.col("unsafe_pass") + F.col("unsafe_block")
+    return own.withColumns({"safe_pass_rate": F.try_divide("safe_pass", safe), "safe_block_rate": F.try_divide("safe_block", safe), "unsafe_block_rate": F.try_divide("unsafe_block", unsafe), "unsafe_pass_rate": F.try_divide("unsafe_pass", unsafe)})
+
+
+def selector_threshold(df: DataFrame, thresholds: DataFrame, min_unsafe_block: float, min_safe_pass: float, label: str = "label", p: str = "p") -> DataFrame:
+    """The threshold with both rates met if any has, then most safe rows passed, most unsafe ones blocked, and the lowest."""
+    own = at_grid(df, thresholds, None, label, p)
+    own = own.withColumns({"safe_pass_rate": F.try_divide("tp", F.col("tp") + F.col("fn")), "unsafe_block_rate": F.try_divide("tn", F.col("tn") + F.col("fp"))})
+    own = own.withColumn("feasible", F.coalesce((F.col("unsafe_block_rate") >= min_unsafe_block) & (F.col("safe_pass_rate") >= min_safe_pass), F.lit(False)))
+    return best(own, [F.desc("feasible"), F.desc("safe_pass_rate"), F.desc("unsafe_block_rate"), "threshold"]).select("threshold", "feasible", "safe_pass_rate", "unsafe_block_rate")

@@ -17,17 +17,23 @@ from textloom.functions.text import text_of
 from textloom.operators.metrics import class_weights
 
 
-def word_ngrams(text: Column | str, n: int = 2) -> Column:
-    """Lower-case words of two characters or more, and their runs up to n."""
-    ws = F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    runs = [F.when(F.size(ws) >= k, F.transform(F.sequence(F.lit(1), F.size(ws) - k + 1), lambda i, k=k: F.array_join(F.slice(ws, i, k), " "))).otherwise(F.array().cast("array<string>")) for k in range(2, n + 1)]
-    return F.concat(ws, *runs)
+def _runs(df: DataFrame, parts: str, size, at, low: int, high: int, into: str) -> DataFrame:
+    """Adds the runs of low to high units of a column that is there already: an expression in a lambda would be evaluated for each run."""
+    n = size(parts)
+    run = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: at(F.col(parts), i, k))).otherwise(F.array().cast("array<string>"))
+    return df.withColumn(into, F.concat(*(run(k) for k in range(low, high + 1)))).drop(parts)
 
 
-def char_ngrams(text: Column | str, low: int = 3, high: int = 5) -> Column:
-    """Runs of characters across words, white space squeezed to one space."""
-    t = F.regexp_replace(F.lower(text_of(text)), r"(?U)\s\s+", " ")
-    return F.concat(*(F.when(F.length(t) >= k, F.transform(F.sequence(F.lit(1), F.length(t) - k + 1), lambda i, k=k: F.substring(t, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in range(low, high + 1)))
+def word_ngrams(df: DataFrame, text: str, into: str, n: int = 2) -> DataFrame:
+    """Adds lower-case words of two characters or more, and their runs up to n."""
+    own = df.withColumn("units_", F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)))
+    return _runs(own, "units_", F.size, lambda a, i, k: F.array_join(F.slice(a, i, k), " "), 1, n, into)
+
+
+def char_ngrams(df: DataFrame, text: str, into: str, low: int = 3, high: int = 5) -> DataFrame:
+    """Adds runs of characters across words, white space squeezed to one space."""
+    own = df.withColumn("units_", F.regexp_replace(F.lower(text_of(text)), r"(?U)\s\s+", " "))
+    return _runs(own, "units_", F.length, lambda t, i, k: F.substring(t, i, F.lit(k)), low, high, into)
 
 
 class TfIdf:

@@ -38,10 +38,10 @@ def common(spark, sf):
     return run_of(spark, sf, "step7").select("id").intersect(run_of(spark, sf, "round4").select("id"))
 
 
-@query("jn04_aligned_inference", f"SELECT s.id, s.label, round(s.p, 9) AS p_step7, round(r.p, 9) AS p_round4, round(g.p, 9) AS p_guard, c.source FROM ({run_sql('step7')}) s JOIN ({run_sql('round4')}) r ON s.id = r.id JOIN ({run_sql('guard')}) g ON s.id = g.id LEFT JOIN (SELECT id, source FROM ({CORPUS_SQL}) WHERE id % 2 = 0) c ON s.id = c.id")
+@query("jn04_aligned_inference", f"SELECT s.id, s.label, round(s.p, 9) AS p_step7, round(r.p, 9) AS p_round4, round(g.p, 9) AS p_guard, c.source FROM ({run_sql('step7')}) s JOIN ({run_sql('round4')}) r ON s.id = r.id JOIN ({run_sql('guard')}) g ON s.id = g.id LEFT JOIN (SELECT id, source FROM ({CORPUS_SQL}) WHERE domain = 'en') c ON s.id = c.id")
 def inference(spark, sf):
     own = A.many(_runs(spark, sf, ["step7", "round4", "guard"])).select("id", "label", *(F.round(f"p_{n}", 9).alias(f"p_{n}") for n in ("step7", "round4", "guard")))
-    return own.join(corpus(spark, sf).where("id % 2 = 0").select("id", "source"), "id", "left")
+    return own.join(corpus(spark, sf).where("domain = 'en'").select("id", "source"), "id", "left")
 
 
 @query("jn07_default_branch", f"SELECT a.id, round(a.p, 9) AS p, round(coalesce(b.p, 0.0), 9) AS p_tfidf FROM ({run_sql('step7')}) a LEFT JOIN ({run_sql('tfidf')}) b ON a.id = b.id")
@@ -50,10 +50,10 @@ def default_branch(spark, sf):
     return own.select("id", F.round("p", 9).alias("p"), F.round("p_tfidf", 9).alias("p_tfidf"))
 
 
-@query("jn11_fill_from_source", f"SELECT a.id, coalesce(nullif(CASE WHEN a.id % 4 = 0 THEN '' WHEN a.id % 4 = 1 THEN NULL ELSE a.domain END, ''), b.domain) AS domain FROM ({run_sql('step7')}) a LEFT JOIN ({CORPUS_SQL}) b ON a.id = b.id AND b.id % 3 <> 0")
+@query("jn11_fill_from_source", f"SELECT a.id, coalesce(nullif(CASE WHEN a.id % 4 = 0 THEN '' WHEN a.id % 4 = 1 THEN NULL ELSE a.domain END, ''), b.domain) AS domain FROM ({run_sql('step7')}) a LEFT JOIN ({CORPUS_SQL}) b ON a.id = b.id AND b.source <> 'src3'")
 def fill(spark, sf):
     base = run_of(spark, sf, "step7").select("id", F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, F.lit(None)).otherwise(F.col("domain")).alias("domain"))
-    return A.filled(base, corpus(spark, sf).where("id % 3 <> 0"), "id", ["domain"])
+    return A.filled(base, corpus(spark, sf).where("source <> 'src3'"), "id", ["domain"])
 
 
 _N = lambda c: f"CAST(coalesce(sum(CASE WHEN {c} THEN 1 ELSE 0 END), 0) AS BIGINT)"

@@ -136,14 +136,14 @@ def stratified_folds(spark, sf):
     return S.folds(own, "label", 5, ["s_", "id"]).select("id", "label", "fold")
 
 
-@query("jn15_versioned_merge", f"""WITH o AS (SELECT id, n, toxic IS DISTINCT FROM 1 AS ok FROM ({_KEYED}) WHERE id % 5 <> 0), w AS (SELECT id, n + 1 AS n, n % 2 = 0 AS ok FROM ({_KEYED}) WHERE id % 3 = 0), r AS (SELECT id FROM ({_KEYED}) WHERE id % 3 = 0 OR id % 7 = 0)
+@query("jn15_versioned_merge", f"""WITH o AS (SELECT id, n, toxic IS DISTINCT FROM 1 AS ok FROM ({_KEYED}) WHERE source <> 'src5'), w AS (SELECT id, n + 1 AS n, n % 2 = 0 AS ok FROM ({_KEYED}) WHERE domain <> 'en'), r AS (SELECT id FROM ({_KEYED}) WHERE domain <> 'en' OR source = 'src7')
  SELECT id, CASE WHEN merge_source IN ('rerun_only', 'rerun_replaced') THEN wn ELSE n END AS n, merge_source FROM (SELECT coalesce(o.id, w.id) AS id, o.n, w.n AS wn, CASE WHEN o.id IS NULL AND coalesce(w.ok, false) THEN 'rerun_only' WHEN r.id IS NULL AND coalesce(o.ok, false) THEN 'v1_kept' WHEN coalesce(w.ok, false) THEN 'rerun_replaced' WHEN coalesce(o.ok, false) THEN CASE WHEN w.id IS NULL THEN 'v1_missing_rerun' ELSE 'v1_invalid_rerun' END END AS merge_source
  FROM o FULL OUTER JOIN w ON o.id = w.id LEFT JOIN r ON r.id = coalesce(o.id, w.id)) WHERE merge_source IS NOT NULL""")
 def versioned_merge(spark, sf):
     own = keyed(spark, sf)
-    old = own.where("id % 5 <> 0").select("id", "n", (~F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("ok"))
-    new = own.where("id % 3 = 0").select("id", (F.col("n") + 1).alias("n"), (F.col("n") % 2 == 0).alias("ok"))
-    return D.versioned_merge(old, new, own.where("id % 3 = 0 or id % 7 = 0"), "id", "ok").select("id", "n", "merge_source")
+    old = own.where("source <> 'src5'").select("id", "n", (~F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("ok"))
+    new = own.where("domain <> 'en'").select("id", (F.col("n") + 1).alias("n"), (F.col("n") % 2 == 0).alias("ok"))
+    return D.versioned_merge(old, new, own.where("domain <> 'en' or source = 'src7'"), "id", "ok").select("id", "n", "merge_source")
 
 
 @query("jn16_forbidden_reasons", f"SELECT id, CASE WHEN id IN (SELECT item_id FROM benchmark) THEN 'id' WHEN pair_id IN (SELECT pair_id FROM ({_KEYED}) WHERE toxic = 1) THEN 'pair' WHEN key IN (SELECT key FROM ({_KEYED}) WHERE label = 0) THEN 'text' END AS reason FROM ({_KEYED})")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Prediction runs: p = (id * multiplier) mod modulus / modulus, the same double in every engine.
 RUNS = {"step7": (7919, 10007), "tfidf": (104729, 9973), "neural": (15485863, 9901), "round4": (32452843, 9887), "guard": (49979687, 9857)}
 THRESHOLD = 0.55
+#: The source that a run has not scored.
+LACKS = {run: f"src{k}" for k, run in enumerate(RUNS)}
 
 CORPUS_SQL = "SELECT d.doc_id AS id, d.text, CAST(l.quality AS INT) AS label, CAST(l.toxic AS INT) AS toxic, d.lang AS domain, d.source, d.doc_id // 2 AS pair_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 REWRITES_SQL = "SELECT u.conv_id || '_' || u.turn AS task_id, u.text AS source_text, a.text AS rewrite_text, CASE u.conv_id % 2 WHEN 0 THEN 'academic' ELSE 'literature' END AS domain FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'"
@@ -50,10 +52,10 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_of(spark: SparkSession, sf_dir: str, run: str, threshold: float = THRESHOLD) -> DataFrame:
-    """One run as a table: id, label, p and pred. A run lacks the ids that its modulus' last digit names, so that runs differ in extent."""
+    """One run as a table: id, label, p and pred. Each run lacks one source, so runs differ in extent."""
     own = preds(spark, sf_dir).select("id", "label", "domain", "source", F.col(f"p_{run}").alias("p"))
-    return own.where(f"id % 10 <> {RUNS[run][1] % 10}").withColumn("pred", (F.col("p") >= threshold).cast("int"))
+    return own.where(F.col("source") != LACKS[run]).withColumn("pred", (F.col("p") >= threshold).cast("int"))
 
 
 def run_sql(run: str, threshold: float = THRESHOLD) -> str:
-    return f"SELECT id, label, domain, source, p_{run} AS p, CAST(p_{run} >= {threshold} AS INT) AS pred FROM ({PREDS_SQL}) WHERE id % 10 <> {RUNS[run][1] % 10}"
+    return f"SELECT id, label, domain, source, p_{run} AS p, CAST(p_{run} >= {threshold} AS INT) AS pred FROM ({PREDS_SQL}) WHERE source <> '{LACKS[run]}'"

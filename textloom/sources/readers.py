@@ -10,7 +10,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 CORPUS = "id STRING, text STRING, label INT, domain STRING, source STRING, generator STRING, model STRING, pair_id STRING, source_id STRING, prompt_type STRING, generation STRING, finish_reason STRING, split STRING"
 PREDICTION = "id STRING, label INT, prediction INT, prob_llm DOUBLE, probability DOUBLE, score DOUBLE, domain STRING, generator STRING, source STRING, pair_id STRING, bucket STRING"
-_BAD = "corrupt_"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -36,12 +35,11 @@ def lines(spark: SparkSession, paths: str | list[str], schema: str = CORPUS, str
     return df.withColumn(origin, F.col("_metadata.file_path")) if origin else df
 
 
-def bad_lines(spark: SparkSession, paths: str | list[str], schema: str = CORPUS) -> DataFrame:
-    """(file, bad): lines that are no JSON object of the schema, by file."""
-    kind = StructType([*StructType.fromDDL(schema).fields, StructField(_BAD, StringType())])
-    df = spark.read.schema(kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(paths)
-    # a filter on the parsed record alone is not allowed, so it stands beside another column
-    return df.select(F.col("_metadata.file_path").alias("file"), F.col(_BAD).isNotNull().cast("long").alias("b_"), F.struct(*[f.name for f in kind]).alias("r_")).groupBy("file").agg(F.sum("b_").alias("bad")).where("bad > 0")
+def bad_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, bad): lines that are no JSON object, by file; blank lines are none."""
+    own = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+    bad = F.try_parse_json("value").isNull() | ~F.startswith(F.ltrim("value"), F.lit("{"))
+    return own.where(bad).groupBy("file").agg(F.count("*").alias("bad"))
 
 
 def containers(spark: SparkSession, paths: str | list[str], record: str = CORPUS, keys: tuple[str, ...] = ("data", "samples", "records", "items")) -> DataFrame:
