@@ -93,6 +93,7 @@ def test_estimation_separates_labelers():
         ("", ""),
         ("<nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p><b>One\n two<br><p>Three &lt;3</article><footer>f</footer>", "T & U\nOne two\nThree <3"),
         ("<article><header><h1>H</h1></header><p>A<aside>ad</aside><p>B<div class='ad-box'>x</div>C<form><input><p>q</form><section id=comments><p>no</section></article>", "H\nA\nB\nC"),
+        ("<div class='site-header'>S</div><div class='has-sidebar'><article class='post'><div class='entry-header'><h1>T</h1></div><p>A</p></article></div><article class='comment'><p>C</p></article><div class='cookie-notice'>N</div>", "T\nA"),
         ("<article><p>x<script>var a='</p>';</script>y</p><style>p{}</style><!-- c --><p>z &#233;&nbsp;w", "xy\nz é w"),
         ("<div class=menu><a>one</a><a>two</a></div><div>" + "Long text of a page. " * 5 + "</div><div>Short.</div>", ("Long text of a page. " * 5).strip() + "\nShort."),
     ],

@@ -28,7 +28,9 @@ _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "tex
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _DROP = set("script style head title noscript template svg math canvas iframe object embed audio video nav footer aside form button select option textarea input dialog menu noembed noframes applet map".split())
-_BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alerts?|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|comments?|disqus|respond|replies|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|paywall|widget|pagination|pager|toolbar|skip-link|sr-only)(?:$|[\s_-])", re.I)
+_BAD = re.compile(r"(?:^|[\s_]|(?<!\bhas)(?<!\bno)(?<!\bwith)(?<!\bwithout)-)(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alerts?|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|comments?|disqus|respond|replies|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|paywall|widget|pagination|pager|toolbar|skip-link|sr-only)(?:$|[\s_-])", re.I)
+#: Only outside an article: in one, a header holds its title.
+_HEAD = re.compile(r"(?:^|[\s_-])(?:header|page-header|site-header)(?:$|[\s_-])", re.I)
 _ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 #: Tags that end an open paragraph.
 _ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
@@ -41,11 +43,11 @@ def _dropped(tag: str, marks: str, inside: bool) -> bool:
         return True
     if tag == "header":
         return not inside
-    if tag in ("html", "body", "article", "main") or not marks:
+    if tag in ("html", "body", "main") or not marks:
         return False
     for name, a, b, c in _MARKS.findall(marks):
         name, value = name.lower(), (a or b or c).strip()
-        if name in ("class", "id") and _BAD.search(value):
+        if name in ("class", "id") and (_BAD.search(value) or not inside and tag != "article" and _HEAD.search(value)):
             return True
         if name == "role" and value.lower() in _ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
