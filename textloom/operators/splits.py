@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from textloom.operators.order import positions
 
@@ -121,21 +121,104 @@ def greedy_groups(groups: DataFrame, targets: dict[str, dict[str, int]], label_c
     The choice depends on all choices before it, so the groups, not their rows, pass through one ordered scan; groups that no target could
     still need are best left out before. label_counts names, for each label, the column with a group's rows of it.
     """
-    import pandas as pd
-
     names = list(targets)
 
-    def scan(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(order, kind="stable")
-        left = {s: dict(t) for s, t in targets.items()}
-        chosen = []
-        for row in table.to_dict("records"):
-            score = {s: (sum(min(max(0, left[s][l]), row[c]) for l, c in label_counts.items()), -sum(max(0, row[c] - max(0, left[s][l])) for l, c in label_counts.items())) for s in names}
+    def choose(rows: list[dict]) -> list[str]:
+        left, out = {s: dict(t) for s, t in targets.items()}, []
+        for r in rows:
+            need = {s: [(max(0, left[s][l]), r[c]) for l, c in label_counts.items()] for s in names}
+            score = {s: (sum(min(w, n) for w, n in need[s]), -sum(max(0, n - w) for w, n in need[s])) for s in names}
             best = max(names, key=lambda s: (score[s], -names.index(s)))
-            chosen.append(best if score[best][0] > 0 else "unused")
-            if score[best][0] > 0:
-                for l, c in label_counts.items():
-                    left[best][l] -= row[c]
-        return table.assign(split=chosen)
+            useful = score[best][0] > 0
+            for l, c in label_counts.items() if useful else ():
+                left[best][l] -= r[c]
+            out.append(best if useful else "unused")
+        return out
+
+    return _scan(groups, order, choose, "split", StringType())
+
+
+def _scan(table: DataFrame, order: list[str], choose, into: str, kind) -> DataFrame:
+    """One ordered pass over a table of groups; choose(records) gives a value for each."""
+    import pandas as pd
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop(columns="one_").sort_values(order, kind="stable")
+        part[into] = choose(part.to_dict("records"))
+        return part
+
+    return table.withColumn("one_", F.lit(0)).groupBy("one_").applyInPandas(run, StructType([*table.schema.fields, StructField(into, kind)]))
+
+
+def capped_groups(groups: DataFrame, caps: dict[str, int], order: list[str]) -> DataFrame:
+    """groups with `split`: dev for a whole group as long as no cap is passed, else train. caps bounds the sum of each named count."""
+
+    def choose(rows: list[dict]) -> list[str]:
+        held, out = dict.fromkeys(caps, 0), []
+        for r in rows:
+            fits = all(held[c] + r[c] <= cap for c, cap in caps.items())
+            for c in caps if fits else ():
+                held[c] += r[c]
+            out.append("dev" if fits else "train")
+        return out
+
+    return _scan(groups, order, choose, "split", StringType())
+
+
+def groups_until(groups: DataFrame, targets: dict[str, int], order: list[str]) -> DataFrame:
+    """groups with `selected`: taken in order while they hold rows of a label whose target is not reached."""
+
+    def choose(rows: list[dict]) -> list[bool]:
+        held, out = dict.fromkeys(targets, 0), []
+        for r in rows:
+            helps = any(r[c] > 0 and held[c] < t for c, t in targets.items())
+            for c in targets if helps else ():
+                held[c] += r[c]
+            out.append(helps)
+        return out
+
+    return _scan(groups, order, choose, "selected", BooleanType())
+
+
+def unique_fill(rows: DataFrame, group: str, text: str, bucket: str, exact: str, target: int, minimums: dict[str, int], exact_limit: int, order: list[str]) -> DataFrame:
+    """rows with `selected`: exact ones first, up to a limit of tries, then each bucket's minimum, then others to the target; a group or text is used once.
+
+    A try that is turned down counts towards the limit of exact ones.
+    """
 
-    return groups.withColumn("one_", F.lit(0)).groupBy("one_").applyInPandas(lambda pdf: scan(pdf.drop(columns="one_")), StructType([*groups.schema.fields, StructField("split", StringType())]))
+    def choose(table: list[dict]) -> list[bool]:
+        groups, texts, taken, counts = set(), set(), [False] * len(table), {}
+
+        def add(k: int) -> None:
+            r = table[k]
+            if r[group] not in groups and r[text] not in texts:
+                groups.add(r[group])
+                texts.add(r[text])
+                taken[k] = True
+                counts[r[bucket]] = counts.get(r[bucket], 0) + 1
+
+        first = [k for k, r in enumerate(table) if r[exact]]
+        rest = [k for k, r in enumerate(table) if not r[exact]]
+        for k in first if exact_limit < 0 else first[:exact_limit]:
+            add(k)
+        for b, least in minimums.items():
+            for k in (k for k in rest if table[k][bucket] == b):
+                if counts.get(b, 0) >= least:
+                    break
+                add(k)
+        for k in rest:
+            if sum(taken) >= target:
+                break
+            add(k)
+        return taken
+
+    return _scan(rows, order, choose, "selected", BooleanType())
+
+
+def forced_train(df: DataFrame, checks: dict[str, DataFrame]) -> DataFrame:
+    """df with `forced`: whether any named column's value is in its table."""
+    out = df.withColumn("forced", F.lit(False))
+    for column, keys in checks.items():
+        k = keys.select(F.col(keys.columns[0]).alias("k_")).distinct().withColumn("in_", F.lit(True))
+        out = out.join(k, F.col(column) == F.col("k_"), "left").withColumn("forced", F.col("forced") | F.coalesce("in_", F.lit(False))).drop("k_", "in_")
+    return out

@@ -171,6 +171,36 @@ def split_leakage(spark, sf):
     return S.leakage(own, "key")
 
 
+def _pairs(spark, sf):
+    own = corpus(spark, sf).where("label is not null").groupBy("pair_id").agg(F.sum((F.col("label") == 0).cast("long")).alias("n0"), F.sum((F.col("label") == 1).cast("long")).alias("n1"))
+    return own.withColumn("s", S.shuffled("pair_id"))
+
+
+@query("win16_capped_dev_groups")
+def capped_dev_groups(spark, sf):
+    """Whole pairs to dev while no label passes its cap."""
+    return S.capped_groups(_pairs(spark, sf), {"n0": 10, "n1": 40}, ["s", "pair_id"]).select("pair_id", "split")
+
+
+@query("win19_groups_until_targets")
+def groups_until_targets(spark, sf):
+    """Whole pairs in order until every label has its target."""
+    return S.groups_until(_pairs(spark, sf), {"n0": 20, "n1": 60}, ["s", "pair_id"]).select("pair_id", "selected")
+
+
+@query("win22_unique_fill")
+def unique_fill(spark, sf):
+    """Exact candidates, then bucket minimums, then a fill to the target, each pair and text once."""
+    own = keyed(spark, sf).where("label is not null").select("id", "pair_id", "key", "domain", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("exact"))
+    return S.unique_fill(own, "pair_id", "key", "domain", "exact", 80, {"fr": 10, "de": 10}, 15, ["id"]).select("id", "selected")
+
+
+@query("jn19_forced_train", f"SELECT id, pair_id IN (SELECT pair_id FROM ({_KEYED}) WHERE toxic = 1) OR key IN (SELECT key FROM ({_KEYED}) WHERE label = 0) AS forced FROM ({_KEYED})")
+def forced_train(spark, sf):
+    own = keyed(spark, sf)
+    return S.forced_train(own, {"pair_id": own.where("toxic = 1").select("pair_id"), "key": own.where("label = 0").select("key")}).select("id", "forced")
+
+
 @query("srt06_hardest_literature", None)
 def hardest(spark, sf):
     from textloom.functions.features import hardness
