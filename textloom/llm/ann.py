@@ -34,6 +34,14 @@ def chi_square_quantile(p: float, m: int) -> float:
     return hi
 
 
+def box_distances(p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The squared distance of each point to each box, for some boxes at a time."""
+    out = np.empty((len(p), len(lo)))
+    for at in range(0, len(lo), 128):
+        out[:, at : at + 128] = (np.maximum(0, np.maximum(lo[None, at : at + 128] - p[:, None], p[:, None] - hi[None, at : at + 128])) ** 2).sum(axis=2)
+    return out
+
+
 def kd_leaves(x: np.ndarray, leaf: int) -> list[np.ndarray]:
     """Row numbers of a kd-tree's leaves: halves along the widest dimension until a leaf is small or has one point."""
     out, todo = [], [np.arange(len(x))]
@@ -145,7 +153,7 @@ def _routed(models: dict[int, Cells], boxes: dict[int, tuple[np.ndarray, np.ndar
                     if first:
                         go = home[:, None] == names[None]
                     elif d in models:
-                        far = (np.maximum(0, np.maximum(lo[None] - p[:, None], p[:, None] - hi[None])) ** 2).sum(axis=2)
+                        far = box_distances(p, lo, hi)
                         go = (home[:, None] != names[None]) & ~(far > quantile * bound[rows][:, None] ** 2)
                     else:
                         go = np.zeros((len(m), 1), bool)
@@ -170,10 +178,7 @@ def _searched(models: dict[int, Cells], quantile: float, k: int):
                 sizes = np.frombuffer(r["leaves"], np.int64)
                 boxes = np.frombuffer(r["boxes"]).reshape(len(sizes), 2, -1)
                 p = q @ models[d].project if d in models else np.zeros((len(q), 1))
-                far = np.empty((len(q), len(sizes)))
-                for at in range(0, len(sizes), 256):
-                    lo, hi = boxes[at : at + 256, 0], boxes[at : at + 256, 1]
-                    far[:, at : at + 256] = (np.maximum(0, np.maximum(lo[None] - p[:, None], p[:, None] - hi[None])) ** 2).sum(axis=2)
+                far = box_distances(p, boxes[:, 0], boxes[:, 1])
                 order = np.argsort(far, axis=1, kind="stable")
                 # entries of a leaf: one for each id kept
                 end = np.searchsorted(member, np.cumsum(sizes))

@@ -143,12 +143,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     cut = cut.withColumn("from_word", F.greatest(F.lit(0), F.col("block") * F.col("words") - F.col("start"))).withColumn("to_word", F.least("size", (F.col("block") + 1) * F.col("words") - F.col("start")))
     taken = cut.drop("words", "size", "source_size", "target").join(drawn.drop("words"), ["rank", "block"])
     # a source's shards are few and a turn falls into one of them: they come as one array
-    ranges = quotas.where("quota > 0").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("first", "shard"))).alias("ranges"))
+    ranges = written(quotas.where("quota > 0").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("first", "shard"))).alias("ranges")), "ranges")
     at = F.expr("aggregate(ranges, cast(0 as bigint), (a, r) -> if(r.first <= turn, r.shard, a))")
-    spans = taken.join(F.broadcast(ranges) if depth <= 12 else ranges, "rank").withColumn("shard", at).drop("ranges", "turn")
+    spans = taken.join(ranges, "rank").withColumn("shard", at).drop("ranges", "turn")
     spans = spans.withColumn("place", F.xxhash64(F.lit(seed + 2), "rank", "pass", "block"))
     spans = written(spans.select("shard", "place", "rank", "block", "pass", "doc_id", "source", "text_hash", "copy", "start", "from_word", "to_word"), "spans")
-    for used in (rows, sources, quotas, drawn):
+    for used in (rows, sources, quotas, ranges, drawn):
         forget(used)
     return Mixture(placed, spans)
 

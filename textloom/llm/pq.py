@@ -41,11 +41,15 @@ class Quantiser:
             rest[:, a:b] -= self.books[i][codes[:, i]]
         return cell, codes, np.linalg.norm(rest, axis=1)
 
-    def probes(self, x: np.ndarray, cell: np.ndarray, reach: float) -> np.ndarray:
-        """(rows, cells): whether a vector within reach of the row may be nearest to the cell's centre."""
-        square = np.einsum("kd,kd->k", self.centres, self.centres)[None] - 2 * x @ self.centres.T
-        apart = np.linalg.norm(self.centres[cell][:, None] - self.centres[None], axis=2)
-        return square - square[np.arange(len(x)), cell][:, None] <= 2 * apart * (reach + 1e-9)
+    def probes(self, x: np.ndarray, cell: int, reach: float) -> np.ndarray:
+        """For rows of one cell, each cell: whether a vector within reach of any of them may be nearest to its centre."""
+        own = np.einsum("kd,kd->k", self.centres, self.centres)[None]
+        bound = 2 * np.linalg.norm(self.centres - self.centres[cell], axis=1) * (reach + 1e-9)
+        out = np.zeros(len(self.centres), bool)
+        for at in range(0, len(x), 512):
+            square = own - 2 * x[at : at + 512] @ self.centres.T
+            out |= (square - square[:, cell : cell + 1] <= bound).any(axis=0)
+        return out
 
     def tables(self, x: np.ndarray) -> list[np.ndarray]:
         """Products of the codewords with each row's subvectors."""
@@ -107,7 +111,7 @@ def _wanted(models: dict[int, Quantiser], reach: float):
                     out.append((d, cell, r["part"], cell))
                     continue
                 x = _unit(np.frombuffer(r["vectors"]).reshape(-1, d))
-                at = models[d].probes(x, np.full(len(x), cell), reach).any(axis=0)
+                at = models[d].probes(x, cell, reach)
                 at[cell] = True
                 out += [(d, cell, r["part"], int(j)) for j in np.flatnonzero(at) if j >= cell]
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]

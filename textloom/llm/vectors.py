@@ -36,7 +36,10 @@ def sample(vectors: DataFrame, id_: str, vector: str, rows: int, seed: int) -> d
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (np.einsum("kd,kd->k", centres, centres)[None] - 2 * x @ centres.T).argmin(axis=1)
+    """The nearest centre of each row, for some rows at a time."""
+    square = np.einsum("kd,kd->k", centres, centres)[None]
+    parts = [(square - 2 * x[at : at + 1024] @ centres.T).argmin(axis=1) for at in range(0, len(x), 1024)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
