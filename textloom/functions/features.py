@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from string import punctuation
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ def _count(t: Column, pattern: str) -> Column:
     return F.regexp_count(t, F.lit(pattern))
 
 
+def _chars(t: Column, chars: str) -> Column:
+    """How many of a text's characters are among chars."""
+    return F.length(t) - F.length(F.translate(t, chars, ""))
+
+
 def _mean(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)).otherwise(0.0)
 
@@ -55,12 +61,12 @@ def surface_features() -> dict[str, Column]:
         "length_chars": _n(n),
         "length_words": _n(w),
         "num_lines": _n(F.greatest(F.lit(1), F.size("lines_"))),
-        "linebreak_ratio": ratio(_count(t, "\n"), n),
+        "linebreak_ratio": ratio(_chars(t, "\n"), n),
         "avg_line_length": F.aggregate("lines_", F.lit(0.0), lambda s, x: s + F.length(x)) / F.greatest(F.lit(1), F.size("lines_")),
-        "punctuation_ratio": ratio(_count(t, r"[!-/:-@\[-`{-~]"), n),
-        "quote_count": _n(_count(t, "['\"`‘’“”]")),
-        "dash_count": _n(_count(t, "[-–—]")),
-        "semicolon_count": _n(_count(t, ";")),
+        "punctuation_ratio": ratio(_chars(t, punctuation), n),
+        "quote_count": _n(_chars(t, "'\"`‘’“”")),
+        "dash_count": _n(_chars(t, "-–—")),
+        "semicolon_count": _n(_chars(t, ";")),
         "archaic_word_count": _among(F.col("lower_"), L.ARCHAIC),
         "academic_marker_count": _among(F.col("lower_"), L.ACADEMIC),
         "poetic_marker_count": _among(F.col("lower_"), L.POETIC),
@@ -108,12 +114,12 @@ def style_features() -> dict[str, Column]:
     sizes = F.transform("words_", lambda x: F.length(x).cast("double"))
     function = F.when(w > 0, _among(F.col("lower_"), L.FUNCTION_WORDS) / w).otherwise(0.0)
     return {
-        "colon_count": _n(_count(t, ":")),
-        "comma_count": _n(_count(t, ",")),
-        "period_count": _n(_count(t, r"\.")),
-        "question_count": _n(_count(t, r"\?")),
-        "exclamation_count": _n(_count(t, "!")),
-        "parenthesis_count": _n(_count(t, "[()]")),
+        "colon_count": _n(_chars(t, ":")),
+        "comma_count": _n(_chars(t, ",")),
+        "period_count": _n(_chars(t, ".")),
+        "question_count": _n(_chars(t, "?")),
+        "exclamation_count": _n(_chars(t, "!")),
+        "parenthesis_count": _n(_chars(t, "()")),
         "digit_ratio": _count(t, r"\p{Nd}") / chars,
         "uppercase_ratio": _count(t, r"\p{Lu}") / chars,
         "avg_word_length": _mean(sizes),
@@ -131,13 +137,13 @@ def shape_features(per_letter: bool = True) -> dict[str, Column]:
         "uppercase_char_ratio": _count(t, r"\p{Lu}") / (F.greatest(F.lit(1), _count(t, r"\p{L}")) if per_letter else chars),
         "digit_char_ratio": _count(t, r"\p{Nd}") / chars,
         "space_char_ratio": _count(t, r"(?U)\s") / chars,
-        "comma_count": _n(_count(t, ",")),
-        "colon_count": _n(_count(t, ":")),
-        "paren_count": _n(_count(t, "[()]")),
+        "comma_count": _n(_chars(t, ",")),
+        "colon_count": _n(_chars(t, ":")),
+        "paren_count": _n(_chars(t, "()")),
         "long_word_ratio": F.size(F.filter("words_", lambda x: F.length(x) >= 9)) / w,
         "avg_word_len": F.aggregate("words_", F.lit(0.0), lambda s, x: s + F.length(x)) / w,
         "first_person_count": _among(F.col("lower_"), L.FIRST_PERSON),
-        "quote_count_raw": _n(_count(t, "['\"`‘’“”]")),
+        "quote_count_raw": _n(_chars(t, "'\"`‘’“”")),
     }
 
 

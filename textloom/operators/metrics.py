@@ -70,7 +70,7 @@ def at_grid(df: DataFrame, thresholds: DataFrame, by: list[str] | None = None, l
     steps = spine.crossJoin(F.broadcast(steps)) if by else steps
     both = steps.withColumn("level_", F.col("k_")).join(per, [*by, "level_"], "left").na.fill(0, ["pos_", "neg_"])
     rest = per.groupBy(*by).agg(F.sum("pos_").alias("np_"), F.sum("neg_").alias("nn_"))
-    both = both.join(F.broadcast(rest), by) if by else both.crossJoin(F.broadcast(rest))
+    both = both.join(rest, by) if by else both.crossJoin(F.broadcast(rest))
     up = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("level_")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumns({"tp": F.sum("pos_").over(up), "fp": F.sum("neg_").over(up)})
     both = both.withColumns({"fn": F.col("np_") - F.col("tp"), "tn": F.col("nn_") - F.col("fp")})
