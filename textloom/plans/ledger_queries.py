@@ -131,3 +131,56 @@ def event_windows(spark, sf):
 
     own = windowed(table(spark, sf, "events"))
     return own.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_CANDS = ["tfidf", "neural", "round4"]
+_STATE = "CASE WHEN a <> label AND b = label THEN 'fixed' WHEN a = label AND b <> label THEN 'broken' WHEN a <> label THEN 'same_error' ELSE 'same_correct' END"
+_AUDIT = " UNION ALL ".join(f"SELECT id, domain, label, '{c}' AS candidate, CAST(p_step7 >= 0.55 AS INT) AS a, CAST(p_{c} >= 0.5 AS INT) AS b FROM ({PREDS_SQL})" for c in _CANDS)
+
+
+def audit(spark, sf):
+    """A row for each labelled row and candidate run, with what the candidate changes against the base run."""
+    made = F.array(*(F.struct(F.lit(c).alias("candidate"), (F.col(f"p_{c}") >= 0.5).cast("int").alias("b")) for c in _CANDS))
+    own = preds(spark, sf).select("id", "domain", "label", (F.col("p_step7") >= 0.55).cast("int").alias("a"), F.explode(made).alias("m")).select("id", "domain", "label", "a", "m.*")
+    y, a, b = F.col("label"), F.col("a"), F.col("b")
+    state = F.when((a != y) & (b == y), "fixed").when((a == y) & (b != y), "broken").when(a != y, "same_error").otherwise("same_correct")
+    return own.withColumn("state", state)
+
+
+@query("jn26_candidate_audit", f"SELECT id, candidate, {_STATE} AS state FROM ({_AUDIT})")
+def candidate_audit(spark, sf):
+    return audit(spark, sf).select("id", "candidate", "state")
+
+
+@query("agg25_candidate_deltas", f"SELECT candidate, {', '.join(f"count(*) FILTER (s = '{k}') AS {k}" for k in ('fixed', 'broken', 'same_error', 'same_correct'))} FROM (SELECT candidate, {_STATE} AS s FROM ({_AUDIT})) GROUP BY candidate")
+def candidate_deltas(spark, sf):
+    counts = [F.count_if(F.col("state") == k).alias(k) for k in ("fixed", "broken", "same_error", "same_correct")]
+    return audit(spark, sf).groupBy("candidate").agg(*counts)
+
+
+@query("agg26_bucket_deltas", f"SELECT domain, {', '.join(f"count(*) FILTER (candidate = '{c}' AND s = 'fixed') - count(*) FILTER (candidate = '{c}' AND s = 'broken') AS {c}" for c in _CANDS)} FROM (SELECT domain, candidate, {_STATE} AS s FROM ({_AUDIT})) GROUP BY domain")
+def bucket_deltas(spark, sf):
+    on = lambda c, s: F.count_if((F.col("candidate") == c) & (F.col("state") == s))
+    return audit(spark, sf).groupBy("domain").agg(*((on(c, "fixed") - on(c, "broken")).alias(c) for c in _CANDS))
+
+
+_HARD = {"hard_human": "label = 0 AND p_step7 >= 0.55", "very_hard_human": "label = 0 AND p_step7 >= 0.65", "hard_llm": "label = 1 AND p_step7 <= 0.45", "very_hard_llm": "label = 1 AND p_step7 <= 0.35", "ambiguous": "p_step7 BETWEEN 0.35 AND 0.65"}
+
+
+@query("agg27_hard_residuals", " UNION ALL ".join(f"SELECT '{k}' AS flag, domain, count(*) AS n FROM ({PREDS_SQL}) WHERE {c} GROUP BY domain" for k, c in _HARD.items()))
+def hard_residuals(spark, sf):
+    own = N.enriched(preds(spark, sf))
+    flags = {"hard_human": "hard_human_candidate", "very_hard_human": "very_hard_human_candidate", "hard_llm": "hard_llm_candidate", "very_hard_llm": "very_hard_llm_candidate", "ambiguous": "ambiguous_zone"}
+    held = F.array_compact(F.array(*(F.when(F.col(c), F.lit(k)) for k, c in flags.items())))
+    return own.select("domain", F.explode(held).alias("flag")).groupBy("flag", "domain").agg(F.count("*").alias("n"))
+
+
+@query("msc20_length_stats", "SELECT source, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean FROM documents GROUP BY source")
+def length_stats(spark, sf):
+    return table(spark, sf, "documents").groupBy("source").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 6).alias("mean"))
+
+
+@query("agg12_error_ids", f"SELECT domain, CASE WHEN label = 0 THEN 'fp' ELSE 'fn' END AS kind, id FROM ({PREDS_SQL}) WHERE (label = 0) = (p_step7 >= 0.55)")
+def error_ids(spark, sf):
+    """A row for each error: the long form of id lists, which no task has to hold."""
+    return scored(spark, sf).where("label <> pred").select("domain", F.when(F.col("label") == 0, "fp").otherwise("fn").alias("kind"), "id")
