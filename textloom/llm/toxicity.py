@@ -47,7 +47,7 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _contrast(toxic: list[list[str]], ordinary: list[list[str]], least: float = 15.0) -> list[str]:
+def _contrast(toxic: list[list[str]], ordinary: list[list[str]], least: float = 25.0) -> list[str]:
     """Stretches for the toxic dictionary: log-likelihood ratio over `least`, 25 times as frequent, in different contexts."""
     count: tuple[Counter, Counter] = (Counter(), Counter())
     for ws in toxic:
