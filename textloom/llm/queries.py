@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.ann import nearest_neighbours
-from textloom.llm.common import table
+from textloom.llm.common import spread, table
 from textloom.llm.html import extract
 from textloom.llm.minhash import near_duplicates
 from textloom.llm.mixing import mix, taken_words
@@ -42,7 +42,7 @@ def held_out(doc_id: str = "doc_id"):
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(~held_out()))
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return score(spread(docs), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "documents"))
+    return personal_data(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,15 +58,15 @@ def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"), keep=False)
+    return encode_decode(spread(table(spark, sf_dir, "documents")), keep=False)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
