@@ -24,10 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, such as one small file, dealt out to all of them; any larger one as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     labels = l.select("doc_id", F.col("quality").cast("int").alias("label"), F.col("toxic").cast("int").alias("toxic"))
-    own = d.select("doc_id", "text", F.col("lang").alias("domain"), "source").join(labels, "doc_id", "left")
+    own = spread(d.select("doc_id", "text", F.col("lang").alias("domain"), "source")).join(labels, "doc_id", "left")
     return own.select(F.col("doc_id").alias("id"), "text", "label", "toxic", "domain", "source", F.expr("doc_id div 2").alias("pair_id"))
 
 
