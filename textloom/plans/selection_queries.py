@@ -30,9 +30,9 @@ def last_wins(spark, sf):
 
 @query("win02_greedy_dedup")
 def greedy(spark, sf):
-    """First-wins over text key, pair and prefix at once."""
-    own = corpus(spark, sf).select("id", F.md5(T.text_key("text").cast("binary")).alias("key"), "pair_id", F.md5(T.prefix_key("text", 40).cast("binary")).alias("start"))
-    return D.greedy(own, ["key", "pair_id", "start"], "id").select("id")
+    """First-wins over id, pair and whole-text key at once; rows of one id go by text key."""
+    own = corpus(spark, sf).select("id", "pair_id", F.md5(T.text_key("text").cast("binary")).alias("key")).distinct().withColumn("at", F.struct("id", "key"))
+    return D.greedy(own, ["id", "pair_id", "key"], "at").select("id")
 
 
 @query("win04_prefix_dedup", f"SELECT min(id) AS id FROM ({CORPUS_SQL}) GROUP BY substring(lower(text), 1, 300)")
