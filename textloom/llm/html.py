@@ -2,13 +2,15 @@
 
 Markup is stripped first: every block-level tag begins a new line, inline tags vanish, and elements that are never
 main text (scripts, menus, footers, forms, adverts by their class or id, and so on) leave empty lines. Where the page marks its article, only
-that has length. A line's length is its text outside links. The lengths of WINDOW lines in a row make a block: text begins where
-blocks surge over the threshold and ends where they dive to nothing, and all lines between are kept whole.
+that has length. A line's length is its text outside links. The lengths of WINDOW lines of text in a row make a block, whatever markup
+stands between them: text begins where blocks surge over the threshold and ends where they dive to nothing, and all lines between are kept
+whole. A form or marked wrapper that the page's article or nearly all of its text stands in is not left out.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,7 +29,8 @@ _MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "noframes")}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_DROP = set("script style head title noscript template svg math canvas iframe object embed audio video nav footer aside form button select option textarea input dialog menu noembed noframes applet map".split())
+_INLINE |= set("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split())
+_DROP = set("script style head title noscript template svg annotation annotation-xml canvas iframe object embed audio video nav footer aside form button select option textarea input dialog menu noembed noframes applet map".split())
 _BAD = re.compile(r"(?:^|[\s_]|(?<!\bhas)(?<!\bno)(?<!\bwith)(?<!\bwithout)-)(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alerts?|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|comments?|disqus|respond|replies|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|paywall|widget|pagination|pager|toolbar|skip-link|sr-only)(?:$|[\s_-])", re.I)
 #: Only outside an article: in one, a header holds its title.
 _HEAD = re.compile(r"(?:^|[\s_-])(?:header|page-header|site-header)(?:$|[\s_-])", re.I)
@@ -38,33 +41,39 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
-def _dropped(tag: str, marks: str, inside: bool) -> bool:
-    if tag in _DROP:
-        return True
-    if tag == "header":
-        return not inside
-    if tag in ("html", "body", "main") or not marks:
-        return False
+def _dropped(tag: str, marks: str, inside: bool) -> int:
+    """0 for an element that stays, 1 for one that goes, 2 for one that goes unless it holds the page's main text."""
+    if tag in _DROP and tag != "form":
+        return 1
+    bad = 2 if tag == "form" or tag == "header" and not inside else 0
+    if tag in ("html", "body", "main", "header") or not marks:
+        return bad
     for name, a, b, c in _MARKS.findall(marks):
         name, value = name.lower(), (a or b or c).strip()
-        if name in ("class", "id") and (_BAD.search(value) or not inside and tag != "article" and _HEAD.search(value)):
-            return True
-        if name == "role" and value.lower() in _ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+        if name in ("class", "id") and (_BAD.search(value) or not inside and tag != "article" and _HEAD.search(value)) or name == "role" and value.lower() in _ROLE:
+            bad = 2
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return 1
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 1
+    return bad
 
 
-def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, bool]:
-    """Lines of text, their lengths outside links, whether each stands in an article, and whether the page has one."""
+def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], np.ndarray, np.ndarray, bool, frozenset[int]]:
+    """Lines of text, their lengths outside links, whether each stands in an article, whether the page has one, and where elements begin that were left out but hold its main text; those in spared are not left out."""
     text: list[str] = []
     plain: list[int] = []
     within: list[bool] = []
     piece: list[str] = []
     free = 0
-    stack: list[tuple[str, bool]] = []
-    off = links = articles = 0
+    #: Tag, how it is dropped, and for what may be spared its number in `wraps`.
+    stack: list[tuple[str, int, int]] = []
+    off = hard = links = articles = 0
+    #: Letters outside links and what is dropped for good; those of them in articles and in <main>; open articles and <main>s that count for these.
+    letters = [0, 0, 0]
+    good = [0, 0]
+    #: Where it begins, whether it is a form outside articles, and its letters: what was counted before, then what stands in it.
+    wraps: list[list] = []
     marked = False
 
     def end() -> None:
@@ -76,15 +85,30 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, bool]:
         free = 0
 
     def pop(n: int) -> None:
-        nonlocal off, links, articles
+        nonlocal off, hard, links, articles
         while len(stack) > n:
-            tag, bad = stack.pop()
-            off -= bad
+            tag, bad, wrap = stack.pop()
+            off -= bad > 0
+            hard -= bad == 1
+            if wrap >= 0:
+                wraps[wrap][2:] = [b - a for a, b in zip(wraps[wrap][2:], letters, strict=True)]
+            if not bad:
+                good[0] -= tag in ("article", "main")
+                good[1] -= tag == "main"
             links -= tag == "a"
             articles -= tag in ("article", "main")
 
+    def count(s: str) -> None:
+        if not hard and not links:
+            n = len(s.strip())
+            letters[0] += n
+            letters[1] += n if good[0] else 0
+            letters[2] += n if good[1] else 0
+
     at = 0
     for m in iter(lambda: _TOKEN.search(page, at), None):
+        if m.start() > at and not hard:
+            count(page[at : m.start()])
         if m.start() > at and not off:
             s = page[at : m.start()]
             piece.append(s)
@@ -117,41 +141,55 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, bool]:
                 break
             if stack[k][0] in stop or not same:
                 break
-        bad = _dropped(tag, m[3], articles > 0)
-        stack.append((tag, bad))
-        off += bad
+        bad = 0 if m.start() in spared else _dropped(tag, m[3], articles > 0)
+        wrap = -1
+        if bad == 2 and not hard:
+            wrap = len(wraps)
+            wraps.append([m.start(), tag == "form", *(letters[:1] + [n if not good[0] else math.inf for n in letters[1:]])])
+        stack.append((tag, bad, wrap))
+        off += bad > 0
+        hard += bad == 1
+        if not bad:
+            good[0] += tag in ("article", "main")
+            good[1] += tag == "main"
         links += tag == "a"
         if tag in ("article", "main") and not off:
             marked = True
         articles += tag in ("article", "main")
+    count(page[at:])
     if not off:
         s = page[at:]
         piece.append(s)
         free += len(s.strip())
     end()
-    return text, np.array(plain), np.array(within), marked
+    pop(0)
+    kept = any(t and w for t, w in zip(text, within, strict=True))
+    holds = lambda form, n, article, main: (article if form else main) > 0 or not kept and n > SURGE and (form and 2 * n > letters[0] or letters[0] - n < SURGE)
+    return text, np.array(plain), np.array(within), marked, frozenset(x[0] for x in wraps if holds(*x[1:]))
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page: its blocks, one a line. A null or empty page, or one without text, has none."""
-    text, plain, within, marked = lines(page or "")
-    full = np.array([bool(t) for t in text])
-    if marked and (full & within).any():
-        least, size = 0, np.where(within & full, np.maximum(plain, 1), 0)
-    else:
-        least, size = SURGE, np.where(full, plain, 0)
-    # blocks over the lines that hold anything, and the empty ones between
-    block = np.convolve(size, np.ones(WINDOW, int))[WINDOW - 1 :]
-    if not marked and not (block > least).any():
-        least = int(block.max(initial=0)) // 2
+    text, plain, within, marked, wraps = lines(page or "")
+    if wraps:
+        text, plain, within, marked, _ = lines(page or "", wraps)
+    # empty lines, which markup makes, count for nothing
+    full = [k for k, t in enumerate(text) if t]
+    if not full:
+        return ""
+    text, plain, within = [text[k] for k in full], plain[full], within[full]
+    if marked and within.any():
+        return "\n".join(t for t, w in zip(text, within, strict=True) if w)
+    block = np.convolve(plain, np.ones(WINDOW, int))[WINDOW - 1 :]
+    least = SURGE if (block > SURGE).any() else int(block.max()) // 2
     keep = np.zeros(len(text), bool)
     at = 0
     while at < len(text):
-        if block[at] > least and size[at] > 0:
+        if block[at] > least and plain[at] > 0:
             to = at
             while to < len(text) and block[to] > 0:
                 to += 1
-            keep[at:to] = size[at:to] > 0
+            keep[at:to] = True
             at = to
         else:
             at += 1
