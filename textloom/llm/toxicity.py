@@ -1,7 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries and the lengths to which they compress each window.
 
-Training finds stretches (beginnings of words) that toxic documents hold far oftener than ordinary ones, in
-many contexts. The toxic dictionary is ordinary vocabulary followed by those stretches, the ordinary one the same vocabulary
+Training finds stretches (beginnings of words, and short words whole) that toxic documents hold far oftener than ordinary
+ones, copies aside. The toxic dictionary is ordinary vocabulary followed by those stretches, the ordinary one the same vocabulary
 followed by as many bytes that never match. Both go to zstandard as raw content, so they share its entropy tables and
 differ in what they know alone. A window is a word, written REPEAT times: a frame's fixed costs then cancel, and the
 difference of the two lengths is what the toxic dictionary saves on the word. Words are lower-cased; each distinct
@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,7 @@ SHORTEST, LONGEST = 4, 14
 LEVEL, MIN_MATCH = 6, 6
 #: Before each word: with it, a match of the least length holds a beginning of four letters.
 MARK = b"\x01\x02"
+END = MARK.decode()
 _WORD = re.compile(r"[^\W\d_]{2,64}")
 BASE_BYTES = 16_384
 CACHE_WORDS = 300_000
@@ -47,29 +48,29 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _stretches(ws: Iterable[str]) -> set[str]:
+    """Beginnings of words, and short words whole: with the mark that follows one."""
+    out = {w[:n] for w in set(ws) for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    out.update(w + END for w in set(ws) if len(w) < SHORTEST)
+    return out
+
+
 def _contrast(toxic: list[list[str]], ordinary: list[list[str]], least: float = 25.0) -> list[str]:
-    """Stretches for the toxic dictionary: log-likelihood ratio over `least`, 25 times as frequent, in different contexts."""
+    """Stretches for the toxic dictionary: by the documents that hold them, copies aside, log-likelihood ratio over `least` and 25 times as frequent."""
+    toxic, ordinary = ([list(d) for d in dict.fromkeys(map(tuple, side))] for side in (toxic, ordinary))
     count: tuple[Counter, Counter] = (Counter(), Counter())
     for ws in toxic:
-        count[0].update({w[:n] for w in set(ws) for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
+        count[0].update(_stretches(ws))
     often = {g for g, n in count[0].items() if n >= 3}
-    contexts: dict[str, set[str]] = {}
-    for ws in toxic:
-        for before, w in zip(["", *ws], ws, strict=False):
-            for n in range(SHORTEST, min(len(w), LONGEST) + 1):
-                if w[:n] in often and len(s := contexts.setdefault(w[:n], set())) < 1000:
-                    s.add(before)
-    often = {g for g in often if len(contexts[g]) >= 3}
     for ws in ordinary:
-        count[1].update({w[:n] for w in set(ws) for n in range(SHORTEST, min(len(w), LONGEST) + 1)} & often)
+        count[1].update(_stretches(ws) & often)
     nt, no = len(toxic), len(ordinary)
 
     def ratio(a: float, b: float) -> float:
         cells = ((a, nt, a + b), (b, no, a + b), (nt - a, nt, nt + no - a - b), (no - b, no, nt + no - a - b))
         return 2 * sum(x * math.log(x * (nt + no) / (r * c)) for x, r, c in cells if x > 0)
 
-    # copies of a document repeat a word's context: a word counts for its contexts at the most
-    good = {g: min(count[0][g], len(contexts[g])) for g in often}
+    good = {g: count[0][g] for g in often}
     good = {g: n for g, n in good.items() if n * no > 25 * count[1][g] * nt and ratio(n, count[1][g]) >= least}
     # of nested beginnings, the longest that is nearly as frequent
     longest = [g for g in good if not any(h != g and h.startswith(g) and good[h] >= 0.8 * good[g] for h in good)]
@@ -156,13 +157,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 def _dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, bytes]:
     known = _contrast(toxic, ordinary)
-    lexicon = b"".join(MARK + g.encode() + b"\xff" for g in known)[-32_768:]
+    lexicon = b"".join((MARK + g.encode() if g[-1] != END[-1] else _window(g[: -len(END)]) + MARK) + b"\xff" for g in known)[-32_768:]
     count = Counter(w for ws in ordinary for w in ws)
     base, size = [], 0
     for w, _ in sorted(count.items(), key=lambda c: (-c[1], c[0])):
         if size > BASE_BYTES:
             break
-        if not any(w.startswith(g) for g in known[-200:]):
+        if not any((w + END).startswith(g) for g in known[-200:]):
             base.append(w)
             size += len(w.encode()) + 1
     common = b"".join(MARK + w.encode() for w in reversed(base))
