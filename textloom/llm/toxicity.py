@@ -1,23 +1,27 @@
-"""Toxicity by compression distance: two zstandard dictionaries and the lengths to which they compress each window.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, and the lengths to which they compress each window.
 
-Training finds stretches (beginnings of words, and short words whole) that toxic documents hold far oftener than ordinary
-ones, copies aside. The toxic dictionary is ordinary vocabulary followed by those stretches, the ordinary one the same vocabulary
-followed by as many bytes that never match. Both go to zstandard as raw content, so they share its entropy tables and
-differ in what they know alone. A window is a word, written REPEAT times: a frame's fixed costs then cancel, and the
-difference of the two lengths is what the toxic dictionary saves on the word. Words are lower-cased; each distinct
-word of a batch is compressed once.
+A text is lower-cased, runs of other characters than letters and digits become one space, and its UTF-8 bytes are cut into overlapping windows. A
+window's saving is its compressed length with the ordinary dictionary less that with the toxic one. Both dictionaries begin with
+the same content, trained on ordinary text; what differs is trained on windows of toxic and of ordinary documents, as many bytes of either.
 
-A document's features are the number and the size of savings over a threshold; a logistic model on
-out-of-fold features calibrates threshold and score.
+A toxic document is mostly ordinary text, so its label is one for a bag of windows. A committee of dictionaries, each trained on the
+whole text of one part of either class, first says which windows are more toxic than ordinary to all members that have not seen
+the document. Rounds follow: the dictionaries are trained on the windows of each document with the largest savings,
+and all windows are compressed anew by dictionaries trained without their own part. The ordinary dictionary thus learns
+what the toxic one would wrongly save on. No word is ever picked, listed or looked up.
+
+Thresholds are calibrated on savings by dictionaries that have not seen the document: each saving weighs as the
+log of its share among toxic over that among ordinary windows, less what ordinary windows weigh on average, and a logistic model maps a document's
+sum, sum over the root of its windows, largest saving and number of windows to its score.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -26,208 +30,258 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import small_batches
-
-#: Labelled documents of either class that a classifier is fitted on, at most, and the bytes of one that training reads at most.
-SAMPLE_DOCS, SAMPLE_BYTES = 2000, 200_000
-REPEAT = 4
-#: Letters of a beginning.
-SHORTEST, LONGEST = 4, 14
-#: Shorter matches are shared with chance.
-LEVEL, MIN_MATCH = 6, 6
-#: Before each word: with it, a match of the least length holds a beginning of four letters.
-MARK = b"\x01\x02"
-END = MARK.decode()
-_WORD = re.compile(r"[^\W\d_]{2,64}")
-BASE_BYTES = 16_384
-CACHE_WORDS = 300_000
-
-
-def words(text: str) -> list[str]:
-    """A text's words, lower-cased: letters of any script, of which runs beyond 64 are cut."""
-    return _WORD.findall(text.lower())
-
-
-def _stretches(ws: Iterable[str]) -> set[str]:
-    """Beginnings of words, and short words whole: with the mark that follows one."""
-    out = {w[:n] for w in set(ws) for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
-    out.update(w + END for w in set(ws) if len(w) < SHORTEST)
-    return out
-
-
-def _contrast(toxic: list[list[str]], ordinary: list[list[str]], least: float = 25.0) -> list[str]:
-    """Stretches for the toxic dictionary: by the documents that hold them, copies aside, log-likelihood ratio over `least` and 25 times as frequent."""
-    toxic, ordinary = ([list(d) for d in dict.fromkeys(map(tuple, side))] for side in (toxic, ordinary))
-    count: tuple[Counter, Counter] = (Counter(), Counter())
-    for ws in toxic:
-        count[0].update(_stretches(ws))
-    often = {g for g, n in count[0].items() if n >= 3}
-    for ws in ordinary:
-        count[1].update(_stretches(ws) & often)
-    nt, no = len(toxic), len(ordinary)
-
-    def ratio(a: float, b: float) -> float:
-        cells = ((a, nt, a + b), (b, no, a + b), (nt - a, nt, nt + no - a - b), (no - b, no, nt + no - a - b))
-        return 2 * sum(x * math.log(x * (nt + no) / (r * c)) for x, r, c in cells if x > 0)
-
-    good = {g: count[0][g] for g in often}
-    good = {g: n for g, n in good.items() if n * no > 25 * count[1][g] * nt and ratio(n, count[1][g]) >= least}
-    # of nested beginnings, the longest that is nearly as frequent
-    longest = [g for g in good if not any(h != g and h.startswith(g) and good[h] >= 0.8 * good[g] for h in good)]
-    kept: list[str] = []
-    for g in sorted(longest, key=len):
-        if not any(g.startswith(h) for h in kept):
-            kept.append(g)
-    return sorted(kept, key=lambda g: (good[g], g))
-
-
-def _window(word: str) -> bytes:
-    return (MARK + word.encode()) * REPEAT
+from textloom.llm.common import mix64, slices, small_batches
+
+#: Labelled documents of either class that a classifier is fitted on, at most.
+SAMPLE_DOCS = 2000
+#: Bytes of a window and from one to the next.
+WINDOW, STEP = 32, 16
+PARTS, ROUNDS = 4, 5
+#: Windows of a document that a round's dictionaries are trained on.
+TOP = 3
+#: Bytes of the content that both dictionaries begin with, of what each adds, and of a committee's member.
+BASE_BYTES, OWN_BYTES, MEMBER_BYTES = 500_000, 8192, 65_536
+#: Bytes that text is cut into to train on whole texts.
+PIECE = 256
+#: A level that searches all matches: savings of faster ones hang on which positions their tables happen to keep.
+LEVEL, MIN_MATCH = 13, 6
+#: Savings beyond these weigh like these.
+LEAST, MOST = -8, 24
+_OTHER = re.compile(r"[\W_]+")
+
+
+def normalised(text: str | None) -> bytes:
+    """What of a text is compressed; nothing of one without letters or digits."""
+    words = _OTHER.sub(" ", (text or "").lower()).strip()
+    return f" {words} ".encode() if words else b""
+
+
+class Windows:
+    """The overlapping windows of some texts: where each begins and ends in their joined bytes, and whose it is.
+
+    A window that a text repeats counts once: repetition is no further evidence. Every byte lies in a window; only a text's last one may be shorter.
+    """
+
+    def __init__(self, texts: Sequence[bytes]):
+        size = np.array([len(t) for t in texts], np.int64)
+        self.data = b"".join(texts)
+        count = np.where(size > 0, np.maximum(1, -(-(size - WINDOW) // STEP) + 1), 0)
+        owner = np.repeat(np.arange(len(texts)), count)
+        offset = (np.arange(len(owner)) - (np.cumsum(count) - count)[owner]) * STEP
+        begin = (np.cumsum(size) - size)[owner] + offset
+        length = np.minimum(WINDOW, size[owner] - offset)
+        mark = self._hashes(begin, length)
+        order = np.lexsort((mark, owner))
+        key = np.stack([owner, mark.view(np.int64)])[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+        first = np.sort(order[new])  # lexsort is stable: the first of equal windows
+        self.owner, self.begin, self.size = owner[first], begin[first], length[first]
+        self.count = np.bincount(self.owner, minlength=len(texts))
+
+    def _hashes(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        raw = np.frombuffer(self.data + bytes(WINDOW), np.uint8)
+        out = np.empty(len(begin), np.uint64)
+        for at in range(0, len(begin), 65_536):
+            b, n = begin[at : at + 65_536, None], size[at : at + 65_536, None]
+            inside = np.arange(WINDOW)[None] < n
+            eight = np.where(inside, raw[b + np.arange(WINDOW)[None]], 0).astype(np.uint8).view(np.uint64)
+            h = n[:, 0].astype(np.uint64)
+            for k in range(eight.shape[1]):
+                h = mix64(h ^ eight[:, k])
+            out[at : at + len(b)] = h
+        return out
+
+    def cut(self, some: np.ndarray) -> list[bytes]:
+        return [self.data[b : b + n] for b, n in zip(self.begin[some].tolist(), self.size[some].tolist(), strict=True)]
+
+    def lengths(self, compressor: zstd.ZstdCompressor, some: np.ndarray | None = None) -> np.ndarray:
+        """Compressed lengths of the windows, or of some of them."""
+        begin, size = (self.begin, self.size) if some is None else (self.begin[some], self.size[some])
+        out = np.empty(len(begin), np.int64)
+        for at in range(0, len(begin), 32_768):
+            b, n = begin[at : at + 32_768], size[at : at + 32_768]
+            low, high = int(b.min()), int((b + n).max())
+            segments = np.stack([b - low, n], axis=1).astype(np.uint64).tobytes()
+            got = compressor.multi_compress_to_buffer(zstd.BufferWithSegments(self.data[low:high], segments), threads=0)
+            out[at : at + len(b)] = np.fromiter((len(s) for s in got), np.int64, len(b))
+        return out
+
+
+def compressor(content: bytes) -> zstd.ZstdCompressor:
+    """Content is given raw: entropy tables would differ between dictionaries and blur small differences of length."""
+    content = content or b" "
+    p = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), min_match=MIN_MATCH, write_checksum=0, write_content_size=0, write_dict_id=0)
+    return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=p)
+
+
+def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary of at most `size` bytes trained on samples, whose segments have about `segment` bytes; of too few samples, themselves."""
+    order = np.random.Generator(np.random.PCG64(2)).permutation(len(samples))
+    samples = [samples[i] for i in order]  # long runs of like samples would end the training early
+    total = sum(map(len, samples))
+    try:
+        return zstd.train_dictionary(min(size, max(256, total)), samples, k=segment, d=8, f=20, accel=1).as_bytes()
+    except zstd.ZstdError:
+        return b"".join(samples)[:size]
+
+
+def _pieces(texts: list[bytes]) -> list[bytes]:
+    return [t[a : a + PIECE] for t in texts for a in range(0, len(t), PIECE)]
 
 
 @dataclass
 class Model:
-    """Dictionaries' contents, the saving that counts, and the weights of (1, log(1 + hits), best saving, hits per word)."""
+    """The dictionaries' contents, the weight of each saving, and the logistic model of the features with their means and deviations."""
 
-    toxic: bytes
-    ordinary: bytes
-    threshold: int
-    weights: list[float]
+    base: bytes = b""
+    toxic: bytes = b""
+    ordinary: bytes = b""
+    weights: list[float] = field(default_factory=lambda: [0.0] * (MOST - LEAST + 1))
+    logistic: list[float] = field(default_factory=lambda: [0.0] * 5)
+    centre: list[float] = field(default_factory=lambda: [0.0] * 4)
+    spread: list[float] = field(default_factory=lambda: [1.0] * 4)
 
-    def compressors(self) -> tuple[zstd.ZstdCompressor, zstd.ZstdCompressor]:
-        def one(content: bytes) -> zstd.ZstdCompressor:
-            size = len(content) + 4096
-            p = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=256, dict_size=size, min_match=MIN_MATCH, write_checksum=0, write_content_size=0, write_dict_id=0)
-            return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=p)
 
-        return one(self.ordinary), one(self.toxic)
+def features(windows: Windows, saved: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each text: the sum of its savings' weights, that over the root of its windows, its largest saving, and the log of its windows."""
+    n = len(windows.count)
+    saved = np.clip(saved, LEAST, MOST)
+    total = np.bincount(windows.owner, weights[saved - LEAST], n)
+    top = np.zeros(n)
+    np.maximum.at(top, windows.owner, saved)
+    return np.column_stack([total, total / np.sqrt(np.maximum(1, windows.count)), top, np.log1p(windows.count)])
 
 
 class Scorer:
-    """A model with its compressors and the savings of words seen."""
+    """A model with its compressors."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.pair = model.compressors()
-        self.saved: dict[str, int] = {}
-
-    def savings(self, new: list[str]) -> np.ndarray:
-        windows = [_window(w) for w in new]
-        size = np.fromiter(map(len, windows), np.uint64, len(windows))
-        segments = np.stack([np.cumsum(size) - size, size], axis=1).astype(np.uint64).tobytes()
-        data = zstd.BufferWithSegments(b"".join(windows), segments)
-        lengths = []
-        for c in self.pair:
-            got = c.multi_compress_to_buffer(data, threads=0)
-            lengths.append(np.fromiter((len(s) for s in got), np.int64, len(windows)))
-        return lengths[0] - lengths[1]
-
-    def features(self, texts: list[list[str]]) -> np.ndarray:
-        if len(self.saved) > CACHE_WORDS:
-            self.saved = {}
-        new = list(set().union(*texts).difference(self.saved))
-        if new:
-            self.saved.update(zip(new, self.savings(new).tolist(), strict=True))
-        out = np.zeros((len(texts), 3))
-        for k, ws in enumerate(texts):
-            hits = [s for s in map(self.saved.__getitem__, ws) if s >= self.model.threshold]
-            if hits:
-                out[k] = math.log1p(len(hits)), max(hits), len(hits) / len(ws)
-        return out
+        self.weights = np.array(model.weights)
+        self.pair = compressor(model.base + model.ordinary), compressor(model.base + model.toxic)
+
+    def savings(self, windows: Windows) -> np.ndarray:
+        return windows.lengths(self.pair[0]) - windows.lengths(self.pair[1])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = self.features([words(t or "") for t in texts])
-        z = np.column_stack([np.ones(len(x)), x]) @ np.array(self.model.weights)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        m, windows = self.model, Windows([normalised(t) for t in texts])
+        x = (features(windows, self.savings(windows), self.weights) - m.centre) / m.spread
+        return 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ np.array(m.logistic), -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
-    for _ in range(50):
+    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    keep[0] = 1e-6
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep)
-        step = np.linalg.solve(h, x.T @ (y - p) - keep * w)
-        w += step
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (each * (y - p)) - keep * w)
+        w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def _dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, bytes]:
-    known = _contrast(toxic, ordinary)
-    lexicon = b"".join((MARK + g.encode() if g[-1] != END[-1] else _window(g[: -len(END)]) + MARK) + b"\xff" for g in known)[-32_768:]
-    count = Counter(w for ws in ordinary for w in ws)
-    base, size = [], 0
-    for w, _ in sorted(count.items(), key=lambda c: (-c[1], c[0])):
-        if size > BASE_BYTES:
-            break
-        if not any((w + END).startswith(g) for g in known[-200:]):
-            base.append(w)
-            size += len(w.encode()) + 1
-    common = b"".join(MARK + w.encode() for w in reversed(base))
-    never = np.random.Generator(np.random.PCG64(3)).integers(0xF8, 0xFF, len(lexicon), dtype=np.uint8).tobytes()
-    return common + lexicon, common + never
-
-
-def train(texts: list[str], toxic: list[int], folds: int = 4) -> Model:
-    """A model from labelled texts. One class alone, or none, gives a model that scores everything with that class's smoothed rate."""
-    y = np.array(toxic, float)
-    if not len(y) or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.25
-        return Model(b" ", b" ", 1 << 30, [math.log(rate / (1 - rate)), 0.0, 0.0, 0.0])
-    docs = [words(t[:SAMPLE_BYTES]) for t in texts]
-    fold = np.zeros(len(y), int)
-    for c in (0, 1):
-        own = np.flatnonzero(y == c)
-        fold[own] = np.arange(len(own)) % folds
-    pick = lambda on, c: [d for d, keep, t in zip(docs, on, y, strict=True) if keep and t == c]
-    scorers = []
-    for f in range(folds):
-        t, o = _dictionaries(pick(fold != f, 1), pick(fold != f, 0))
-        scorers.append(Scorer(Model(t, o, 0, [])))
-    best = None
-    for threshold in range(1, 9):
-        x = np.zeros((len(y), 3))
-        for f, s in enumerate(scorers):
-            s.model.threshold = threshold
-            own = np.flatnonzero(fold == f)
-            x[own] = s.features([docs[k] for k in own])
-        w = _logistic(x, y)
-        p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ w, -30, 30)))
-        loss = -np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12))
-        if best is None or loss < best[0] - 1e-6:
-            best = (loss, threshold, w)
-    t, o = _dictionaries(pick(fold >= 0, 1), pick(fold >= 0, 0))
-    return Model(t, o, best[1], best[2].tolist())
+def _largest(windows: Windows, saved: np.ndarray) -> np.ndarray:
+    """Each text's TOP windows of the largest savings, where they save at all."""
+    order = np.lexsort((-saved, windows.owner))
+    first = np.cumsum(windows.count) - windows.count
+    rank = np.arange(len(order)) - first[windows.owner[order]]
+    out = np.zeros(len(order), bool)
+    out[order] = rank < TOP
+    return out & (saved > 0)
+
+
+def train(texts: list[str | None], toxic: list[int], share: float | None = None) -> Model:
+    """A model from labelled texts, of which a share of `share` (as in the texts, if None) is toxic where it will be used.
+
+    With fewer than two texts of a class, every text scores the smoothed share of toxic ones. Texts without letters or digits are
+    no evidence for either class but count in that share.
+    """
+    y = np.array(toxic, int)
+    counts = [int((y == c).sum()) for c in (0, 1)]
+    share = (counts[1] + 0.5) / (len(y) + 1) if share is None else share
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    bags = [[t for t in (normalised(t) for t, own in zip(texts, y, strict=True) if own == c) if t] for c in (0, 1)]
+    if min(map(len, bags)) < 2:
+        return Model(logistic=[math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0])
+    parts = min(PARTS, *map(len, bags))
+    windows = [Windows(b) for b in bags]
+    part = [w.owner % parts for w in windows]
+    member = [[compressor(dictionary(_pieces(b[p::parts]), MEMBER_BYTES, 64)) for p in range(parts)] for b in bags]
+    saved = []
+    for w, own in zip(windows, part, strict=True):
+        length = np.stack([[w.lengths(c) for c in side] for side in member])
+        # a member does not judge the part that it was trained on
+        length[0][own[None] == np.arange(parts)[:, None]] = 1 << 30
+        length[1][own[None] == np.arange(parts)[:, None]] = 0
+        saved.append(length[0].min(axis=0) - length[1].max(axis=0))
+    base = [dictionary(_pieces([t for k, t in enumerate(bags[0]) if k % parts != p]), BASE_BYTES, 64) for p in range(parts + 1)]
+
+    def contents(p: int) -> tuple[bytes, bytes, bytes]:
+        ordinary, known = (dictionary(w.cut(np.flatnonzero((own != p) & _largest(w, s))), OWN_BYTES, 16) for w, own, s in zip(windows, part, saved, strict=True))
+        return base[p], known, ordinary
+
+    for _ in range(ROUNDS):
+        new = [np.zeros_like(s) for s in saved]
+        for p in range(parts):
+            s = Scorer(Model(*contents(p)))
+            for w, own, out in zip(windows, part, new, strict=True):
+                mine = np.flatnonzero(own == p)
+                out[mine] = w.lengths(s.pair[0], mine) - w.lengths(s.pair[1], mine)
+        saved = new
+    # the last savings, all by dictionaries that have not seen the text
+    count = [np.bincount(np.clip(s, LEAST, MOST) - LEAST, minlength=MOST - LEAST + 1) + 0.5 for s in saved]
+    weights = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    weights -= weights @ count[0] / count[0].sum()  # ordinary windows add up to nothing, however many
+    x = np.concatenate([features(w, s, weights) for w, s in zip(windows, saved, strict=True)])
+    centre, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread == 0] = 1.0
+    n = [len(b) for b in bags]
+    each = np.repeat([(1 - share) * sum(n) / n[0], share * sum(n) / n[1]], n)
+    fitted = _logistic((x - centre) / spread, np.repeat([0.0, 1.0], n), each)
+    return Model(*contents(parts), weights.tolist(), fitted.tolist(), centre.tolist(), spread.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from at most sample_docs labelled documents of each class, those whose ids have the smallest hashes.
+    """A model from at most sample_docs labelled documents of each class, whole: those whose ids have the smallest hashes.
 
-    Labels other than 0 and 1, and documents without label, are left out; a document labelled twice counts by its larger label. Only
-    the sampled ids, which the bound keeps few, go to the documents; texts are not shuffled.
+    Labels other than 0 and 1, and documents without label, are left out; a document labelled twice counts by its larger label, and
+    of rows that repeat a doc_id one counts, that whose text has the smallest hash. Only the sampled ids, which the bound keeps few, go to the documents.
+    One task trains; the driver gets the model.
     """
     own = labels.select(F.col(doc_id).cast("long").alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     some = [own.where(F.col("y") == c).orderBy(F.xxhash64("i"), "i").limit(sample_docs) for c in (0, 1)]
-    known = docs.select(F.col(doc_id).cast("long").alias("i"), F.substring(F.coalesce(F.col(text).cast("string"), F.lit("")), 1, SAMPLE_BYTES).alias("t"))
-    got = known.join(F.broadcast(some[0].unionAll(some[1])), "i").toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
-    return train(got.column("t").to_pylist(), got.column("y").to_pylist())
+    counts = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1) if counts else 0.25
+    known = docs.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    known = known.join(F.broadcast(some[0].unionAll(some[1])), "i").groupBy("i").agg(F.max("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column("i").to_pylist(), b.column("y").to_pylist(), b.column("t").to_pylist(), strict=True)]
+        rows.sort()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, _, t in rows], [c for _, c, _ in rows], share))], pa.binary())], ["model"])
+
+    got = small_batches(known).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else train([], [], share)
+
+
+def _parts(texts: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    return slices(texts, [column], 512, 1 << 20)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, predicted) for every row: the score of its whole text, and 1 where it is 0.5 or more.
 
-    A null or empty text, or one without words, has the score of no finding. Repeated rows and null ids are rows like others.
+    A null or empty text, or one without letters or digits, has the score of no finding. Repeated rows and null ids are rows like others.
     """
     docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch, "text"):
                 got = s.scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -243,6 +297,8 @@ def passed(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def rated(texts: pd.Series) -> pd.Series:
         if not s:
             s.append(Scorer(model))
-        return pd.Series(np.concatenate([s[0].scores(texts.iloc[k : k + 512].tolist()) for k in range(0, len(texts), 512)]) if len(texts) else np.zeros(0))
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
+        got = [s[0].scores(part.column("text").to_pylist()) for part in _parts(batch, "text")]
+        return pd.Series(np.concatenate(got) if got else np.zeros(0))
 
     return docs.where(rated(F.col(text).cast("string")) < 0.5)
