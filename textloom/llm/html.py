@@ -1,10 +1,16 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped first: every block-level tag begins a new line, inline tags vanish, and elements that are never
-main text (scripts, menus, footers, forms, adverts by their class or id, and so on) leave empty lines. Where the page marks its article, only
-that has length. A line's length is its text outside links. The lengths of WINDOW lines of text in a row make a block, whatever markup
-stands between them: text begins where blocks surge over the threshold and ends where they dive to nothing, and all lines between are kept
-whole. A form or marked wrapper that the page's article or nearly all of its text stands in is not left out.
+main text (scripts, menus, footers, forms, adverts by their class or id, and so on) leave empty lines. A line's length is its text
+outside links. The lengths of WINDOW lines of text in a row make a block, whatever markup stands between them. Text
+begins where blocks surge and ends where they dive to nothing, and all lines between are kept whole. Blocks surge over SURGE letters, or over half
+of the page's largest block if that is less; where the page marks its article, its first line is a surge, and its end a dive. A menu
+in an article dives like any other: WINDOW lines or more of nothing but links. Text outside a marked article is kept where a run
+of it is longer than all of the article, which then is but a teaser. A form or marked wrapper that the page's article or nearly all of
+its text stands in is not left out.
+
+Tags are read as browsers do, attribute by attribute, in time linear in the page: a `<` that no letter follows is
+text, and a tag that the page's end cuts off is none.
 """
 
 from __future__ import annotations
@@ -22,43 +28,74 @@ from pyspark.sql import functions as F
 from textloom.llm.common import small_batches
 
 WINDOW = 3
-#: Letters that a block needs to begin main text on a page that marks no article.
+#: Letters of a block that begin main text.
 SURGE = 80
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "noframes")}
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+_MARKS = {"class", "id", "role", "hidden", "aria-hidden", "style"}
+_RAW = {t: re.compile(rf"</{t}\b[^>]*+>?", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "noframes")}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _INLINE |= set("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split())
 _DROP = set("script style head title noscript template svg annotation annotation-xml canvas iframe object embed audio video nav footer aside form button select option textarea input dialog menu noembed noframes applet map".split())
-_BAD = re.compile(r"(?:^|[\s_]|(?<!\bhas)(?<!\bno)(?<!\bwith)(?<!\bwithout)-)(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alerts?|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|comments?|disqus|respond|replies|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|paywall|widget|pagination|pager|toolbar|skip-link|sr-only)(?:$|[\s_-])", re.I)
+#: Words of a class or id: it marks what is not main text if it holds a word of _BAD and no words but those of _BAD and _PLAIN.
+_BAD = set("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promotions banner cookie cookies consent gdpr notice notices alert alerts sidebar menu navbar nav navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond reply replies related recommended recommendations share sharing social newsletter subscribe subscription signup login popup modal overlay paywall widget pagination pager toolbar trending".split())
+_PLAIN = set("area bar block blog body bottom box button buttons container content cta desktop entry fixed form global group icons inline inner item items js left link links list main message mobile news outer page panel policy post posts primary reader right row secondary section site slot sm st sticky story stories text thread top unit user web wp wrap wrapper article articles".split())
+_WHOLE = {"side-bar", "skip-link", "sr-only", "screen-reader-text", "most-read"}
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Only outside an article: in one, a header holds its title.
-_HEAD = re.compile(r"(?:^|[\s_-])(?:header|page-header|site-header)(?:$|[\s_-])", re.I)
+_HEAD = {"header", "site-header", "page-header", "main-header", "top-header", "global-header"}
 _ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Tags that end an open paragraph.
 _ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
-def _dropped(tag: str, marks: str, inside: bool) -> int:
+#: A paragraph's or inline end tag does not close what stands outside these.
+_CLOSED = {"article", "main", "body", "nav", "footer", "aside", "td", "li"}
+_LOOSE = _INLINE | {"p"}
+_MARKUP = re.compile(r"<(?:[A-Za-z!?]|/[A-Za-z])")
+
+
+def _not_main(value: str) -> bool:
+    """Whether one name of a class or id marks what is not main text."""
+    if value.lower() in _WHOLE:
+        return True
+    words = {w.lower() for w in _WORD.findall(value)}
+    return not words.isdisjoint(_BAD) and words <= _BAD | _PLAIN
+
+
+def _dropped(tag: str, marks: dict[str, str], inside: bool) -> int:
     """0 for an element that stays, 1 for one that goes, 2 for one that goes unless it holds the page's main text."""
     if tag in _DROP and tag != "form":
         return 1
     bad = 2 if tag == "form" or tag == "header" and not inside else 0
     if tag in ("html", "body", "main", "header") or not marks:
         return bad
-    for name, a, b, c in _MARKS.findall(marks):
-        name, value = name.lower(), (a or b or c).strip()
-        if name in ("class", "id") and (_BAD.search(value) or not inside and tag != "article" and _HEAD.search(value)) or name == "role" and value.lower() in _ROLE:
-            bad = 2
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return 1
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return 1
+    names = marks.get("class", "").split() + marks.get("id", "").split()
+    if any(map(_not_main, names)) or not inside and tag != "article" and not _HEAD.isdisjoint(n.lower() for n in names) or marks.get("role", "").strip().lower() in _ROLE:
+        bad = 2
+    if "hidden" in marks or marks.get("aria-hidden", "").strip().lower() == "true" or _HIDDEN.search(marks.get("style", "")):
+        return 1
     return bad
 
 
+def _tag(page: str, at: int) -> tuple[str, dict[str, str], bool, int]:
+    """The name, marks and end of the tag whose name begins at `at`, and whether it closes itself; the end is -1 if the page ends first."""
+    name = _NAME.match(page, at)
+    at = name.end()
+    marks: dict[str, str] = {}
+    while m := _ATTRIBUTE.match(page, at):
+        at = m.end()
+        key = m[1].lower()
+        if key in _MARKS:
+            marks.setdefault(key, html.unescape(m[2] or m[3] or m[4] or ""))
+    end = page.find(">", at)
+    return name[0].lower(), marks, end > 0 and page[end - 1] == "/", end
+
+
 def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], np.ndarray, np.ndarray, bool, frozenset[int]]:
     """Lines of text, their lengths outside links, whether each stands in an article, whether the page has one, and where elements begin that were left out but hold its main text; those in spared are not left out."""
     text: list[str] = []
@@ -68,6 +105,8 @@ def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], n
     free = 0
     #: Tag, how it is dropped, and for what may be spared its number in `wraps`.
     stack: list[tuple[str, int, int]] = []
+    #: Where in the stack each tag is open.
+    open_: dict[str, list[int]] = {}
     off = hard = links = articles = 0
     #: Letters outside links and what is dropped for good; those of them in articles and in <main>; open articles and <main>s that count for these.
     letters = [0, 0, 0]
@@ -76,7 +115,7 @@ def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], n
     wraps: list[list] = []
     marked = False
 
-    def end() -> None:
+    def line() -> None:
         nonlocal free
         text.append(" ".join(html.unescape("".join(piece)).split()))
         plain.append(free)
@@ -88,6 +127,7 @@ def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], n
         nonlocal off, hard, links, articles
         while len(stack) > n:
             tag, bad, wrap = stack.pop()
+            open_[tag].pop()
             off -= bad > 0
             hard -= bad == 1
             if wrap >= 0:
@@ -98,6 +138,13 @@ def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], n
             links -= tag == "a"
             articles -= tag in ("article", "main")
 
+    def last(tag: str) -> int:
+        own = open_.get(tag)
+        return own[-1] if own else -1
+
+    def last_of(tags: set[str]) -> int:
+        return max((own[-1] for t in tags if (own := open_.get(t))), default=-1)
+
     def count(s: str) -> None:
         if not hard and not links:
             n = len(s.strip())
@@ -105,47 +152,55 @@ def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], n
             letters[1] += n if good[0] else 0
             letters[2] += n if good[1] else 0
 
-    at = 0
-    for m in iter(lambda: _TOKEN.search(page, at), None):
-        if m.start() > at and not hard:
-            count(page[at : m.start()])
-        if m.start() > at and not off:
-            s = page[at : m.start()]
+    def take(s: str) -> None:
+        nonlocal free
+        if not hard:
+            count(s)
+        if not off:
             piece.append(s)
             if not links:
                 free += len(s.strip())
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+
+    at = 0
+    while at < len(page):
+        begin = page.find("<", at)
+        while begin >= 0 and not _MARKUP.match(page, begin):
+            begin = page.find("<", begin + 1)
+        if begin != at:
+            take(page[at:begin] if begin >= 0 else page[at:])
+        if begin < 0:
+            break
+        if page[begin + 1] in "!?":
+            stop = "-->" if page.startswith("<!--", begin) else ">"
+            end = page.find(stop, begin + 2)
+            at = end + len(stop) if end >= 0 else len(page)
             continue
+        closing = page[begin + 1] == "/"
+        tag, marks, alone, end = _tag(page, begin + 1 + closing)
+        if end < 0:
+            break
+        at = end + 1
         if tag not in _INLINE and tag not in ("script", "style", "noscript", "template"):
-            end()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in ("article", "main", "body", "nav", "footer", "aside", "td", "li") and tag in _INLINE | {"p"}:
-                    break
+            line()
+        if closing:
+            if (k := last(tag)) >= 0 and not (tag in _LOOSE and last_of(_CLOSED) > k):
+                pop(k)
             continue
-        if tag in _VOID or m[3].endswith("/") and tag not in ("p", "div", "span", "a", "b", "i"):
+        if tag in _VOID or alone and tag not in ("p", "div", "span", "a", "b", "i"):
             continue
         if tag in _RAW:
             close = _RAW[tag].search(page, at)
             at = close.end() if close else len(page)
             continue
         same, stop = ({"p"}, _ENDS_P - {"p"}) if tag in _ENDS_P else (_SAME.get(tag, set()), _SCOPE.get(tag, set()))
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in same:
-                pop(k)
-                break
-            if stack[k][0] in stop or not same:
-                break
-        bad = 0 if m.start() in spared else _dropped(tag, m[3], articles > 0)
+        if same and (k := last_of(same)) >= 0 and last_of(stop) < k:
+            pop(k)
+        bad = 0 if begin in spared else _dropped(tag, marks, articles > 0)
         wrap = -1
         if bad == 2 and not hard:
             wrap = len(wraps)
-            wraps.append([m.start(), tag == "form", *(letters[:1] + [n if not good[0] else math.inf for n in letters[1:]])])
+            wraps.append([begin, tag == "form", *(letters[:1] + [n if not good[0] else math.inf for n in letters[1:]])])
+        open_.setdefault(tag, []).append(len(stack))
         stack.append((tag, bad, wrap))
         off += bad > 0
         hard += bad == 1
@@ -156,18 +211,44 @@ def lines(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[str], n
         if tag in ("article", "main") and not off:
             marked = True
         articles += tag in ("article", "main")
-    count(page[at:])
-    if not off:
-        s = page[at:]
-        piece.append(s)
-        free += len(s.strip())
-    end()
+    line()
     pop(0)
     kept = any(t and w for t, w in zip(text, within, strict=True))
     holds = lambda form, n, article, main: (article if form else main) > 0 or not kept and n > SURGE and (form and 2 * n > letters[0] or letters[0] - n < SURGE)
     return text, np.array(plain), np.array(within), marked, frozenset(x[0] for x in wraps if holds(*x[1:]))
 
 
+def blocks(plain: np.ndarray) -> np.ndarray:
+    """The sum of each line's length and those of the lines after it, WINDOW in all; beyond the last there is nothing."""
+    return np.convolve(plain, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
+
+
+def runs(plain: np.ndarray, within: np.ndarray, marked: bool) -> np.ndarray:
+    """Which lines of text are main text, by the lines' lengths and whether they stand in an article."""
+    keep = np.zeros(len(plain), bool)
+    sums = blocks(plain)
+    least = min(SURGE, int(sums.max()) // 2)
+    marked = marked and bool(within.any())
+    article = int(plain[within].sum())
+    edges = [0, *(np.flatnonzero(within[1:] != within[:-1]) + 1).tolist(), len(plain)] if marked else [0, len(plain)]
+    for begin, end in zip(edges, edges[1:], strict=False):
+        inside = marked and bool(within[begin])
+        at = begin
+        while at < end:
+            if not inside and not (sums[at] > least and plain[at] > 0):
+                at += 1
+                continue
+            to = at
+            # a dive: a whole window of nothing, of which an article's last lines are too few
+            while to < end and (plain[to : to + WINDOW if inside else min(to + WINDOW, end)].any() or inside and to + WINDOW > end):
+                to += 1
+            keep[at:to] = inside or not marked or plain[at:to].sum() > article
+            at = to
+            while at < end and plain[at] == 0:
+                at += 1
+    return keep
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its blocks, one a line. A null or empty page, or one without text, has none."""
     text, plain, within, marked, wraps = lines(page or "")
@@ -177,23 +258,8 @@ def main_text(page: str | None) -> str:
     full = [k for k, t in enumerate(text) if t]
     if not full:
         return ""
-    text, plain, within = [text[k] for k in full], plain[full], within[full]
-    if marked and within.any():
-        return "\n".join(t for t, w in zip(text, within, strict=True) if w)
-    block = np.convolve(plain, np.ones(WINDOW, int))[WINDOW - 1 :]
-    least = SURGE if (block > SURGE).any() else int(block.max()) // 2
-    keep = np.zeros(len(text), bool)
-    at = 0
-    while at < len(text):
-        if block[at] > least and plain[at] > 0:
-            to = at
-            while to < len(text) and block[to] > 0:
-                to += 1
-            keep[at:to] = True
-            at = to
-        else:
-            at += 1
-    return "\n".join(t for t, k in zip(text, keep, strict=True) if k)
+    keep = runs(plain[full], within[full], marked)
+    return "\n".join(text[k] for k, kept in zip(full, keep, strict=True) if kept)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
