@@ -3,12 +3,15 @@
 Texts fall into words that no piece can straddle; the distinct words of a batch lie end to end in
 flat symbol arrays. Every round finds each word's smallest pair rank by a segmented minimum, merges
 all its leftmost non-overlapping occurrences at once, and compacts the arrays; a word without a
-known pair leaves. Rounds follow the longest merge chain, not the number of symbols.
+known pair leaves. Rounds follow the longest merge chain, not the number of symbols. A long word, such as a text without
+spaces, would need a round for each of its thousands of ranks: once a round does little for it, a queue of its pairs makes the
+remaining merges in the same order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +27,8 @@ SPACE = "▁"
 _NONE = np.int64(np.iinfo(np.int64).max)
 #: Words of which the encoding is kept within a worker, and the longest word kept.
 CACHE_WORDS, CACHE_CHARS = 200_000, 64
+#: Symbols of a long word, and the share of them that a round merges at least, or leaves to the queue.
+LONG, LITTLE = 2048, 1 / 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -140,7 +145,11 @@ class Pieces:
         if any(len(self.pieces[i].strip(SPACE)) for i in ties):
             raise ValueError("pieces with equal scores are supported among runs of spaces only")
         self.first_tied = next((r for r, i in enumerate(order) if ties and score[i] == score[ties[0]]), len(order))
+        scores = [score[i] for i in order]
+        #: Ranks with equal scores are equally good: the leftmost pair of theirs is merged first.
+        self.level = np.concatenate(([0], np.cumsum([a != b for a, b in zip(scores, scores[1:], strict=False)]))).astype(np.int64) if order else np.zeros(0, np.int64)
         key = (np.array(left, np.uint64) << np.uint64(32)) | np.array(right, np.uint64)
+        self._known: dict[int, int] | None = None
         self.bits = int(len(key)).bit_length() + 2
         self.slots = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
         self.ranks = np.full(1 << self.bits, _NONE, np.int64)
@@ -172,6 +181,43 @@ class Pieces:
                 break
         return out
 
+    def _queue(self, symbol: np.ndarray) -> np.ndarray:
+        """The symbols of one word after all its merges, best pair first, the leftmost of equally good ones: n log n."""
+        if self._known is None:
+            full = self.ranks != _NONE
+            self._known = dict(zip(self.slots[full].tolist(), self.ranks[full].tolist(), strict=True))
+        known, level, product = self._known, self.level.tolist(), self.product.tolist()
+        n = len(symbol)
+        both = (symbol[:-1] >= 0) & (symbol[1:] >= 0)
+        at = np.flatnonzero(both)
+        ranks = self.rank(symbol[at], symbol[at + 1])
+        at, ranks = at[ranks != _NONE], ranks[ranks != _NONE]
+        # a pair is one number: its level, then where it begins
+        heap = ((self.level[ranks] << 40) | at).tolist()
+        heapq.heapify(heap)
+        gone = -(1 << 40)
+        s, after, before = symbol.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            entry = heapq.heappop(heap)
+            i = entry & ((1 << 40) - 1)
+            a, j = s[i], after[i]
+            if a < 0 or j >= n or s[j] < 0:
+                continue
+            r = known.get(a << 32 | s[j])
+            if r is None or level[r] != entry >> 40:
+                continue
+            s[i], s[j] = product[r], gone
+            after[i] = k = after[j]
+            p = before[i]
+            if p >= 0 and s[p] >= 0 and (r := known.get(s[p] << 32 | s[i])) is not None:
+                heapq.heappush(heap, level[r] << 40 | p)
+            if k < n:
+                before[k] = i
+                if s[k] >= 0 and (r := known.get(s[i] << 32 | s[k])) is not None:
+                    heapq.heappush(heap, level[r] << 40 | i)
+        out = np.array(s, np.int64)
+        return out[out != gone]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and their offsets (n + 1). Characters that are no piece become bytes."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -210,6 +256,18 @@ class Pieces:
             if slow.any():
                 first = np.concatenate(([True], word[hit][1:] != word[hit][:-1]))
                 hit = hit[~slow | first]
+            if (size > LONG).any():
+                part = np.repeat(np.arange(len(size)), size)
+                slow = (size > LONG) & (np.bincount(part[hit], minlength=len(size)) < LITTLE * size)
+                if slow.any():
+                    ends = np.cumsum(size)
+                    for k in np.flatnonzero(slow):
+                        own = slice(ends[k] - size[k], ends[k])
+                        rest = self._queue(symbol[own])
+                        done.append((np.full(len(rest), word[ends[k] - 1]), rest))
+                    on = ~slow[part]
+                    symbol, word, ranks, fresh = symbol[on], word[on], ranks[on], np.zeros(int(on.sum()), bool)
+                    continue
             fresh = np.zeros(len(symbol), bool)
             fresh[hit] = True
             fresh[hit[hit > 0] - 1] = True
