@@ -5,7 +5,7 @@ into blocks. A source's target fixes how many blocks it gives: whole passes over
 then exactly as many blocks of one further pass as the rest asks for. These quotas go down a binary
 tree over the output shards: a node gives its left child half of its blocks, so many of each source as
 a draw without replacement would, by inversion of the hypergeometric distribution. A shard then takes the
-next blocks of each source's permutation, so shards are disjoint, and orders its blocks by hash.
+next blocks of each source's permutation, as many as it drew, so shards are disjoint, and orders its blocks by hash.
 
 Every order comes from hashes of ids, so reruns agree. No step sorts a whole source: positions are
 sums over buckets of about BUCKET rows plus an order within the bucket.
@@ -74,6 +74,8 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int = 0) -> DataFrame:
     """
     node = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("quotas")).withColumn("node", F.lit(0).cast("long"))
     for level in range(depth):
+        if level and level % 4 == 0:
+            node = node.repartition("node")  # sixteen times as many nodes as before: other tasks split them on
         node = node.withColumn("left", F.expr(_split(level, seed)))
         right = F.zip_with("quotas", "left", lambda q, x: q - x)
         node = node.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("quotas")))).alias("n")).select("n.*")
@@ -82,6 +84,12 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int = 0) -> DataFrame:
     return out.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)))
 
 
+#: SQL: of ranges in the order of where they begin, the last that begins at the turn or before it, by halving.
+_SEARCH = """element_at(ranges, aggregate(sequence(1, greatest(1, cast(ceil(log2(size(ranges) + 1)) as int))), named_struct('lo', 1, 'hi', size(ranges) + 1),
+    (a, k) -> if(a.hi - a.lo <= 1, a, if(element_at(ranges, cast((a.lo + a.hi) div 2 as int)).first <= turn,
+        named_struct('lo', cast((a.lo + a.hi) div 2 as int), 'hi', a.hi), named_struct('lo', a.lo, 'hi', cast((a.lo + a.hi) div 2 as int)))), a -> a.lo))"""
+
+
 def _placed(rows: DataFrame, by: list[str], order: list[str], length: str, into: str, count: str) -> DataFrame:
     """Adds `into`: the sum of `length` over the rows before this one within `by`, ordered by `u` and then `order`. `count` holds the rows of the group."""
     rows = rows.withColumn("bucket", F.floor(F.col("u") * F.ceil(F.col(count) / BUCKET)))
@@ -135,42 +143,46 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     runs = blocks.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / BUCKET)))).select("rank", "words", "blocks", "quota", "pass", "run").repartition("rank", "pass", "run")
     drawn = runs.withColumn("block", F.explode(F.sequence(F.col("run") * BUCKET, F.least(F.col("blocks"), (F.col("run") + 1) * BUCKET) - 1)))
     drawn = drawn.withColumn("u", unit(F.lit(seed + 1), "rank", "pass", "block")).withColumn("one", F.lit(1).cast("long"))
-    drawn = _placed(drawn, ["rank", "pass"], ["block"], "one", "turn", "blocks").withColumn("turn", F.col("turn") + F.col("pass") * F.col("blocks")).where("turn < quota")
-    drawn = written(drawn.select("rank", "words", "pass", "block", "turn"), "drawn")
+    drawn = _placed(drawn, ["rank", "pass"], ["block"], "one", "turn", "blocks").withColumn("turn", F.col("turn") + F.col("pass") * F.col("blocks"))
+    # the shard whose part of the source's order holds the turn takes the block; what no shard drew is not taken
+    ranges = quotas.where("quota > 0").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("first", "quota", "shard"))).alias("ranges"))
+    drawn = drawn.join(ranges, "rank").withColumn("range", F.expr(_SEARCH)).where("range.first <= turn and turn < range.first + range.quota")
+    drawn = written(drawn.select("rank", "words", "pass", "block", F.col("range.shard").alias("shard")), "drawn")
 
     cut = placed.where("size > 0").join(sources.select(F.col("rank").alias("r"), "words"), F.col("rank") == F.col("r")).drop("r")
     cut = cut.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("words")), F.floor((F.col("start") + F.col("size") - 1) / F.col("words")))))
     cut = cut.withColumn("from_word", F.greatest(F.lit(0), F.col("block") * F.col("words") - F.col("start"))).withColumn("to_word", F.least("size", (F.col("block") + 1) * F.col("words") - F.col("start")))
     taken = cut.drop("words", "size", "source_size", "target").join(drawn.drop("words"), ["rank", "block"])
-    # a source's shards are few and a turn falls into one of them: they come as one array
-    ranges = written(quotas.where("quota > 0").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("first", "shard"))).alias("ranges")), "ranges")
-    at = F.expr("aggregate(ranges, cast(0 as bigint), (a, r) -> if(r.first <= turn, r.shard, a))")
-    spans = taken.join(ranges, "rank").withColumn("shard", at).drop("ranges", "turn")
-    spans = spans.withColumn("place", F.xxhash64(F.lit(seed + 2), "rank", "pass", "block"))
+    spans = taken.withColumn("place", F.xxhash64(F.lit(seed + 2), "rank", "pass", "block"))
     spans = written(spans.select("shard", "place", "rank", "block", "pass", "doc_id", "source", "text_hash", "copy", "start", "from_word", "to_word"), "spans")
-    for used in (rows, sources, quotas, ranges, drawn):
+    for used in (rows, sources, quotas, drawn):
         forget(used)
     return Mixture(placed, spans)
 
 
 def taken_words(mixture: Mixture) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every document: the words that the mixture takes of it, repeats counted."""
-    taken = mixture.spans.groupBy("rank", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    """(doc_id, size, source_size, target, taken, first_shard, last_shard, placement, source) for every document.
+
+    taken: the words that the mixture takes of it, repeats counted; the shards that hold them, null if none; placement:
+    a digest of every shard, place and stretch of words of it, 0 if none.
+    """
+    digest = F.xxhash64("shard", "place", "block", "pass", "from_word", "to_word")
+    taken = mixture.spans.groupBy("rank", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"), F.bit_xor(digest).alias("placement"))
     out = mixture.docs.withColumn("at", F.when(F.col("size") > 0, F.col("start"))).join(taken.withColumnRenamed("start", "at"), ["rank", "at"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard", F.coalesce("placement", F.lit(0)).alias("placement"), "source")
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars", **parameters) -> DataFrame:
-    """The mixture as documents: a row with docs' columns for each document and pass over it, holding the words taken.
+    """The mixture as documents, by shard and in each by place: a row with docs' columns for each document and pass over it, holding the words taken.
 
     A document taken whole keeps its text as it is; else its text is the words taken, in their order, with the white space after
-    them. `length`, where docs has that column, counts the code points of the new text. Documents of which nothing is
-    taken have no row. Clashing names in docs do no harm: its columns travel as one struct.
+    them; it stands where its first words are placed. `length`, where docs has that column, counts the code points of the new text. Documents of which nothing is
+    taken have no row. Of rows equal in (doc_id, source, text) that differ in other columns, the one of the least JSON stands for all. Clashing names in docs do no harm: its columns travel as one struct.
     """
     mixture = mix(docs, doc_id=doc_id, text=text, source=source, **parameters)
     sizes = mixture.docs.select("rank", "start", F.col("size").alias("words")).where("words > 0")
-    parts = mixture.spans.join(sizes, ["rank", "start"]).groupBy("doc_id", "source", "text_hash", "copy", "pass", "words").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"))
-    parts = parts.groupBy("doc_id", "source", "text_hash").agg(F.collect_list(F.struct("copy", "pass", "words", "parts")).alias("takes"))
+    parts = mixture.spans.join(sizes, ["rank", "start"]).groupBy("doc_id", "source", "text_hash", "copy", "pass", "words").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"), F.min(F.struct("from_word", "shard", "place")).alias("first"))
+    parts = parts.groupBy("doc_id", "source", "text_hash").agg(F.collect_list(F.struct("copy", "pass", "words", "parts", F.col("first.shard").alias("shard"), F.col("first.place").alias("place"))).alias("takes"))
     own = docs.select(F.struct(*docs.columns).alias("d"))
     t = F.col("d").getField(text).cast("string")
     own = own.select("d", F.col("d").getField(doc_id).cast("long").alias("i"), F.col("d").getField(source).cast("string").alias("s"), F.xxhash64(t).alias("h"))
@@ -180,11 +192,12 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # equal rows are taken apart but joined alike: one of them stands for all
     both = both.join(again.select(F.col("i").alias("i2"), F.col("s").alias("s2"), F.col("h").alias("h2"), "n"), F.col("i").eqNullSafe(F.col("i2")) & F.col("s").eqNullSafe(F.col("s2")) & F.col("h").eqNullSafe(F.col("h2")), "left")
     single = both.where("n is null").select("d", "takes")
-    multiple = both.where("n is not null").groupBy("i", "s", "h").agg(F.first("d").alias("d"), F.first("takes").alias("takes")).select("d", "takes")
+    multiple = both.where("n is not null").groupBy("i", "s", "h").agg(F.min_by("d", F.to_json("d")).alias("d"), F.first("takes").alias("takes")).select("d", "takes")
     out = single.unionAll(multiple).select("d", F.explode("takes").alias("t"))
     words = F.regexp_extract_all(F.col("d").getField(text).cast("string"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     slices = F.flatten(F.transform("t.parts", lambda p: F.slice(F.col("w"), (p["from_word"] + 1).cast("int"), (p["to_word"] - p["from_word"]).cast("int"))))
     whole = F.aggregate("t.parts", F.lit(0).cast("long"), lambda a, p: a + p["to_word"] - p["from_word"]) == F.col("t.words")
     out = out.withColumn("whole", whole).withColumn("w", F.when(~F.col("whole"), words)).withColumn("x", F.when(F.col("whole"), F.col("d").getField(text)).otherwise(F.array_join(slices, "")))
+    out = out.repartition("t.shard").sortWithinPartitions("t.shard", "t.place", "t.copy", "t.pass")
     new = {text: F.col("x")} | ({length: F.length("x").cast(docs.schema[length].dataType)} if length in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col("d").getField(c).alias(c) for c in docs.columns])

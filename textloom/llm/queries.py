@@ -46,7 +46,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken_words(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    return taken_words(mix(table(spark, sf_dir, "documents"))).drop("source")
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
