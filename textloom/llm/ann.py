@@ -2,9 +2,10 @@
 
 Vectors are projected on a few Gaussian directions: the squared projected distance over the squared distance is chi-square
 distributed. A kd-tree over the projections, fitted on a bounded sample, deals all vectors to cells; each shard
-of a cell has a kd-tree of its own down to small leaves. A query takes leaves by their projected distance and verifies
-their vectors in full, until a neighbour nearer than the k-th best so far would have its projection beyond the next leaf with
-at most the stated probability. It searches its own cell first; the bound found there decides which others it must visit.
+of a cell has a kd-tree of its own down to small leaves. In a shard a query takes leaves within reach, and their vectors
+in the order of projected distance, and verifies them in full, until a neighbour nearer than the k-th best so far would have its projection beyond
+the next with at most the stated probability. It searches its own cell first; the bound found there decides which others it must
+visit, and how far. How many vectors each query verified is counted.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from textloom.llm.vectors import matrices, sample, usable
 
 LEAF = 32
 QUERY_ROWS = 1024
+#: Vectors that a query verifies before the first stopping test, and the meetings of queries and vectors whose projected distances are held at once.
+FIRST, MEETINGS = 64, 1 << 21
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -166,8 +169,56 @@ def _routed(models: dict[int, Cells], boxes: dict[int, tuple[np.ndarray, np.ndar
     return run
 
 
+def _merged(k: int, kept: tuple[np.ndarray, np.ndarray], row: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row of `kept` (scores, ids; infinite where there is none) and of new entries (row, id, distance)."""
+    score, best = kept
+    rows = np.concatenate([np.repeat(np.arange(len(score)), k), row])
+    ids, dist = np.concatenate([best.reshape(-1), ids]), np.concatenate([score.reshape(-1), dist])
+    order = np.lexsort((ids, dist, rows))
+    rows = rows[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    order = order[place < k]
+    return dist[order].reshape(-1, k), ids[order].reshape(-1, k)
+
+
+def search_shard(q: np.ndarray, qid: np.ndarray, bound: np.ndarray, project: np.ndarray | None, v: np.ndarray, ids: np.ndarray, member: np.ndarray, sizes: np.ndarray, boxes: np.ndarray, quantile: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some queries: the scores and ids of their k best in a shard, and how many vectors of it they verified.
+
+    v: the shard's distinct vectors in the order of its leaves, of `sizes`, in `boxes`; ids of the vectors `member` names.
+    """
+    n = len(v)
+    first = np.searchsorted(member, np.arange(n))
+    times = np.bincount(member, minlength=n)
+    p, pv = (q @ project, v @ project) if project is not None else (np.zeros((len(q), 1)), np.zeros((n, 1)))
+    near = np.maximum(0, np.einsum("nd,nd->n", p, p)[:, None] + np.einsum("nd,nd->n", pv, pv)[None] - 2 * p @ pv.T)
+    reach = quantile * bound**2 if project is not None else np.full(len(q), np.inf)
+    near[np.repeat(box_distances(p, boxes[:, 0], boxes[:, 1]) > reach[:, None], sizes, axis=1)] = np.inf
+    kept = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    verified, done = np.zeros(len(q), np.int64), np.full(len(q), -1.0)
+    step = FIRST
+    while True:
+        kth = np.minimum(kept[0][:, -1], bound)
+        reach = quantile * kth**2 if project is not None else np.full(len(q), np.inf)
+        # the projected distance of the step-th nearest, or the stopping test's, if that comes first
+        upto = np.partition(near, step - 1, axis=1)[:, step - 1] if step < n else np.full(len(q), np.inf)
+        last = upto >= reach
+        row, at = np.nonzero((near > done[:, None]) & (near <= np.minimum(upto, reach)[:, None]) & np.isfinite(near))
+        for a in range(0, len(row), 16_384):
+            i, j = row[a : a + 16_384], at[a : a + 16_384]
+            dist = np.sqrt(((v[j] - q[i]) ** 2).sum(axis=1))
+            # a vector's ids, of which the query's own is none
+            i, dist, place = np.repeat(i, times[j]), np.repeat(dist, times[j]), np.repeat(first[j], times[j])
+            place = place + np.arange(len(place)) - np.repeat(np.cumsum(times[j]) - times[j], times[j])
+            other = ids[place] != qid[i]
+            kept = _merged(k, kept, i[other], ids[place][other], dist[other])
+        verified += np.bincount(row, minlength=len(q))
+        if last.all():
+            return *kept, verified
+        done, step = np.maximum(done, np.minimum(upto, reach)), step * 4
+
+
 def _searched(models: dict[int, Cells], quantile: float, k: int):
-    """Each query's best k of a shard: leaves by projected distance, all queries of a row a leaf at a time."""
+    """Each query's best k of a shard, and in a row without vec_id how many vectors it verified there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,42 +228,20 @@ def _searched(models: dict[int, Cells], quantile: float, k: int):
                 ids, member, v = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["member"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, d)
                 sizes = np.frombuffer(r["leaves"], np.int64)
                 boxes = np.frombuffer(r["boxes"]).reshape(len(sizes), 2, -1)
-                p = q @ models[d].project if d in models else np.zeros((len(q), 1))
-                far = box_distances(p, boxes[:, 0], boxes[:, 1])
-                order = np.argsort(far, axis=1, kind="stable")
-                # entries of a leaf: one for each id kept
-                end = np.searchsorted(member, np.cumsum(sizes))
-                begin = np.concatenate(([0], end[:-1]))
-                wide = int((end - begin).max())
-                score, best = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-                active = np.arange(len(q))
-                for turn in range(len(sizes)):
-                    leaf = order[active, turn]
-                    kth = np.minimum(score[active, -1], bound[active])
-                    go = ~(far[active, leaf] > quantile * kth**2)
-                    active, leaf = active[go], leaf[go]
-                    if not len(active):
-                        break
-                    for at in range(0, len(active), max(1, (1 << 20) // (wide * d) + 1)):
-                        rows, some = active[at : at + max(1, (1 << 20) // (wide * d) + 1)], leaf[at : at + max(1, (1 << 20) // (wide * d) + 1)]
-                        slot = begin[some][:, None] + np.arange(wide)[None]
-                        real = slot < end[some][:, None]
-                        slot = np.minimum(slot, len(ids) - 1)
-                        dist = np.sqrt(((v[member[slot]] - q[rows][:, None]) ** 2).sum(axis=2))
-                        own = ids[slot]
-                        dist[~real | (own == qid[rows][:, None])] = np.inf
-                        both, names = np.concatenate([score[rows], dist], axis=1), np.concatenate([best[rows], own], axis=1)
-                        names[np.isinf(both)] = np.iinfo(np.int64).max
-                        take = np.lexsort((names, both), axis=1)[:, :k]
-                        score[rows], best[rows] = np.take_along_axis(both, take, 1), np.take_along_axis(names, take, 1)
-                i, j = np.nonzero(np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(best[i, j]), pa.array(score[i, j])], ["query_id", "vec_id", "score"])
+                for at in range(0, len(q), max(1, MEETINGS // len(v))):
+                    own = slice(at, at + max(1, MEETINGS // len(v)))
+                    score, best, verified = search_shard(q[own], qid[own], bound[own], models[d].project if d in models else None, v, ids, member, sizes, boxes, quantile, k)
+                    i, j = np.nonzero(np.isfinite(score))
+                    names = pa.concat_arrays([pa.array(best[i, j]), pa.nulls(len(verified), pa.int64())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([qid[own][i], qid[own]])), names, pa.array(np.concatenate([score[i, j], verified.astype(np.float64)]))], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, directions: int = 8, confidence: float = 0.99, cell_rows: int = 1024, most_cells: int = 4096, shard_rows: int = 65_536, sample_rows: int = 20_000, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest by Euclidean distance, ties to the smaller vec_id; all, if there are fewer.
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, directions: int = 24, confidence: float = 0.95, cell_rows: int = 8192, most_cells: int = 4096, shard_rows: int = 65_536, sample_rows: int = 20_000, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score, verified): each query's k nearest by Euclidean distance, ties to the smaller vec_id; all, if there are fewer.
+
+    verified: how many distinct vectors the query was compared with in full, those of several shards counted in each.
 
     The projection tree is fitted on at most sample_rows vectors; every vector is indexed. A true neighbour is missed with a probability of
     about 1 - confidence at most. A cell beyond twice its share of rows, or beyond shard_rows, is dealt to several shards. Equal vectors of a shard are one point
@@ -246,10 +275,12 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, dire
         return written(met.mapInArrow(_searched(models, quantile, k), "query_id long, vec_id long, score double"), "met")
 
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    home = search(asked.withColumn("bound", F.lit(float("inf"))), True)
+    found = search(asked.withColumn("bound", F.lit(float("inf"))), True)
+    home = found.where("vec_id is not null")
     kth = home.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    rest = search(asked.join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce("kth", F.lit(float("inf"))).alias("bound")), False)
-    out = home.unionAll(rest).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    both = found.unionAll(search(asked.join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce("kth", F.lit(float("inf"))).alias("bound")), False))
+    verified = both.where("vec_id is null").groupBy("query_id").agg(F.sum("score").cast("long").alias("verified"))
+    out = both.where("vec_id is not null").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(verified, "query_id")
     for used in (asked, dealt, index):
         forget(used)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified")

@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         open_ = written(named.join(apart, "bucket"), "open")
         group = written(components(members.join(apart, "bucket").select("least", "rep"), "least", "rep"), "groups").withColumnsRenamed({"component": "grp"})
         sized = open_.select("rep", "component").distinct().join(one.select(F.col("doc_id").alias("rep"), "text"), "rep").join(group.withColumnsRenamed({"node": "rep"}), "rep")
-        sized = written(sized.groupBy("rep", "component", "grp").agg(F.max("text").alias("text")), "sized")
+        sized = written(sized.groupBy("rep", "component", "grp", F.xxhash64("text"), F.octet_length("text")).agg(F.min("text").alias("text")).select("rep", "component", "grp", "text"), "sized")
         many = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("n"))
         many = written(many, "many")
         placed = sized.join(many, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")))
