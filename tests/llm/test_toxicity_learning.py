@@ -72,11 +72,12 @@ def test_features_are_those_of_a_plain_loop(model):
     texts, weights = labelled(6, 6)[0] + ["", "a"], np.array(model.weights)
     w = T.Windows([T.normalised(t) for t in texts])
     saved = T.Scorer(model).savings(w)
-    got = T.features(w, saved, weights)
+    got = T.features(w, saved, weights, np.array(model.tail))
     for k in range(len(texts)):
         own = [min(max(s, T.LEAST), T.MOST) for s, o in zip(saved.tolist(), w.owner.tolist(), strict=True) if o == k]
         total = sum(weights[s - T.LEAST] for s in own)
-        assert got[k] == pytest.approx([total, total / max(1, len(own)) ** 0.5, max([0, *own]), np.log1p(len(own))])
+        likely = min(1, max(1, len(own)) * model.tail[max([T.LEAST, *own]) - T.LEAST])
+        assert got[k] == pytest.approx([total / max(1, len(own)) ** 0.5, -np.log(likely)])
 
 
 def test_held_out_documents(model):

@@ -12,7 +12,7 @@ what the toxic one would wrongly save on. No word is ever picked, listed or look
 
 Thresholds are calibrated on savings by dictionaries that have not seen the document: each saving weighs as the
 log of its share among toxic over that among ordinary windows, less what ordinary windows weigh on average, and a logistic model maps a document's
-sum, sum over the root of its windows, largest saving and number of windows to its score.
+sum over the root of its windows and the likelihood of its largest saving to its score.
 """
 
 from __future__ import annotations
@@ -35,16 +35,16 @@ from textloom.llm.common import mix64, slices, small_batches
 #: Labelled documents of either class that a classifier is fitted on, at most.
 SAMPLE_DOCS = 2000
 #: Bytes of a window and from one to the next.
-WINDOW, STEP = 32, 16
+WINDOW, STEP = 48, 32
 PARTS, ROUNDS = 4, 5
 #: Windows of a document that a round's dictionaries are trained on.
 TOP = 3
 #: Bytes of the content that both dictionaries begin with, of what each adds, and of a committee's member.
-BASE_BYTES, OWN_BYTES, MEMBER_BYTES = 500_000, 8192, 65_536
+BASE_BYTES, OWN_BYTES, MEMBER_BYTES = 500_000, 12_288, 65_536
 #: Bytes that text is cut into to train on whole texts.
 PIECE = 256
 #: A level that searches all matches: savings of faster ones hang on which positions their tables happen to keep.
-LEVEL, MIN_MATCH = 13, 6
+LEVEL, MIN_MATCH, SEARCH = 13, 6, 5
 #: Savings beyond these weigh like these.
 LEAST, MOST = -8, 24
 _OTHER = re.compile(r"[\W_]+")
@@ -111,7 +111,7 @@ class Windows:
 def compressor(content: bytes) -> zstd.ZstdCompressor:
     """Content is given raw: entropy tables would differ between dictionaries and blur small differences of length."""
     content = content or b" "
-    p = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), min_match=MIN_MATCH, write_checksum=0, write_content_size=0, write_dict_id=0)
+    p = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), min_match=MIN_MATCH, search_log=SEARCH, write_checksum=0, write_content_size=0, write_dict_id=0)
     return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=p)
 
 
@@ -132,25 +132,27 @@ def _pieces(texts: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Model:
-    """The dictionaries' contents, the weight of each saving, and the logistic model of the features with their means and deviations."""
+    """The dictionaries' contents, the weight of each saving and the share of ordinary windows that save as much or more, and the logistic model of the features with their means and deviations."""
 
     base: bytes = b""
     toxic: bytes = b""
     ordinary: bytes = b""
     weights: list[float] = field(default_factory=lambda: [0.0] * (MOST - LEAST + 1))
-    logistic: list[float] = field(default_factory=lambda: [0.0] * 5)
-    centre: list[float] = field(default_factory=lambda: [0.0] * 4)
-    spread: list[float] = field(default_factory=lambda: [1.0] * 4)
+    tail: list[float] = field(default_factory=lambda: [1.0] * (MOST - LEAST + 1))
+    logistic: list[float] = field(default_factory=lambda: [0.0] * 3)
+    centre: list[float] = field(default_factory=lambda: [0.0] * 2)
+    spread: list[float] = field(default_factory=lambda: [1.0] * 2)
 
 
-def features(windows: Windows, saved: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Of each text: the sum of its savings' weights, that over the root of its windows, its largest saving, and the log of its windows."""
+def features(windows: Windows, saved: np.ndarray, weights: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Of each text: the sum of its savings' weights over the root of its windows, and how unlikely its largest saving is among so many ordinary windows: neither grows with the length of an ordinary text."""
     n = len(windows.count)
-    saved = np.clip(saved, LEAST, MOST)
-    total = np.bincount(windows.owner, weights[saved - LEAST], n)
-    top = np.zeros(n)
+    saved = np.clip(saved, LEAST, MOST) - LEAST
+    total = np.bincount(windows.owner, weights[saved], n)
+    top = np.zeros(n, np.int64)
     np.maximum.at(top, windows.owner, saved)
-    return np.column_stack([total, total / np.sqrt(np.maximum(1, windows.count)), top, np.log1p(windows.count)])
+    n = np.maximum(1, windows.count)
+    return np.column_stack([total / np.sqrt(n), -np.log(np.minimum(1, n * tail[top]))])
 
 
 class Scorer:
@@ -166,7 +168,7 @@ class Scorer:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         m, windows = self.model, Windows([normalised(t) for t in texts])
-        x = (features(windows, self.savings(windows), self.weights) - m.centre) / m.spread
+        x = (features(windows, self.savings(windows), self.weights, np.array(self.model.tail)) - m.centre) / m.spread
         return 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ np.array(m.logistic), -30, 30)))
 
 
@@ -205,7 +207,7 @@ def train(texts: list[str | None], toxic: list[int], share: float | None = None)
     share = min(max(share, 1e-6), 1 - 1e-6)
     bags = [[t for t in (normalised(t) for t, own in zip(texts, y, strict=True) if own == c) if t] for c in (0, 1)]
     if min(map(len, bags)) < 2:
-        return Model(logistic=[math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0])
+        return Model(logistic=[math.log(share / (1 - share)), 0.0, 0.0])
     parts = min(PARTS, *map(len, bags))
     windows = [Windows(b) for b in bags]
     part = [w.owner % parts for w in windows]
@@ -235,13 +237,14 @@ def train(texts: list[str | None], toxic: list[int], share: float | None = None)
     count = [np.bincount(np.clip(s, LEAST, MOST) - LEAST, minlength=MOST - LEAST + 1) + 0.5 for s in saved]
     weights = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
     weights -= weights @ count[0] / count[0].sum()  # ordinary windows add up to nothing, however many
-    x = np.concatenate([features(w, s, weights) for w, s in zip(windows, saved, strict=True)])
+    tail = np.cumsum(count[0][::-1])[::-1] / count[0].sum()
+    x = np.concatenate([features(w, s, weights, tail) for w, s in zip(windows, saved, strict=True)])
     centre, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread == 0] = 1.0
     n = [len(b) for b in bags]
     each = np.repeat([(1 - share) * sum(n) / n[0], share * sum(n) / n[1]], n)
     fitted = _logistic((x - centre) / spread, np.repeat([0.0, 1.0], n), each)
-    return Model(*contents(parts), weights.tolist(), fitted.tolist(), centre.tolist(), spread.tolist())
+    return Model(*contents(parts), weights.tolist(), tail.tolist(), fitted.tolist(), centre.tolist(), spread.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
