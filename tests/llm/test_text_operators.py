@@ -178,7 +178,7 @@ def test_store(spark, tmp_path):
     assert len(shards) < before and version > 3 and sum(s.rows for s in shards) == 3 * len(rows)
     assert sorted(map(repr, store.read().collect())) == sorted(repr(r) for r in df.collect() for _ in range(3))
     with pytest.raises(sharding.Conflict):
-        store.commit(version - 1, [], "{}")
+        store.commit(version - 1, [], [], "{}")
     assert store.manifest()[0] == version
     assert sharding.compacted(df, "id", root=f"file://{tmp_path}/other").count() == len(rows)
     assert sharding.compacted(df.limit(0), "id", root=f"file://{tmp_path}/none").columns == ["id", "text"]
