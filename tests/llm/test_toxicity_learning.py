@@ -36,12 +36,15 @@ def model():
 
 def windows(text):
     """All distinct windows of a text, by a plain loop."""
-    t, out, at = T.normalised(text), [], 0
+    t, out = T.normalised(text), []
     while t:
-        out.append(t[at : at + T.WINDOW])
-        if at + T.WINDOW >= len(t):
-            break
-        at += T.STEP
+        n = T.WINDOW if len(t) > T.WINDOW else len(t)
+        while n < len(t) and n > 1 and t[n : n + 1] != b" ":
+            n -= 1
+        if n <= 1 < len(t) or n < len(t) and t[n : n + 1] != b" ":
+            n = min(T.WINDOW, len(t))
+        out.append(t[:n])
+        t = t[n:]
     return list(dict.fromkeys(out))
 
 
@@ -76,8 +79,9 @@ def test_features_are_those_of_a_plain_loop(model):
     for k in range(len(texts)):
         own = [min(max(s, T.LEAST), T.MOST) for s, o in zip(saved.tolist(), w.owner.tolist(), strict=True) if o == k]
         total = sum(weights[s - T.LEAST] for s in own)
+        n = max(1, len(own))
         likely = min(1, max(1, len(own)) * model.tail[max([T.LEAST, *own]) - T.LEAST])
-        assert got[k] == pytest.approx([total / max(1, len(own)) ** 0.5, -np.log(likely)])
+        assert got[k] == pytest.approx([total / (n + (T.BIAS * n) ** 2) ** 0.5, -np.log(likely)])
 
 
 def test_held_out_documents(model):

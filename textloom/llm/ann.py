@@ -259,7 +259,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, dire
     fair = min(shard_rows, 2 * max(cell_rows, total >> depth))
     sizes = dealt.groupBy("dim", "cell").agg(F.ceil(F.count("*") / fair).alias("parts"))
     parts = dealt.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts").distinct()
-    index = written(parts.groupBy("dim", "cell", "part").applyInArrow(_indexed(models, k + 1), _SHARD), "index")
+    index = written(parts.repartition("dim", "cell", "part").groupBy("dim", "cell", "part").applyInArrow(_indexed(models, k + 1), _SHARD), "index")
     # a box for each cell, of which there are most_cells for a length at most
     low = lambda c, f: F.array(*(f(F.element_at(c, i + 1)) for i in range(directions)))
     edges = index.select("dim", "cell", "leaves", "boxes").mapInArrow(_boxed, "dim int, cell int, lo array<double>, hi array<double>").where(F.size("lo") == directions).groupBy("dim", "cell").agg(low("lo", F.min).alias("lo"), low("hi", F.max).alias("hi"))

@@ -213,7 +213,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, part_rows: in
     listed = written(classes.select("node", "class", "times", "v").mapInArrow(_assigned(models), "node long, class long, times long, v array<double>, dim int, cell int"), "listed")
     sizes = listed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
     parts = listed.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")
-    blocks = written(parts.groupBy("dim", "cell", "part").applyInArrow(_packed(models), _BLOCK), "blocks")
+    # the join above leaves the rows by list; a large list's parts must not meet in one task
+    blocks = written(parts.repartition("dim", "cell", "part").groupBy("dim", "cell", "part").applyInArrow(_packed(models), _BLOCK), "blocks")
     reach = float(np.sqrt(2 - 2 * least))
     want = blocks.select("dim", "cell", "part", "vectors").mapInArrow(_wanted(models, reach), "dim int, cell int, part int, other int")
     names = blocks.select("dim", F.col("cell").alias("other"), F.col("part").alias("part_y"))

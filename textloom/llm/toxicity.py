@@ -1,6 +1,6 @@
 """Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, and the lengths to which they compress each window.
 
-A text is lower-cased, runs of other characters than letters and digits become one space, and its UTF-8 bytes are cut into overlapping windows. A
+A text is lower-cased, runs of other characters than letters and digits become one space, and its UTF-8 bytes are cut into windows of whole words. A
 window's saving is its compressed length with the ordinary dictionary less that with the toxic one. Both dictionaries begin with
 the same content, trained on ordinary text; what differs is trained on windows of toxic and of ordinary documents, as many bytes of either.
 
@@ -12,7 +12,7 @@ what the toxic one would wrongly save on. No word is ever picked, listed or look
 
 Thresholds are calibrated on savings by dictionaries that have not seen the document: each saving weighs as the
 log of its share among toxic over that among ordinary windows, less what ordinary windows weigh on average, and a logistic model maps a document's
-sum over the root of its windows and the likelihood of its largest saving to its score.
+sum over its standard error and the likelihood of its largest saving to its score.
 """
 
 from __future__ import annotations
@@ -34,17 +34,19 @@ from textloom.llm.common import mix64, slices, small_batches
 
 #: Labelled documents of either class that a classifier is fitted on, at most.
 SAMPLE_DOCS = 2000
-#: Bytes of a window and from one to the next.
-WINDOW, STEP = 48, 32
-PARTS, ROUNDS = 4, 5
+#: Bytes of a window at most.
+WINDOW = 32
+PARTS, ROUNDS = 4, 6
 #: Windows of a document that a round's dictionaries are trained on.
 TOP = 3
 #: Bytes of the content that both dictionaries begin with, of what each adds, and of a committee's member.
-BASE_BYTES, OWN_BYTES, MEMBER_BYTES = 500_000, 12_288, 65_536
+BASE_BYTES, OWN_BYTES, MEMBER_BYTES = 500_000, 8192, 65_536
 #: Bytes that text is cut into to train on whole texts.
 PIECE = 256
 #: A level that searches all matches: savings of faster ones hang on which positions their tables happen to keep.
 LEVEL, MIN_MATCH, SEARCH = 13, 6, 5
+#: What the mean weight of a text's windows may err by, however many they are.
+BIAS = 0.02
 #: Savings beyond these weigh like these.
 LEAST, MOST = -8, 24
 _OTHER = re.compile(r"[\W_]+")
@@ -57,19 +59,28 @@ def normalised(text: str | None) -> bytes:
 
 
 class Windows:
-    """The overlapping windows of some texts: where each begins and ends in their joined bytes, and whose it is.
+    """The windows of some texts: where each begins and ends in their joined bytes, and whose it is.
 
-    A window that a text repeats counts once: repetition is no further evidence. Every byte lies in a window; only a text's last one may be shorter.
+    A window holds as many whole words as fit into WINDOW bytes, each with the space before it; a longer word is cut. Every byte lies in one
+    window. A window that a text repeats counts once: repetition is no further evidence.
     """
 
     def __init__(self, texts: Sequence[bytes]):
-        size = np.array([len(t) for t in texts], np.int64)
         self.data = b"".join(texts)
-        count = np.where(size > 0, np.maximum(1, -(-(size - WINDOW) // STEP) + 1), 0)
-        owner = np.repeat(np.arange(len(texts)), count)
-        offset = (np.arange(len(owner)) - (np.cumsum(count) - count)[owner]) * STEP
-        begin = (np.cumsum(size) - size)[owner] + offset
-        length = np.minimum(WINDOW, size[owner] - offset)
+        cuts, owner, at = [0], [], 0
+        for k, t in enumerate(texts):
+            stop = at + len(t)
+            while at < stop:
+                end = at + WINDOW
+                if end < stop:
+                    space = self.data.rfind(b" ", at + 1, end + 1)
+                    at = space if space > 0 else end
+                else:
+                    at = stop
+                cuts.append(at)
+                owner.append(k)
+        ends, owner = np.array(cuts, np.int64), np.array(owner, np.int64)
+        begin, length = ends[:-1], np.diff(ends)
         mark = self._hashes(begin, length)
         order = np.lexsort((mark, owner))
         key = np.stack([owner, mark.view(np.int64)])[:, order]
@@ -145,14 +156,14 @@ class Model:
 
 
 def features(windows: Windows, saved: np.ndarray, weights: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Of each text: the sum of its savings' weights over the root of its windows, and how unlikely its largest saving is among so many ordinary windows: neither grows with the length of an ordinary text."""
+    """Of each text: the sum of its savings' weights over its standard error, and how unlikely its largest saving is among so many ordinary windows: neither grows with the length of an ordinary text."""
     n = len(windows.count)
     saved = np.clip(saved, LEAST, MOST) - LEAST
     total = np.bincount(windows.owner, weights[saved], n)
     top = np.zeros(n, np.int64)
     np.maximum.at(top, windows.owner, saved)
     n = np.maximum(1, windows.count)
-    return np.column_stack([total / np.sqrt(n), -np.log(np.minimum(1, n * tail[top]))])
+    return np.column_stack([total / np.sqrt(n + (BIAS * n) ** 2), -np.log(np.minimum(1, n * tail[top]))])
 
 
 class Scorer:
