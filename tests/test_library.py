@@ -205,7 +205,7 @@ def test_ordered_allocators(spark):
     assert [r.split for r in S.capped_groups(g, {"n0": 2, "n1": 3}, ["g"]).orderBy("g").collect()] == ["dev", "train", "train", "dev", "dev", "train"]
     assert [r.selected for r in S.groups_until(g, {"n0": 3, "n1": 4}, ["g"]).orderBy("g").collect()] == [True, True, True, False, False, False]
     want = {"train": {"0": 3, "1": 1}, "dev": {"0": 1, "1": 3}}
-    assert [r.split for r in S.greedy_groups(g, want, {"0": "n0", "1": "n1"}, ["g"]).orderBy("g").collect()] == ["train", "train", "dev", "dev", "unused", "unused"]
+    assert [r.split for r in S.greedy_groups(g, want, {"0": "n0", "1": "n1"}, ["g"]).orderBy("g").collect()] == ["train", "train", "dev", "dev", "train", "train"]
     rows = [(0, "a", "x", "p", True), (1, "a", "y", "p", True), (2, "b", "x", "q", False), (3, "c", "z", "q", False), (4, "d", "w", "p", False), (5, "e", "v", "r", False)]
     t = spark.createDataFrame(rows, "id int, g string, t string, b string, e boolean")
     assert [r.selected for r in S.unique_fill(t, "g", "t", "b", "e", 3, {"q": 1}, 2, ["id"]).orderBy("id").collect()] == [True, False, False, True, True, False]

@@ -144,15 +144,16 @@ def structured_noise(c: Column | str) -> Column:
     )
 
 
-def quality_flags(text="text", label="label", words_: tuple[int, int] = (30, 420), short_verse: int = 12, bucket: Column | str = "bucket") -> dict[str, Column]:
-    """Flags against a candidate; verse may be shorter."""
-    n = word_count(text)
-    verse = col(bucket).isin("poetry_classical", "poetry_freeverse")
+def quality_flags(text="text", label="label", words_: tuple[int, int] = (30, 420), short_verse: int = 12, bucket: Column | str = "bucket", domain: Column | str = "domain", passed: Column | None = None, finish: Column | None = None) -> dict[str, Column]:
+    """Flags against a candidate. Verse, by bucket or domain, may be shorter; leakage counts against rewrites only, quality only where it is an explicit false."""
+    n = space_words(text)
+    no = F.lit(False)
+    verse = text_of(bucket).startswith("poetry") | (F.lower(text_of(domain)) == "poetry")
     return {
         "empty_text": blank(text),
-        "bad_label": ~F.coalesce(col(label).isin(0, 1), F.lit(False)),
-        "too_short": F.when(verse, n < short_verse).otherwise(n < words_[0]),
+        "too_short": (n < words_[0]) & ~(verse & (n >= short_verse)),
         "too_long": n > words_[1],
-        "meta_text": starts_with_meta_text(text),
-        "prompt_leakage": has_prompt_leakage(text),
+        "prompt_leakage": F.coalesce(col(label) == 1, no) & has_prompt_leakage(text),
+        "failed_basic_quality": F.coalesce(~passed, no) if passed is not None else no,
+        "finish_reason_length": F.coalesce(finish == "length", no) if finish is not None else no,
     }

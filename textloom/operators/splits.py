@@ -116,26 +116,60 @@ def leakage(splits: DataFrame, key: str, split: str = "split") -> DataFrame:
 
 
 def greedy_groups(groups: DataFrame, targets: dict[str, dict[str, int]], label_counts: dict[str, str], order: list[str]) -> DataFrame:
-    """Assigns whole groups, in order, each to the split it helps most: most rows still wanted, least overflow, then the splits' order.
+    """Assigns whole groups, in order, each to the split of which it fills most of what is still wanted; the first of equal splits, so a group that fills nothing goes to the first.
 
-    The choice depends on all choices before it, so the groups, not their rows, pass through one ordered scan; groups that no target could
-    still need are best left out before. label_counts names, for each label, the column with a group's rows of it.
+    label_counts names, for each label, the column with a group's rows of it. The choice depends on all choices before it, but a group fills something only while
+    one of its labels is wanted, and each that does lowers the sum of all targets: no label is wanted after as many groups that hold it. So only the first groups of
+    each label, as many as that sum, pass through an ordered scan, by their keys and counts; `order` tells groups apart.
     """
     names = list(targets)
 
     def choose(rows: list[dict]) -> list[str]:
         left, out = {s: dict(t) for s, t in targets.items()}, []
         for r in rows:
-            need = {s: [(max(0, left[s][l]), r[c]) for l, c in label_counts.items()] for s in names}
-            score = {s: (sum(min(w, n) for w, n in need[s]), -sum(max(0, n - w) for w, n in need[s])) for s in names}
-            best = max(names, key=lambda s: (score[s], -names.index(s)))
-            useful = score[best][0] > 0
-            for l, c in label_counts.items() if useful else ():
-                left[best][l] -= r[c]
-            out.append(best if useful else "unused")
+            gain = {s: sum(min(max(0, left[s].get(l, 0)), r[c]) for l, c in label_counts.items()) for s in names}
+            best = max(names, key=lambda s: (gain[s], -names.index(s)))
+            for l, c in label_counts.items():
+                left[best][l] = left[best].get(l, 0) - r[c]
+            out.append(best)
         return out
 
-    return _scan(groups, order, choose, "split", StringType())
+    bound = sum(n for t in targets.values() for n in t.values())
+    return _decided(groups, dict.fromkeys(label_counts.values(), bound), order, choose, "split", StringType(), F.lit(names[0]))
+
+
+def scored_groups(groups: DataFrame, targets: dict[str, dict[str, int]], label_counts: dict[str, str], order: list[str], priority: list[str]) -> DataFrame:
+    """As greedy_groups, by (rows still wanted of its labels, rows the split lacks in all, least overflow, the last in `priority`).
+
+    What a split lacks and overflows depends on every group before, so the keys and counts of all groups pass through the scan.
+    """
+
+    def choose(rows: list[dict]) -> list[str]:
+        held, out = {s: dict.fromkeys(label_counts, 0) for s in targets}, []
+        for r in rows:
+
+            def score(s: str, r: dict = r) -> tuple:
+                want = {l: targets[s].get(l, 0) for l in label_counts}
+                useful = sum(min(r[c], max(0, want[l] - held[s][l])) for l, c in label_counts.items())
+                over = sum(max(0, held[s][l] + r[c] - want[l]) for l, c in label_counts.items() if r[c])
+                return useful, max(0, sum(targets[s].values()) - sum(held[s].values())), -over, priority.index(s)
+
+            best = max(targets, key=score)
+            for l, c in label_counts.items():
+                held[best][l] += r[c]
+            out.append(best)
+        return out
+
+    done = _scan(groups.select(*order, *(c for c in label_counts.values() if c not in order)), order, choose, "split", StringType())
+    return groups.join(done.select(*order, "split"), order)
+
+
+def _decided(groups: DataFrame, first: dict[str, int], order: list[str], choose, into: str, kind, default: Column) -> DataFrame:
+    """groups with `into`: what choose gives for the first groups of each column's rows, as many as `first` says, and `default` for the others."""
+    some = reduce(DataFrame.unionByName, (groups.where(F.col(c) > 0).orderBy(*order).limit(n) for c, n in first.items()))
+    some = some.select(*order, *(c for c in first if c not in order)).dropDuplicates(order)
+    done = _scan(some, order, choose, into, kind)
+    return groups.join(done.select(*order, into), order, "left").withColumn(into, F.coalesce(into, default))
 
 
 def _scan(table: DataFrame, order: list[str], choose, into: str, kind) -> DataFrame:
@@ -150,23 +184,39 @@ def _scan(table: DataFrame, order: list[str], choose, into: str, kind) -> DataFr
     return table.withColumn("one_", F.lit(0)).groupBy("one_").applyInPandas(run, StructType([*table.schema.fields, StructField(into, kind)]))
 
 
-def capped_groups(groups: DataFrame, caps: dict[str, int], order: list[str]) -> DataFrame:
-    """groups with `split`: dev for a whole group as long as no cap is passed, else train. caps bounds the sum of each named count."""
+def capped_groups(groups: DataFrame, caps: dict[str, int], order: list[str], batch: int = 100_000) -> DataFrame:
+    """groups with `split`: dev for a whole group as long as no cap is passed, else train. caps bounds the sum of each named count.
 
-    def choose(rows: list[dict]) -> list[str]:
-        held, out = dict.fromkeys(caps, 0), []
+    In batches of the first groups that still fit: what does not fit now never will. `order` tells groups apart; the groups in dev that hold any of
+    the counts are at most as many as the caps' sum.
+    """
+    held, dev, after = dict.fromkeys(caps, 0), [], None
+    counted = groups.where(reduce(lambda a, b: a | b, (F.col(c) > 0 for c in caps))).select(*order, *(c for c in caps if c not in order))
+    while True:
+        fits = reduce(lambda a, b: a & b, (F.col(c) <= cap - held[c] for c, cap in caps.items()))
+        left = counted.where(fits)
+        if after is not None:
+            left = left.where(F.struct(*order) > F.struct(*(F.lit(after[o]).cast(counted.schema[o].dataType).alias(o) for o in order)))
+        rows = left.orderBy(*order).limit(batch).collect()
         for r in rows:
-            fits = all(held[c] + r[c] <= cap for c, cap in caps.items())
-            for c in caps if fits else ():
-                held[c] += r[c]
-            out.append("dev" if fits else "train")
-        return out
-
-    return _scan(groups, order, choose, "split", StringType())
+            if all(held[c] + r[c] <= cap for c, cap in caps.items()):
+                for c in caps:
+                    held[c] += r[c]
+                dev.append(tuple(r[o] for o in order))
+        if len(rows) < batch:
+            break
+        after = rows[-1]
+    chosen = groups.sparkSession.createDataFrame(dev, StructType([counted.schema[o] for o in order])).withColumn("in_", F.lit(True))
+    none = reduce(lambda a, b: a & b, (F.col(c) == 0 for c in caps))
+    fits = none & F.lit(all(cap >= 0 for cap in caps.values()))
+    return groups.join(chosen, order, "left").withColumn("split", F.when(F.col("in_") | fits, "dev").otherwise("train")).drop("in_")
 
 
 def groups_until(groups: DataFrame, targets: dict[str, int], order: list[str]) -> DataFrame:
-    """groups with `selected`: taken in order while they hold rows of a label whose target is not reached."""
+    """groups with `selected`: taken in order while they hold rows of a label whose target is not reached.
+
+    A label is full after as many groups that hold it as its target, so no later ones are looked at. `order` tells groups apart.
+    """
 
     def choose(rows: list[dict]) -> list[bool]:
         held, out = dict.fromkeys(targets, 0), []
@@ -177,7 +227,7 @@ def groups_until(groups: DataFrame, targets: dict[str, int], order: list[str]) -
             out.append(helps)
         return out
 
-    return _scan(groups, order, choose, "selected", BooleanType())
+    return _decided(groups, targets, order, choose, "selected", BooleanType(), F.lit(False))
 
 
 def unique_fill(rows: DataFrame, group: str, text: str, bucket: str, exact: str, target: int, minimums: dict[str, int], exact_limit: int, order: list[str]) -> DataFrame:
@@ -187,14 +237,16 @@ def unique_fill(rows: DataFrame, group: str, text: str, bucket: str, exact: str,
     """
 
     def choose(table: list[dict]) -> list[bool]:
-        groups, texts, taken, counts = set(), set(), [False] * len(table), {}
+        groups, texts, taken, counts, held = set(), set(), [False] * len(table), {}, 0
 
         def add(k: int) -> None:
+            nonlocal held
             r = table[k]
             if r[group] not in groups and r[text] not in texts:
                 groups.add(r[group])
                 texts.add(r[text])
                 taken[k] = True
+                held += 1
                 counts[r[bucket]] = counts.get(r[bucket], 0) + 1
 
         first = [k for k, r in enumerate(table) if r[exact]]
@@ -207,12 +259,15 @@ def unique_fill(rows: DataFrame, group: str, text: str, bucket: str, exact: str,
                     break
                 add(k)
         for k in rest:
-            if sum(taken) >= target:
+            if held >= target:
                 break
             add(k)
         return taken
 
-    return _scan(rows, order, choose, "selected", BooleanType())
+    # keys pass through the scan, of texts their hashes
+    keys = rows.select(*order, F.col(group), F.sha2(F.col(text).cast("string"), 256).alias(text), F.col(bucket), F.col(exact))
+    done = _scan(keys, order, choose, "selected", BooleanType())
+    return rows.join(done.select(*order, "selected"), order)
 
 
 def forced_train(df: DataFrame, checks: dict[str, DataFrame]) -> DataFrame:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for a new folder under spark.checkpoint.dir; a local one only for a session on one machine that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under spark.checkpoint.dir and reads it back; a local folder only where the session names none."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Writes df as Parquet in a scratch folder and reads it back."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -85,11 +85,29 @@ def balanced_dev(spark, sf):
     return S.balanced(own, "label", "domain", [F.col("s_"), F.col("id")]).select("id", "label")
 
 
-@query("win18_greedy_group_split")
+_GROUPS = "SELECT pair_id, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::BIGINT AS n0, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::BIGINT AS n1 FROM (" + CORPUS_SQL + ") WHERE label IS NOT NULL GROUP BY pair_id"
+_WANT = {"probe": {"0": 5, "1": 40}, "dev": {"0": 5, "1": 40}, "train": {"0": 40, "1": 200}}
+
+
+def _walk(state: str, start: str, step: str, out: str, order: str = "pair_id") -> str:
+    """SQL: a walk over the groups in order; `step` gives the next state from s and g."""
+    return f"WITH RECURSIVE g AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rn FROM ({_GROUPS})), s(rn, pair_id, pick, {state}) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, {start} UNION ALL {step}) SELECT {out} FROM s WHERE rn > 0"
+
+
+_GAIN = lambda x: f"least(g.n0, greatest(0, s.{x}0)) + least(g.n1, greatest(0, s.{x}1))"
+_BEST = f"CASE WHEN {_GAIN('p')} >= {_GAIN('d')} AND {_GAIN('p')} >= {_GAIN('t')} THEN 'probe' WHEN {_GAIN('d')} >= {_GAIN('t')} THEN 'dev' ELSE 'train' END"
+_LESS = ", ".join(f"{x}{k} - CASE WHEN pick = '{n}' THEN n{k} ELSE 0 END" for x, n in (("p", "probe"), ("d", "dev"), ("t", "train")) for k in (0, 1))
+
+
+@query("win18_greedy_group_split", _walk("p0, p1, d0, d1, t0, t1", "5::BIGINT, 40::BIGINT, 5::BIGINT, 40::BIGINT, 40::BIGINT, 200::BIGINT", f"SELECT rn, pair_id, pick, {_LESS} FROM (SELECT g.rn, g.pair_id, g.n0, g.n1, s.p0, s.p1, s.d0, s.d1, s.t0, s.t1, {_BEST} AS pick FROM s JOIN g ON g.rn = s.rn + 1)", "pair_id, pick AS split"))
 def greedy_group_split(spark, sf):
-    groups = corpus(spark, sf).where("label is not null").groupBy("pair_id").agg(F.sum((F.col("label") == 0).cast("long")).alias("n0"), F.sum((F.col("label") == 1).cast("long")).alias("n1"))
-    want = {"train": {"0": 40, "1": 200}, "dev": {"0": 5, "1": 40}, "probe": {"0": 5, "1": 40}}
-    return S.greedy_groups(groups, want, {"0": "n0", "1": "n1"}, ["pair_id"])
+    return S.greedy_groups(_pairs(spark, sf), _WANT, {"0": "n0", "1": "n1"}, ["pair_id"]).select("pair_id", "split")
+
+
+@query("win18_msc15_scored_group_split")
+def scored_group_split(spark, sf):
+    """The other allocator, by useful rows, lacking rows, overflow and priority."""
+    return S.scored_groups(_pairs(spark, sf), {k: _WANT[k] for k in ("train", "dev", "probe")}, {"0": "n0", "1": "n1"}, ["pair_id"], ["train", "probe", "dev"]).select("pair_id", "split")
 
 
 @query("win21_bucket_targets", f"SELECT id, domain FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {_SHUF()}, id) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY source, key, id) AS r1 FROM ({_KEYED})) WHERE r1 <= 60) WHERE r2 <= 30")
@@ -176,13 +194,16 @@ def _pairs(spark, sf):
     return own.withColumn("s", S.shuffled("pair_id"))
 
 
-@query("win16_capped_dev_groups")
+_DEAL = _SHUF("pair_id") + ", pair_id"
+
+
+@query("win16_capped_dev_groups", _walk("h0, h1", "0::BIGINT, 0::BIGINT", "SELECT rn, pair_id, pick, h0 + CASE WHEN pick = 'dev' THEN n0 ELSE 0 END, h1 + CASE WHEN pick = 'dev' THEN n1 ELSE 0 END FROM (SELECT g.rn, g.pair_id, g.n0, g.n1, s.h0, s.h1, CASE WHEN s.h0 + g.n0 <= 10 AND s.h1 + g.n1 <= 40 THEN 'dev' ELSE 'train' END AS pick FROM s JOIN g ON g.rn = s.rn + 1)", "pair_id, pick AS split", _DEAL))
 def capped_dev_groups(spark, sf):
     """Whole pairs to dev while no label passes its cap."""
     return S.capped_groups(_pairs(spark, sf), {"n0": 10, "n1": 40}, ["s", "pair_id"]).select("pair_id", "split")
 
 
-@query("win19_groups_until_targets")
+@query("win19_groups_until_targets", _walk("h0, h1", "0::BIGINT, 0::BIGINT", "SELECT rn, pair_id, pick, h0 + CASE WHEN pick = 'yes' THEN n0 ELSE 0 END, h1 + CASE WHEN pick = 'yes' THEN n1 ELSE 0 END FROM (SELECT g.rn, g.pair_id, g.n0, g.n1, s.h0, s.h1, CASE WHEN g.n0 > 0 AND s.h0 < 20 OR g.n1 > 0 AND s.h1 < 60 THEN 'yes' ELSE 'no' END AS pick FROM s JOIN g ON g.rn = s.rn + 1)", "pair_id, pick = 'yes' AS selected", _DEAL))
 def groups_until_targets(spark, sf):
     """Whole pairs in order until every label has its target."""
     return S.groups_until(_pairs(spark, sf), {"n0": 20, "n1": 60}, ["s", "pair_id"]).select("pair_id", "selected")

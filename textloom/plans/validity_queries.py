@@ -78,18 +78,22 @@ def leakage(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", Q.has_prompt_leakage("text").alias("leakage"), Q.starts_with_meta_text("text").alias("meta"))
 
 
+_WORDS = _NW("text")
 _FLAGS = {
-    "empty_text": f"length({_STRIP.format('text')}) = 0", "bad_label": "label IS NULL OR label NOT IN (0, 1)",
-    "too_short": "CASE WHEN bucket IN ('poetry_classical', 'poetry_freeverse') THEN length_words < 12 ELSE length_words < 30 END", "too_long": "length_words > 420", "meta_text": _META("text"), "prompt_leakage": f"regexp_matches(text, '{_LEAK}')",
+    "empty_text": f"length({_STRIP.format('text')}) = 0", "too_short": f"{_WORDS} < 30 AND NOT ((starts_with(bucket, 'poetry') OR lower(domain) = 'poetry') AND {_WORDS} >= 12)", "too_long": f"{_WORDS} > 420",
+    "prompt_leakage": f"label = 1 AND regexp_matches(text, '{_LEAK}')", "failed_basic_quality": "id % 3 = 1", "finish_reason_length": "id % 4 = 0",
 }
+_FLAGGED = f"SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 'Poetry' ELSE domain END AS domain) FROM ({BUCKET_SQL})"
 
 
-@query("flt15_quality_flags", f"SELECT flag, CAST(sum(CASE WHEN v THEN 1 ELSE 0 END) AS BIGINT) AS n FROM ({' UNION ALL '.join(f"SELECT '{k}' AS flag, {v} AS v FROM ({BUCKET_SQL})" for k, v in _FLAGS.items())}) GROUP BY flag")
+@query("flt15_quality_flags", f"SELECT flag, CAST(coalesce(sum(CASE WHEN v THEN 1 ELSE 0 END), 0) AS BIGINT) AS n FROM ({' UNION ALL '.join(f"SELECT '{k}' AS flag, {v} AS v FROM ({_FLAGGED})" for k, v in _FLAGS.items())} UNION ALL SELECT 'keep', NOT ({' OR '.join(f'coalesce({v}, false)' for v in _FLAGS.values())}) FROM ({_FLAGGED})) GROUP BY flag")
 def flags(spark, sf):
-    own = surfaced(spark, sf)
-    checks = Q.quality_flags()
-    sums = own.agg(*(F.sum(v.cast("long")).alias(k) for k, v in checks.items()))
-    return sums.unpivot([], list(checks), "flag", "n")
+    i = F.col("id")
+    own = surfaced(spark, sf).withColumn("domain", F.when(i % 5 == 0, "Poetry").otherwise(F.col("domain")))
+    checks = Q.quality_flags(passed=F.when(i % 3 == 0, True).when(i % 3 == 1, False), finish=F.when(i % 4 == 0, "length").when(i % 4 == 1, "stop"))
+    keep = {"keep": ~F.array_contains(F.array(*checks.values()), True)}
+    sums = own.agg(*(F.coalesce(F.sum(v.cast("long")), F.lit(0)).cast("long").alias(k) for k, v in (checks | keep).items()))
+    return sums.unpivot([], list(checks | keep), "flag", "n")
 
 
 _QC = rf"""SELECT task_id, ns AS source_word_count, nr AS rewrite_word_count, round(ratio, 4) AS length_ratio, round(j, 4) AS lexical_jaccard, array_to_string(issues, ',') AS issues, len(issues) = 0 AS passed FROM (

@@ -129,3 +129,40 @@ def parse_limits(spec: str) -> dict[str, int]:
             raise ValueError(f"expected NAME=NUMBER, got {part!r}")
         out[m[1].strip()] = int(m[2])
     return out
+
+
+def parse_split(values: list[str], required: tuple[str, ...] = ()) -> tuple[str, dict[str, str]]:
+    """SPLIT NAME=PATH...: the split and its runs, of which the required ones must be there."""
+    if len(values) < 2:
+        raise ValueError("expected SPLIT followed by NAME=PATH")
+    runs = {}
+    for v in values[1:]:
+        name, sep, path = v.partition("=")
+        if not sep:
+            raise ValueError(f"expected NAME=PATH, got {v!r}")
+        runs[name.strip()] = path.strip()
+    missing = sorted(set(required) - set(runs))
+    if missing:
+        raise ValueError(f"{values[0]} lacks {missing}")
+    return values[0], runs
+
+
+def rewrite_inputs(spark: SparkSession, folder: str, first: tuple[str, ...] = ()) -> list[str]:
+    """The files of `first` that a folder has, then its llm_rewrite*.jsonl by name, without failed ones; each once. Only names are listed."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.jsonl")) or []
+    names = sorted(s.getPath().getName() for s in found)
+    own = [n for n in first if n in names] + [n for n in names if n.startswith("llm_rewrite") and "failed" not in n.lower()]
+    return list(dict.fromkeys(own))
+
+
+def any_json(spark: SparkSession, paths: str | list[str], record: str = CORPUS) -> DataFrame:
+    """Records of files that each hold one JSON object, a list of them, or a line each; what is no object is skipped."""
+    raw = spark.read.text(paths, wholetext=True).select(F.trim("value").alias("v"))
+    own = F.filter(F.split("v", r"\r?\n"), lambda x: F.trim(x) != "")
+    # a parser stops at a value's end, so a first line that is one tells a file of lines
+    whole = F.try_parse_json("v").isNotNull() & ~((F.size(own) > 1) & F.try_parse_json(F.get(own, F.lit(0))).isNotNull())
+    one = F.when(F.startswith("v", F.lit("{")), F.array("v")).otherwise(F.from_json("v", F.lit("array<string>")))
+    split = F.filter(F.split("v", r"\r?\n"), lambda x: F.startswith(F.trim(x), F.lit("{")) & F.try_parse_json(x).isNotNull())
+    rows = raw.select(F.explode(F.when(whole, one).otherwise(split)).alias("r")).where(F.startswith(F.trim("r"), F.lit("{")))
+    return rows.select(F.from_json("r", F.lit(f"struct<{_struct(record)}>")).alias("s")).select("s.*")

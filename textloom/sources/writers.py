@@ -48,9 +48,14 @@ def matrix(df: DataFrame, path: str, row: str, column: str, value: str) -> None:
     table(df.groupBy(row).pivot(column).agg(F.first(value)).orderBy(row), path)
 
 
-def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small table of aggregates as Markdown."""
-    rows = df.limit(most).collect()
+def report(parts: dict[str, DataFrame]) -> str:
+    """A nested JSON object of small tables of aggregates, each a list of its rows."""
+    rows = {k: df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("j")).first()["j"] for k, df in parts.items()}
+    return "{" + ", ".join(f'"{k}": {v}' for k, v in rows.items()) + "}"
+
+
+def markdown(df: DataFrame) -> str:
+    """A table of aggregates as Markdown, all of it; it goes through the driver, so it is for small ones."""
     show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     head = [f"| {' | '.join(df.columns)} |", f"|{'---|' * len(df.columns)}"]
-    return "\n".join(head + [f"| {' | '.join(show(v) for v in r)} |" for r in rows])
+    return "\n".join(head + [f"| {' | '.join(show(v) for v in r)} |" for r in df.toLocalIterator()])
