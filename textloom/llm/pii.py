@@ -3,7 +3,8 @@
 Candidates are the base patterns' spans and looser ones that the base leaves out. Labelers vote on each: patterns with their
 checks, gazetteers (top-level domains, issuers, calling codes, reserved ranges) and the context on both sides. Counts of equal votes
 over the corpus, a table bounded by the number of vote combinations, feed expectation-maximisation: it estimates each labeler's
-reliability for a kind and each combination's probability. A logistic span classifier trained on those decides about looser
+reliability for a kind and each combination's probability. A logistic span classifier learns those probabilities from the votes and
+from what no labeler sees, the span's shape and what it touches; it decides about looser
 spans, and its weights become a column expression. Base spans always stay.
 
 Positions come from the text between matches: `split` and `regexp_extract_all` walk the same matches, so a span starts where the
@@ -30,7 +31,7 @@ _BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?[A-Za-z0-9-]{1,63}+)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?|\.)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9A-Za-z.+])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
@@ -58,7 +59,11 @@ _AGAINST = {
     "phone": r"(?i)(?:isbn|order|invoice|version|serial|\bid|№|#|\$|€)\W*$",
 }
 LABELERS = ("pattern", "check", "gazetteer", "before", "against")
+#: What the classifier sees besides: whether the span is long, parted by signs, touched by a letter or sign before and after it.
+SHAPES = ("long", "parted", "touched_before", "touched_after")
 CONTEXT = 32
+_LONG = {"email": 24, "ip": 14, "card": 17, "phone": 14}
+_PARTED = {"email": r"[ \[(]", "ip": ":", "card": r"[ -]", "phone": r"[ .()-]"}
 
 
 def _digits(m: Column) -> Column:
@@ -121,13 +126,13 @@ def _found(text: Column, number: int, kind: str, loose: bool) -> Column:
     pattern = (_LOOSE if loose else _BASE)[kind]
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     walked = F.aggregate(
-        F.arrays_zip(matches.alias("m"), pieces.alias("p")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string,b:string>>").alias("out")),
+        F.arrays_zip(matches.alias("m"), pieces.alias("p"), F.slice(pieces, F.lit(2), F.greatest(F.lit(0), F.size(pieces) - 1)).alias("n")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string,b:string,a:string>>").alias("out")),
         # the last piece has no match after it
         lambda a, x: F.when(x["m"].isNull(), a).otherwise(
             F.struct(
                 (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["p"])).cast("int").alias("start"), x["m"].alias("m"), F.right(x["p"], F.lit(CONTEXT)).alias("b")))).alias("out"),
+                F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["p"])).cast("int").alias("start"), x["m"].alias("m"), F.right(x["p"], F.lit(CONTEXT)).alias("b"), F.left(x["n"], F.lit(CONTEXT)).alias("a")))).alias("out"),
             )
         ),
         lambda a: a["out"],
@@ -135,8 +140,9 @@ def _found(text: Column, number: int, kind: str, loose: bool) -> Column:
     bit = lambda c, k: F.when(F.coalesce(c, F.lit(False)), 1 << k).otherwise(0)
 
     def span(x: Column) -> Column:
-        m, b = x["m"], x["b"]
-        votes = bit(F.lit(not loose), 0) + bit(_check(kind, m), 1) + bit(_known(kind, m), 2) + bit(b.rlike(_BEFORE[kind]), 3) + bit(b.rlike(_AGAINST[kind]), 4)
+        m, b, a = x["m"], x["b"], x["a"]
+        votes = bit(F.lit(not loose), 0) + bit(_check(kind, m), 1) + bit(_known(kind, m), 2) + bit(b.rlike(_BEFORE[kind]) | a.rlike(_BEFORE[kind]), 3) + bit(b.rlike(_AGAINST[kind]), 4)
+        votes = votes + bit(F.length(m) >= _LONG[kind], 5) + bit(m.rlike(_PARTED[kind]), 6) + bit(b.rlike(r"[^\s(\[\"']$"), 7) + bit(a.rlike(r"^[^\s.,;:!?)\]\"']"), 8)
         return F.struct(F.lit(number).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(m)).cast("int").alias("end"), F.lit(not loose).alias("base"), votes.cast("int").alias("votes"))
 
     spans = walked if loose else F.filter(walked, lambda x: _valid(kind, x["m"]))
@@ -154,7 +160,7 @@ def candidates(docs: DataFrame, text: Column, into: str = "spans_") -> DataFrame
 
 @dataclass
 class Classifier:
-    """For each kind, the weights of (1, votes...) of the span classifier; reliabilities as EM estimates them: (if real, if not) for each labeler."""
+    """For each kind, the weights of (1, votes..., shapes...) of the span classifier; reliabilities as EM estimates them: (if real, if not) for each labeler."""
 
     weights: dict[int, list[float]]
     reliabilities: dict[int, list[tuple[float, float]]] = field(default_factory=dict)
@@ -164,7 +170,7 @@ class Classifier:
         out = F.lit(False)
         for kind, w in self.weights.items():
             score = F.lit(w[0])
-            for k in range(len(LABELERS)):
+            for k in range(len(LABELERS) + len(SHAPES)):
                 score = score + F.lit(w[k + 1]) * vote(k)
             out = out | ((span["kind"] == kind) & (score >= 0))
         return span["base"] | out
@@ -211,11 +217,15 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
 
 
 def classifier_of(counts: dict[int, list[tuple[int, int]]]) -> Classifier:
-    """Trains on (votes, count) rows of each kind: EM, then logistic weights on its probabilities by Newton steps with a ridge."""
+    """Trains on (votes and shapes, count) rows of each kind: EM on the votes, then logistic weights of both on its probabilities by Newton steps with a ridge."""
     weights, rates = {}, {}
+    mask = (1 << len(LABELERS)) - 1
     for kind, rows in counts.items():
-        real, rates[kind] = estimate(rows)
-        n = len(LABELERS) + 1
+        voted: dict[int, int] = {}
+        for bits, c in rows:
+            voted[bits & mask] = voted.get(bits & mask, 0) + c
+        real, rates[kind] = estimate(sorted(voted.items()))
+        n = len(LABELERS) + len(SHAPES) + 1
         total = sum(c for _, c in rows)
         w = [0.0] * n
         for _ in range(30):
@@ -224,7 +234,7 @@ def classifier_of(counts: dict[int, list[tuple[int, int]]]) -> Classifier:
                 x = [1.0] + [float(votes >> k & 1) for k in range(n - 1)]
                 p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x, strict=True))))))
                 for i in range(n):
-                    g[i] += c / total * (real[votes] - p) * x[i]
+                    g[i] += c / total * (real[votes & mask] - p) * x[i]
                     for j in range(n):
                         h[i][j] += c / total * p * (1 - p) * x[i] * x[j]
             step = _solve(h, g)
@@ -236,7 +246,7 @@ def classifier_of(counts: dict[int, list[tuple[int, int]]]) -> Classifier:
 
 
 def fit(found: DataFrame, spans: str = "spans_") -> Classifier:
-    """A classifier from a table of candidates: one row for each kind and combination of votes reaches the driver, at most 4 * 2 ** 5."""
+    """A classifier from a table of candidates: one row for each kind and combination of votes and shapes reaches the driver, at most 4 * 2 ** 9."""
     counted = found.select(F.explode(spans).alias("s")).groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).collect()
     counts: dict[int, list[tuple[int, int]]] = {}
     for r in sorted(counted):
