@@ -43,8 +43,8 @@ TOP = 3
 BASE_BYTES, OWN_BYTES, MEMBER_BYTES = 500_000, 8192, 65_536
 #: Bytes that text is cut into to train on whole texts.
 PIECE = 256
-#: A level that searches all matches: savings of faster ones hang on which positions their tables happen to keep.
-LEVEL, MIN_MATCH, SEARCH = 13, 6, 5
+#: A search of all matches, by trees: savings of faster ones hang on which positions their tables happen to keep.
+STRATEGY, MIN_MATCH, SEARCH = zstd.STRATEGY_BTLAZY2, 6, 5
 #: What the mean weight of a text's windows may err by, however many they are.
 BIAS = 0.02
 #: Savings beyond these weigh like these.
@@ -122,7 +122,8 @@ class Windows:
 def compressor(content: bytes) -> zstd.ZstdCompressor:
     """Content is given raw: entropy tables would differ between dictionaries and blur small differences of length."""
     content = content or b" "
-    p = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), min_match=MIN_MATCH, search_log=SEARCH, write_checksum=0, write_content_size=0, write_dict_id=0)
+    log = max(17, (len(content) + WINDOW).bit_length())
+    p = zstd.ZstdCompressionParameters(strategy=STRATEGY, window_log=log, chain_log=log, hash_log=log - 1, search_log=SEARCH, min_match=MIN_MATCH, target_length=32, write_checksum=0, write_content_size=0, write_dict_id=0)
     return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=p)
 
 
