@@ -5,6 +5,10 @@ subspaces of 256 codewords each. A vector probes every list that could hold a li
 vector's own cell is no farther than linked vectors can be from each other. In a list, the estimate
 x . c + sum over subspaces of table[code] misses x . y by at most the length of y's coding error, which is stored
 with its code; what stays above the threshold by that margin is compared exactly, in double precision.
+
+Work goes in two passes over pairs of parts of lists. In the first only codes and errors travel to the parts that probe them, many parts'
+at once, and each pair's rows that stand in any candidate are found. In the second the full vectors of those rows alone
+meet, and links are counted.
 """
 
 from __future__ import annotations
@@ -13,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import components, forget, small_batches, written
 from textloom.llm.vectors import k_means, matrices, nearest, sample, usable
 
 CHUNK = 256
+#: Rows of codes that meet a part at once, about.
+GROUP_ROWS = 1 << 18
 
 
 class Quantiser:
@@ -138,6 +144,70 @@ def _forest(link: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[int, int]
     return found
 
 
+def _candidates(m: Quantiser, q: np.ndarray, cell: int, codes: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of q and of a part of a list whose estimated cosine reaches the part's margins."""
+    # a codeword's products with all rows of the chunk lie together: a look-up copies one row of the table
+    near = np.repeat((q @ m.centres[cell]).astype(np.float32)[None], len(codes), axis=0)
+    for table, column in zip(m.tables(q), codes.T, strict=True):
+        near += table.take(column, axis=0)
+    j, i = np.nonzero(near >= margin[:, None])
+    order = np.argsort(i, kind="stable")
+    return i[order], j[order]
+
+
+_FOUND = "dim int, cell_x int, part_x int, cell_y int, part_y int, side int, rows binary"
+
+
+def _screened(models: dict[int, Quantiser], least: float):
+    """For a part and the codes of others: for each pair that has candidates, the rows of either side that stand in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                d = r["dim"]
+                x = _unit(np.frombuffer(r["vectors"]).reshape(-1, d))
+                for y in r["others"]:
+                    n = y["rows"]
+                    if d in models:
+                        codes, margin = np.frombuffer(y["codes"], np.uint8).reshape(n, -1), np.float32(least - 1e-5) - np.frombuffer(y["errors"], np.float32)
+                        own = r["cell"] == y["cell"] and r["part"] == y["part"]
+                        hit = np.zeros(len(x), bool), np.zeros(n, bool)
+                        for at in range(0, len(x), CHUNK):
+                            i, j = _candidates(models[d], x[at : at + CHUNK], y["cell"], codes, margin)
+                            if own:  # a vector is its own candidate
+                                i, j = i[i + at != j], j[i + at != j]
+                            hit[0][i + at] = True
+                            hit[1][j] = True
+                        if own:
+                            hit = (hit[0] | hit[1],) * 2
+                    else:
+                        hit = np.ones(len(x), bool), np.ones(n, bool)
+                    if hit[0].any() and hit[1].any():
+                        out += [(d, r["cell"], r["part"], y["cell"], y["part"], k, np.flatnonzero(h).astype(np.int32).tobytes()) for k, h in enumerate(hit)]
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 6 + [pa.binary()], strict=True)], [c.split()[0] for c in _FOUND.split(", ")])
+
+    return run
+
+
+_SIDE = "dim int, cell_x int, part_x int, cell_y int, part_y int, side int, node binary, class binary, times binary, vectors binary, codes binary, errors binary"
+
+
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's rows that each pair needs."""
+    names = [c.split()[0] for c in _SIDE.split(", ")]
+    for batch in batches:
+        for r in batch.to_pylist():
+            n = r["n"]
+            wide = {c: np.frombuffer(r[c], np.uint8).reshape(n, -1) for c in names[6:]}
+            for at in range(0, len(r["wants"]), 8):
+                some = r["wants"][at : at + 8]
+                rows = [np.frombuffer(w["rows"], np.int32) for w in some]
+                head = [pa.array([r["dim"]] * len(some), pa.int32()), *(pa.array([w[c] for w in some], pa.int32()) for c in names[1:6])]
+                yield pa.RecordBatch.from_arrays([*head, *(pa.array([wide[c][k].tobytes() for k in rows], pa.binary()) for c in names[6:])], names)
+
+
 def _compared(models: dict[int, Quantiser], least: float):
     """For each pair of parts: how many rows each vector links with, and links that hold the same components together."""
 
@@ -155,23 +225,14 @@ def _compared(models: dict[int, Quantiser], least: float):
                 for at in range(0, len(x), CHUNK):
                     q = x[at : at + CHUNK]
                     if d in models:
-                        m = models[d]
-                        # a codeword's products with all rows of the chunk lie together: a look-up copies one row of the table
-                        near = np.repeat((q @ m.centres[r["cell_y"]]).astype(np.float32)[None], len(y), axis=0)
-                        for table, column in zip(m.tables(q), codes.T, strict=True):
-                            near += table.take(column, axis=0)
-                        j, i = np.nonzero(near >= margin[:, None])
-                        order = np.argsort(i, kind="stable")
-                        i, j = i[order], j[order]
+                        i, j = _candidates(models[d], q, r["cell_y"], codes, margin)
                     else:
                         i, j = (k.reshape(-1) for k in np.indices((len(q), len(y))))
                     if own:
                         later = j > i + at
                         i, j = i[later], j[later]
-                    if len(i) * 4 > len(q) * len(y):
-                        good = (q @ y.T)[i, j] >= least
-                    else:
-                        good = np.concatenate([np.einsum("nd,nd->n", q[i[k : k + 65536]], y[j[k : k + 65536]]) >= least for k in range(0, max(len(i), 1), 65536)])
+                    # row by row whatever their number, so that a cosine does not hang on how many are compared
+                    good = np.concatenate([np.einsum("nd,nd->n", q[i[k : k + 65536]], y[j[k : k + 65536]]) >= least for k in range(0, max(len(i), 1), 65536)])
                     i, j = i[good] + at, j[good]
                     mine += np.bincount(i, ints["times_y"][j], len(x)).astype(np.int64)
                     theirs += np.bincount(j, ints["times_x"][i], len(y)).astype(np.int64)
@@ -191,12 +252,12 @@ def _compared(models: dict[int, Quantiser], least: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, part_rows: int = 4096, most_cells: int = 4096, subspaces: int = 8, sample_rows: int = 20_000, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, part_rows: int = 8192, most_cells: int = 4096, subspaces: int = 16, sample_rows: int = 20_000, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors, linked where the cosine is at least `least`.
 
     The quantiser is fitted on at most sample_rows distinct vectors; every vector is coded and compared. Equal vectors are
     one class: they link with each other and share all links, which are counted without being listed. A part of a list has about
-    part_rows rows, so a dense group is met in pairs of parts, and writes counts and a forest only. Vectors that are null, empty, zero or hold
+    part_rows rows, so a dense group is met in pairs of parts, and writes counts and a forest only; codes travel first, and of vectors only the rows of candidates. Vectors that are null, empty, zero or hold
     null or non-finite components link with nothing, nor does a row without id; vectors of different lengths do not link. A repeated row is another vector.
     """
     rows = small_batches(vectors).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
@@ -219,15 +280,27 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, part_rows: in
     want = blocks.select("dim", "cell", "part", "vectors").mapInArrow(_wanted(models, reach), "dim int, cell int, part int, other int")
     names = blocks.select("dim", F.col("cell").alias("other"), F.col("part").alias("part_y"))
     pairs = written(want.join(names, ["dim", "other"]).where("other > cell or part_y >= part").select("dim", F.col("cell").alias("cell_x"), F.col("part").alias("part_x"), F.col("other").alias("cell_y"), "part_y"), "pairs")
-    side = lambda s: blocks.select("dim", *(F.col(c).alias(c + s) for c in ("cell", "part", "node", "class", "times", "vectors", "codes", "errors")))
-    full = pairs.join(side("_x"), ["dim", "cell_x", "part_x"]).join(side("_y"), ["dim", "cell_y", "part_y"])
-    full = full.repartition("dim", "cell_x", "part_x", "cell_y", "part_y")
+    # codes and errors of many parts meet a part's vectors at once
+    codes = blocks.select("dim", F.col("cell").alias("cell_y"), F.col("part").alias("part_y"), F.struct("cell", "part", "rows", "codes", "errors").alias("other"))
+    per_group = max(1, GROUP_ROWS // part_rows)
+    turn = F.row_number().over(Window.partitionBy("dim", "cell_x", "part_x").orderBy("cell_y", "part_y"))
+    grouped = pairs.withColumn("group", F.floor(turn / per_group)).join(codes, ["dim", "cell_y", "part_y"])
+    grouped = grouped.groupBy("dim", F.col("cell_x").alias("cell"), F.col("part_x").alias("part"), "group").agg(F.collect_list("other").alias("others"))
+    met = grouped.join(blocks.select("dim", "cell", "part", "vectors"), ["dim", "cell", "part"]).repartition("dim", "cell", "part", "group")
+    screened = written(met.mapInArrow(_screened(models, least), _FOUND), "screened")
+    # of each part, the rows that a pair needs
+    own = lambda k, s: screened.where(f"side = {k}").select("dim", F.col(f"cell_{s}").alias("cell"), F.col(f"part_{s}").alias("part"), F.struct("cell_x", "part_x", "cell_y", "part_y", "side", "rows").alias("want"))
+    wants = own(0, "x").unionAll(own(1, "y")).groupBy("dim", "cell", "part", F.pmod(F.xxhash64("want"), F.lit(8))).agg(F.collect_list("want").alias("wants"))
+    sides = written(wants.join(blocks.withColumnRenamed("rows", "n"), ["dim", "cell", "part"]).mapInArrow(_picked, _SIDE), "sides")
+    key = ["dim", "cell_x", "part_x", "cell_y", "part_y"]
+    side = lambda k, s: sides.where(f"side = {k}").select(*key, *(F.col(c).alias(c + s) for c in ("node", "class", "times", "vectors", "codes", "errors")))
+    full = side(0, "_x").join(side(1, "_y"), key).repartition(*key)
     found = written(full.mapInArrow(_compared(models, least), "kind int, a long, b long"), "compared")
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links")).withColumnRenamed("a", "class")
     joined = components(found.where("kind = 1"), "a", "b")
     named = classes.select("c1", "c2", "node", "times", "class").join(counts, "class", "left").join(joined, "node", "left")
     named = written(named.select("c1", "c2", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component")), "named")
-    for used in (classes, listed, blocks, pairs, found):
+    for used in (classes, listed, blocks, pairs, screened, sides, found):
         forget(used)
     out = keyed.select("vec_id", "c1", "c2").join(named, ["c1", "c2"], "left")
     component = F.coalesce("component", "vec_id")
