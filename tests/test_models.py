@@ -83,3 +83,82 @@ def test_runs_counted_in_place_are_those_of_char_ngrams(spark):
     want = sorted((n for g, n in tf.items() if 2 <= dfs[g] <= 0.95 * len(most)), reverse=True)[:50]
     key = lambda g: N._run_keys(g, len(g), len(g))[0]
     assert sorted((n for g, n in tf.items() if key(g) in set(least.keys)), reverse=True) == want
+
+
+def _newton(x, y, w, c=1.0):
+    """A ridge logistic regression by Newton steps: weights, then the intercept, which is free."""
+    x = np.column_stack([x, np.ones(len(x))])
+    ridge = np.append(np.full(x.shape[1] - 1, 1.0 / c), 0.0)
+    beta = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ beta))
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (w * (y - p)) - ridge * beta)
+        beta += step
+        if np.abs(step).max() < 1e-12:
+            break
+    return beta
+
+
+def test_logistic_is_the_ridge_solution(spark):
+    from textloom.operators import models as N
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(300, 3))
+    y = (r.random(300) < 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.5] - 1)))).astype(int)
+    df = spark.createDataFrame([(i, *map(float, a), int(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, c double, label int")
+    got = {v.id: v.p for v in N.scored(N.logistic(df, ["a", "b", "c"], iterations=200), df).collect()}
+    n1 = y.sum()
+    w = np.where(y == 1, 300 / (2 * n1), 300 / (2 * (300 - n1)))
+    beta = _newton(x, y, w)
+    want = 1 / (1 + np.exp(-(x @ beta[:3] + beta[3])))
+    assert max(abs(got[i] - want[i]) for i in range(300)) < 1e-4
+
+
+def test_out_of_fold_models_have_not_seen_their_fold(spark):
+    from textloom.operators import models as N
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(200, 2))
+    y = (x[:, 0] + r.normal(size=200) > 0).astype(int)
+    rows = [(i, *map(float, a), int(b), i % 4) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, label int, fold int")
+    got = {v.id: v.p_oof for v in N.out_of_fold(df, ["a", "b"], iterations=200).collect()}
+    for f in range(4):
+        on = np.arange(200) % 4 != f
+        n1 = y[on].sum()
+        w = np.where(y[on] == 1, on.sum() / (2 * n1), on.sum() / (2 * (on.sum() - n1)))
+        beta = _newton(x[on], y[on], w)
+        for i in np.flatnonzero(~on):
+            assert abs(got[i] - 1 / (1 + np.exp(-(x[i] @ beta[:2] + beta[2])))) < 1e-4
+
+
+def test_calibration_is_platt_and_pooled_violators(spark):
+    from textloom.operators import models as N
+
+    r = np.random.default_rng(3)
+    p = np.round(r.random(120), 3)
+    y = (r.random(120) < p).astype(int)
+    df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(p, y, strict=True))], "id int, p double, label int")
+    got = {v.id: (v.p_platt, v.p_isotonic) for v in N.calibrated(df, df).collect()}
+    beta = _newton(p[:, None], y, np.ones(120))
+    # pool adjacent violators over equal scores
+    blocks = [[float(y[p == v].sum()), float((p == v).sum()), [v]] for v in np.unique(p)]
+    out = []
+    for b in blocks:
+        out.append(b)
+        while len(out) > 1 and out[-2][0] / out[-2][1] >= out[-1][0] / out[-1][1]:
+            last = out.pop()
+            out[-1] = [out[-1][0] + last[0], out[-1][1] + last[1], out[-1][2] + last[2]]
+    want = {v: b[0] / b[1] for b in out for v in b[2]}
+    for i in range(120):
+        assert abs(got[i][0] - 1 / (1 + np.exp(-(p[i] * beta[0] + beta[1])))) < 1e-4
+        assert abs(got[i][1] - want[p[i]]) < 1e-9
+
+
+def test_style_scales_are_population_deviations(spark):
+    from textloom.operators import models as N
+
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, 3.0, 5.0), (3, 8.0, 5.0)], "id int, a double, b double")
+    out, scales = N.style_matrix(df, ["a", "b"], "v")
+    assert scales["a"] == np.std([1.0, 3.0, 8.0]) and scales["b"] == 1.0
+    assert [v.v.tolist() for v in out.orderBy("id").collect()] == [[a / scales["a"], 5.0] for a in (1.0, 3.0, 8.0)]

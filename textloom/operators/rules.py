@@ -95,3 +95,56 @@ def gates(metrics: DataFrame, required: dict[str, tuple[str, float]]) -> DataFra
     """(gate, required, observed, passed) of one row of metrics; required gives (">=" or "<=", bound) for a column."""
     rows = [F.struct(F.lit(c).alias("gate"), F.lit(float(b)).alias("required"), F.col(c).cast("double").alias("observed"), ((F.col(c) >= b) if op == ">=" else (F.col(c) <= b)).alias("passed")) for c, (op, b) in required.items()]
     return metrics.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
+
+
+def search_by(df: DataFrame, rules: list[dict], condition, by: str, label: str = "label") -> DataFrame:
+    """As search, for each value of `by`: (rule, by, overrides, fixed_fn, induced_fp)."""
+    sums = []
+    for k, r in enumerate(rules):
+        on = condition(r)
+        for name, c in (("overrides", on), ("fixed_fn", on & (F.col(label) == 1)), ("induced_fp", on & (F.col(label) == 0))):
+            sums.append(F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long").alias(f"{name}_{k}"))
+    each = F.array(*(F.struct(F.lit(k).alias("rule"), *(F.col(f"{n}_{k}").alias(n) for n in ("overrides", "fixed_fn", "induced_fp"))) for k in range(len(rules))))
+    return df.groupBy(by).agg(*sums).select(by, F.explode(each).alias("r")).select("r.rule", by, "r.overrides", "r.fixed_fn", "r.induced_fp")
+
+
+def ranked_rules(found: DataFrame, by: str, fixed: dict[str, float], induced: dict[str, float], most: dict[str, int], price: float = 0.03) -> DataFrame:
+    """One row for each rule: its score, from weighted fixes and new errors of named splits less a price for each override, and whether it stays below each split's most new errors; the best first."""
+    part = lambda c, s: F.coalesce(F.sum(F.when(F.col(by) == s, F.col(c))), F.lit(0))
+    score = F.lit(0.0)
+    for s, w in fixed.items():
+        score = score + w * part("fixed_fn", s)
+    for s, w in induced.items():
+        score = score - w * part("induced_fp", s)
+    ok = F.lit(True)
+    for s, n in most.items():
+        ok = ok & (part("induced_fp", s) <= n)
+    own = found.groupBy("rule").agg((score - price * F.sum("overrides")).alias("score"), ok.alias("constraints_passed"), F.sum("overrides").alias("overrides"))
+    return own.orderBy(F.desc("constraints_passed"), F.desc("score"), "overrides", "rule")
+
+
+def confidence_choice(df: DataFrame, thresholds: list[float], p: str, selector: str, label: str = "label", most_fp: int = 0, least_gain: int = 1, least_used: int = 1) -> DataFrame:
+    """The selector's confidence threshold: feasible ones first, then the largest gain, the fewest new false positives, the best F1, most fixed misses, the lowest. One aggregation for all thresholds."""
+    base = (F.col(p) >= 0.5).cast("int")
+    y = F.col(label)
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    sums, fields = [], ("gain", "used", "fp", "base_fp", "tp", "fn", "fixed_fn")
+    for k, t in enumerate(thresholds):
+        s = selected(p, selector, t)
+        b = s["final_pred"]
+        values = (n(b == y) - n(base == y), n(s["use_selector"]), n((y == 0) & (b == 1)), n((y == 0) & (base == 1)), n((y == 1) & (b == 1)), n((y == 1) & (b == 0)), n((y == 1) & (base == 0) & (b == 1)))
+        sums += [v.alias(f"{f}_{k}") for f, v in zip(fields, values, strict=True)]
+    each = F.array(*(F.struct(F.lit(t).alias("threshold"), *(F.col(f"{f}_{k}").alias(f) for f in fields)) for k, t in enumerate(thresholds)))
+    own = df.agg(*sums).select(F.explode(each).alias("e")).select("e.*").withColumns({"fp_increase": F.col("fp") - F.col("base_fp"), "f1": F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)})
+    own = own.withColumn("feasible", (F.col("fp_increase") <= most_fp) & (F.col("gain") >= least_gain) & (F.col("used") >= least_used))
+    return own.orderBy(F.desc("feasible"), F.desc("gain"), F.greatest(F.lit(0), "fp_increase"), F.desc("f1"), F.desc("fixed_fn"), "threshold").limit(1)
+
+
+def gate_choice(df: DataFrame, thresholds: list[float], p: str, kind: str, safe: str, unsafe: str, candidate: str, rows: int, most_safe_veto: float, most_candidate_veto: float) -> DataFrame:
+    """A guard's threshold: within both veto rates if any is, then most unsafe rows stopped, least vetoes, the highest. `kind` tells the rows of each set; one aggregation for all thresholds."""
+    sums = [F.coalesce(F.sum(F.when(F.col(kind) == s, 1).otherwise(0)), F.lit(0)).alias(f"all_{k}") for k, s in enumerate((safe, unsafe))]
+    for i, t in enumerate(thresholds):
+        sums += [F.coalesce(F.sum(F.when((F.col(kind) == s) & (F.col(p) >= t), 1).otherwise(0)), F.lit(0)).alias(f"n{k}_{i}") for k, s in enumerate((safe, unsafe, candidate))]
+    each = F.array(*(F.struct(F.lit(t).alias("threshold"), F.coalesce(F.try_divide(f"n0_{i}", "all_0"), F.lit(0.0)).alias("safe_veto"), F.coalesce(F.try_divide(f"n1_{i}", "all_1"), F.lit(0.0)).alias("unsafe_recall"), (F.col(f"n2_{i}") / F.lit(float(max(1, rows)))).alias("candidate_veto")) for i, t in enumerate(thresholds)))
+    own = df.agg(*sums).select(F.explode(each).alias("e")).select("e.*").withColumn("feasible", (F.col("safe_veto") <= most_safe_veto) & (F.col("candidate_veto") <= most_candidate_veto))
+    return own.orderBy(F.desc("feasible"), F.desc("unsafe_recall"), "safe_veto", "candidate_veto", F.desc("threshold")).limit(1)

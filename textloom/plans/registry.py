@@ -28,5 +28,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["bucket_distribution"](spark, sf_dir)
 
 
-for _module in ("text_queries", "feature_queries", "validity_queries", "selection_queries", "alignment_queries", "metric_queries", "rule_queries", "ledger_queries", "model_queries", "candidate_queries", "report_queries", "source_queries"):
+for _module in ("text_queries", "feature_queries", "validity_queries", "selection_queries", "alignment_queries", "metric_queries", "rule_queries", "ledger_queries", "model_queries", "candidate_queries", "report_queries", "source_queries", "choice_queries"):
     import_module(f"textloom.plans.{_module}")
