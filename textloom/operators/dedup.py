@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.store import written
+from textloom.operators.store import forget, written
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str], last: bool = False) -> DataFrame:
@@ -39,7 +39,9 @@ def greedy(df: DataFrame, keys: list[str], order: str) -> DataFrame:
         rest = left.join(now.select(order), order, "left_anti")
         for k in keys:
             rest = rest.join(now.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
-        left = written(rest.select(order, *keys), "greedy")
+        before, left = left, written(rest.select(order, *keys), "greedy")
+        forget(before)
+    forget(left)
     return df.limit(0) if kept is None else df.join(kept.select(order), order, "left_semi")
 
 

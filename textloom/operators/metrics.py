@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores that cumulative counts are made in.
+RANGES = 200
+
+
 def _sum(c: Column) -> Column:
     return F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
 
@@ -30,29 +34,54 @@ def metrics(df: DataFrame, by: list[str] | None = None, label: str = "label", pr
     return rates(df.groupBy(*(by or [])).agg(*confusion(label, pred)))
 
 
+def _cumulative(df: DataFrame, per: DataFrame, by: list[str], key: str, p: str, columns: list[str], descending: bool) -> DataFrame:
+    """per, one row for each score of a group, with the sums of columns over all scores up to each one, as c_<column>.
+
+    Scores fall into ranges between quantiles of df's p, which a few hundred numbers tell; a window passes over a range's scores, and another over the ranges' totals.
+    """
+    cuts = sorted({x for x in df.agg(F.percentile_approx(p, [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []})
+    per = per.withColumn("range_", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(key))) if cuts else F.lit(0))
+    order = F.desc if descending else F.asc
+    totals = per.groupBy(*by, "range_").agg(*(F.sum(c).alias(f"t_{c}") for c in columns))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order("range_")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range_", *(F.col(g).alias(f"g_{g}") for g in by), *(F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"b_{c}") for c in columns)).withColumnRenamed("range_", "of_")
+    local = Window.partitionBy(*by, "range_").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = per.withColumns({f"c_{c}": F.sum(c).over(local) for c in columns})
+    match = F.col("range_") == F.col("of_")
+    for g in by:
+        match = match & F.col(g).eqNullSafe(F.col(f"g_{g}"))
+    out = own.join(totals, match).withColumns({f"c_{c}": F.col(f"c_{c}") + F.col(f"b_{c}") for c in columns})
+    return out.drop("range_", "of_", *(f"g_{g}" for g in by), *(f"b_{c}" for c in columns))
+
+
 def roc_auc(df: DataFrame, by: list[str] | None = None, label: str = "label", p: str = "p") -> DataFrame:
     """Exact area under the curve with ties, null where a class is missing: Mann-Whitney from counts of equal scores.
 
-    Rows are first counted by score, so a window passes over distinct scores only.
+    Rows are first counted by score, and no window passes over more than a range of distinct scores.
     """
     by = by or []
     per = df.groupBy(*by, F.col(p).alias("p_")).agg(_sum(F.col(label) == 1).alias("pos_"), _sum(F.col(label) == 0).alias("neg_"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("below_", F.coalesce(F.sum("neg_").over(w), F.lit(0)))
+    per = _cumulative(df, per, by, "p_", p, ["neg_"], False).withColumn("below_", F.col("c_neg_") - F.col("neg_"))
     out = per.groupBy(*by).agg(F.sum(F.col("pos_") * (F.col("below_") + F.col("neg_") / F.lit(2.0))).alias("u_"), F.sum("pos_").alias("np_"), F.sum("neg_").alias("nn_"))
     auc = F.when((F.col("np_") > 0) & (F.col("nn_") > 0), F.col("u_") / (F.col("np_").cast("double") * F.col("nn_")))
     return out.select(*by, auc.alias("roc_auc"))
 
 
 def sweep(df: DataFrame, by: list[str] | None = None, label: str = "label", p: str = "p") -> DataFrame:
-    """Metrics at every distinct score as threshold (p >= threshold), from cumulative counts in one pass."""
+    """Metrics at every distinct score as threshold (p >= threshold), from cumulative counts of ranges of scores."""
     by = by or []
     per = df.groupBy(*by, F.col(p).alias("threshold")).agg(_sum(F.col(label) == 1).alias("pos_"), _sum(F.col(label) == 0).alias("neg_"))
-    part = Window.partitionBy(*(by or [F.lit(0)]))
-    down = part.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumns({"tp": F.sum("pos_").over(down), "fp": F.sum("neg_").over(down)})
-    per = per.withColumns({"fn": F.sum("pos_").over(part) - F.col("tp"), "tn": F.sum("neg_").over(part) - F.col("fp")})
-    return rates(per.drop("pos_", "neg_"))
+    own = _cumulative(df, per, by, "threshold", p, ["pos_", "neg_"], True)
+    all_ = df.groupBy(*by).agg(_sum(F.col(label) == 1).alias("np_"), _sum(F.col(label) == 0).alias("nn_")).select(*(F.col(g).alias(f"g_{g}") for g in by), "np_", "nn_")
+    if by:
+        match = F.lit(True)
+        for g in by:
+            match = match & F.col(g).eqNullSafe(F.col(f"g_{g}"))
+        own = own.join(all_, match).drop(*(f"g_{g}" for g in by))
+    else:
+        own = own.crossJoin(F.broadcast(all_))
+    own = own.select(*by, "threshold", F.col("c_pos_").alias("tp"), F.col("c_neg_").alias("fp"), (F.col("np_") - F.col("c_pos_")).alias("fn"), (F.col("nn_") - F.col("c_neg_")).alias("tn"))
+    return rates(own)
 
 
 def at_grid(df: DataFrame, thresholds: DataFrame, by: list[str] | None = None, label: str = "label", p: str = "p") -> DataFrame:

@@ -68,7 +68,7 @@ def by_ratio(df: DataFrame, order: list, ratios: dict[str, float], into: str = "
 def quotas(df: DataFrame, by: str, limits: dict[str, int], order: list) -> DataFrame:
     """The first rows of each group up to its limit; a group without limit has none."""
     limit = reduce(lambda c, kv: (F if c is None else c).when(F.col(by) == kv[0], kv[1]), limits.items(), None)
-    own = ranked(df.where(F.col(by).isin(list(limits))), [by], order)
+    own = positions(df.where(F.col(by).isin(list(limits))), order, [by], "rank_")
     return own.where(F.col("rank_") <= limit).drop("rank_")
 
 
@@ -83,15 +83,15 @@ def proportional(df: DataFrame, by: str, n: int, order: list) -> DataFrame:
     """Exactly n rows, or all if fewer: each group's share rounded half to even, then topped up or trimmed in order."""
     total = F.broadcast(df.agg(F.count("*").alias("t_")))
     sizes = df.groupBy(by).agg(F.count("*").alias("g_"))
-    own = ranked(df.join(sizes, by).crossJoin(total), [by], order)
+    own = positions(df, order, [by], "rank_").join(sizes, by).crossJoin(total)
     own = own.withColumn("in_", F.col("rank_") <= F.bround(F.col("g_") * n / F.col("t_")))
     return own.orderBy(F.desc("in_"), *order).limit(n).drop("t_", "g_", "rank_", "in_")
 
 
 def balanced(df: DataFrame, label: str, bucket: str, order: list) -> DataFrame:
     """As many rows of each label as the rarest has, one of each bucket before any second."""
-    own = ranked(df, [label, bucket], order, "b_")
-    own = ranked(own.withColumn("late_", (F.col("b_") > 1).cast("int")), [label], [F.col("late_"), *order], "l_")
+    own = positions(df, order, [label, bucket], "b_")
+    own = positions(own.withColumn("late_", (F.col("b_") > 1).cast("int")), ["late_", *order], [label], "l_")
     least = F.broadcast(df.groupBy(label).agg(F.count("*").alias("k_")).agg(F.min("k_").alias("least_")))
     return own.crossJoin(least).where("l_ <= least_").drop("b_", "late_", "l_", "least_")
 
@@ -99,7 +99,7 @@ def balanced(df: DataFrame, label: str, bucket: str, order: list) -> DataFrame:
 def capped(df: DataFrame, family: str, most: int, order: list) -> DataFrame:
     """At most `most` rows: an equal share for each family, filled up in order."""
     n = F.broadcast(df.agg(F.count_distinct(family).alias("f_")))
-    own = ranked(df, [family], order).crossJoin(n).withColumn("in_", F.col("rank_") <= F.floor(F.lit(most) / F.col("f_")))
+    own = positions(df, order, [family], "rank_").crossJoin(n).withColumn("in_", F.col("rank_") <= F.floor(F.lit(most) / F.col("f_")))
     return own.orderBy(F.desc("in_"), family, *order).limit(most).drop("rank_", "f_", "in_")
 
 
