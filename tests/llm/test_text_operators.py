@@ -215,3 +215,54 @@ def test_pipeline_stages_take_odd_rows(spark, sf):
                 assert out.columns == docs.columns
     kept = [r.doc_id for r in P.drop_near_duplicates(spark, docs, sf).collect()]
     assert sorted(kept, key=str) == [1, 4, 5, None]
+
+
+def test_near_duplicates_stage_loses_no_text(spark, sf):
+    import corpus_pipeline as P
+
+    a, b = "one two three four five six seven eight", "entirely other words stand in this second text here"
+    rows = [(1, a, {"k": "x"}), (1, b, {"k": "y"}), (1, b, {"k": "x"}), (2, a, {"k": "z"}), (3, None, None), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,string>").withColumns({"n_chars": F.length("text"), "source": F.lit("s"), "lang": F.lit("en")})
+    got = sorted((r.doc_id, r.text or "", (r.extra or {}).get("k")) for r in P.drop_near_duplicates(spark, docs, sf).collect())
+    assert got == [(1, b, "x"), (1, a, "x"), (3, "", None)]
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    """run() over a small folder against a plain recomputation of every stage."""
+    import hashlib as H
+
+    import corpus_pipeline as P
+    import sentencepiece
+
+    from textloom.llm import pieces
+
+    r = random.Random(11)
+    syllables = "ri ver sto ne gar den win ter let ru qui et mor nin pa per dow tra vel mar ket".split()
+    make = lambda: " ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 4))) for _ in range(60))
+    texts = [make() for _ in range(60)]
+    texts[10], texts[11] = texts[3], texts[4] + " more"
+    texts[20] += " write me@site.com or call +1 226 555 1404 now"
+    docs = spark.createDataFrame([(k, t, "en", "ab"[k % 2], len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    folder = f"file://{tmp_path}/sf"
+    docs.write.parquet(f"{folder}/documents.parquet")
+    # one class of labels: every text scores its smoothed share, and none is rejected
+    spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    shingles = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    sets = [shingles(t) for t in texts]
+    kept = [k for k in range(60) if not any(100 * len(sets[j] & sets[k]) >= 80 * len(sets[j] | sets[k]) for j in range(k))]
+    clean = {k: texts[k].replace("me@site.com", "<EMAIL>").replace("+1 226 555 1404", "<PHONE>") for k in kept}
+    assert len(kept) == 58
+    got = P.run(spark, folder).collect()
+    own = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    mixed = mixing.mixed_documents(spark.createDataFrame([(k, t, "ab"[k % 2], len(t)) for k, t in clean.items()], "doc_id long, text string, source string, n_chars long"))
+    want = []
+    for x in mixed.collect():
+        assert set(x.text.split()) <= set(clean[x.doc_id].split())
+        ids = own.encode(x.text, add_bos=True, add_eos=True)
+        want.append((x.doc_id, len(ids), H.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest(), H.sha256(own.decode(ids).encode()).hexdigest()))
+    assert sorted((x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in got) == sorted(want)
+    sizes = {s: sum(len(t.split()) for k, t in clean.items() if "ab"[k % 2] == s) for s in "ab"}
+    taken = {s: sum(len(x.text.split()) for x in mixed.collect() if x.source == s) for s in "ab"}
+    # weights 3 and 1 share 1.5 of all words; the first stops at twice its size
+    a = min(2 * sizes["a"], 1.5 * sum(sizes.values()) * 3 / 4)
+    assert abs(taken["a"] - a) <= 2 + sizes["a"] / 128 and abs(taken["b"] - min(2 * sizes["b"], 1.5 * sum(sizes.values()) - a)) <= 2 + sizes["b"] / 128
