@@ -32,20 +32,17 @@ def hardness_of(label: Column | str, p: Column | str) -> Column:
     return F.when(col(label) == 0, col(p)).otherwise(1 - col(p))
 
 
+#: Names of flips, by the first run's prediction, the second's and the label. Fixed values.
+FLIPS = {
+    "000": "stable_step7_correct", "001": "both_miss", "010": "induced_fp", "011": "fixed_fn_candidate",
+    "100": "round4_fixed_fp", "101": "round4_induced_fn", "110": "both_miss", "111": "stable_step7_correct",
+}
+
+
 def flip_type(label: Column | str, base: Column | str, new: Column | str) -> Column:
-    """What a second run changes against the first; with two-valued predictions the last three cases cannot occur."""
-    y, a, b = col(label), col(base), col(new)
-    return (
-        F.when((a == 0) & (b == 1) & (y == 1), "fixed_fn_candidate")
-        .when((a == 0) & (b == 1) & (y == 0), "induced_fp")
-        .when((a == 1) & (b == 0) & (y == 0), "round4_fixed_fp")
-        .when((a == 1) & (b == 0) & (y == 1), "round4_induced_fn")
-        .when((a == y) & (b == a), "stable_step7_correct")
-        .when((a != y) & (b == a), "both_miss")
-        .when((a == y) & (b != y), "round4_only_miss")
-        .when((a != y) & (b == y), "round4_only_fix")
-        .otherwise("other")
-    )
+    """What a second run changes against the first; `other` for a row without label or with values that are not 0 or 1."""
+    key = F.concat(*(col(c).cast("string") for c in (base, new, label)))
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in FLIPS.items() for x in kv)), key), F.lit("other"))
 
 
 def override_safety(flip: Column | str) -> Column:

@@ -173,7 +173,10 @@ def acceptance(spark, sf):
     return own.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check_name"), c.alias("passed")) for k, c in checks.items()))).alias("e")).select("e.*")
 
 
-@query("txt05_normalised_by_split", rf"SELECT coalesce(split, 'none') AS split, count(*) AS n, {_N("text <> trim(regexp_replace(text, '\s+', ' ', 'g'))")} AS changed FROM ({CAND_SQL}) GROUP BY 1")
+_CHANGED = _N(r"text <> trim(regexp_replace(text, '\s+', ' ', 'g'))")
+
+
+@query("txt05_normalised_by_split", f"SELECT coalesce(split, 'none') AS split, count(*) AS n, {_CHANGED} AS changed FROM ({CAND_SQL}) GROUP BY 1")
 def normalised(spark, sf):
     own = cand(spark, sf).withColumn("changed", F.col("text") != T.squeeze("text"))
     return own.groupBy(F.coalesce("split", F.lit("none")).alias("split")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("changed").cast("long")), F.lit(0)).cast("long").alias("changed"))

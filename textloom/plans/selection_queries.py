@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import dedup as D
 from textloom.operators import splits as S
-from textloom.plans.registry import query
+from textloom.plans.registry import SQL, query
 from textloom.plans.views import CORPUS_SQL, REWRITES_SQL, corpus, rewrites, table
 
 _KEY = r"md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))"
@@ -104,7 +104,14 @@ def greedy_group_split(spark, sf):
     return S.greedy_groups(_pairs(spark, sf), _WANT, {"0": "n0", "1": "n1"}, ["pair_id"]).select("pair_id", "split")
 
 
-@query("win18_msc15_scored_group_split")
+_USE = lambda x, a, b: f"least(g.n0, greatest(0, {a} - s.{x}0)) + least(g.n1, greatest(0, {b} - s.{x}1))"
+_OVER = lambda x, a, b: f"CASE WHEN g.n0 > 0 THEN greatest(0, s.{x}0 + g.n0 - {a}) ELSE 0 END + CASE WHEN g.n1 > 0 THEN greatest(0, s.{x}1 + g.n1 - {b}) ELSE 0 END"
+_SCORE = lambda x, a, b, k: f"row({_USE(x, a, b)}, greatest(0, {a + b} - s.{x}0 - s.{x}1), -({_OVER(x, a, b)}), {k})"
+_TOP = f"CASE WHEN {_SCORE('t', 40, 200, 0)} > {_SCORE('d', 5, 40, 2)} AND {_SCORE('t', 40, 200, 0)} > {_SCORE('p', 5, 40, 1)} THEN 'train' WHEN {_SCORE('d', 5, 40, 2)} > {_SCORE('p', 5, 40, 1)} THEN 'dev' ELSE 'probe' END"
+_MORE = ", ".join(f"{x}{k} + CASE WHEN pick = '{n}' THEN n{k} ELSE 0 END" for x, n in (("p", "probe"), ("d", "dev"), ("t", "train")) for k in (0, 1))
+
+
+@query("win18_msc15_scored_group_split", _walk("p0, p1, d0, d1, t0, t1", ", ".join(["0::BIGINT"] * 6), f"SELECT rn, pair_id, pick, {_MORE} FROM (SELECT g.rn, g.pair_id, g.n0, g.n1, s.p0, s.p1, s.d0, s.d1, s.t0, s.t1, {_TOP} AS pick FROM s JOIN g ON g.rn = s.rn + 1)", "pair_id, pick AS split"))
 def scored_group_split(spark, sf):
     """The other allocator, by useful rows, lacking rows, overflow and priority."""
     return S.scored_groups(_pairs(spark, sf), {k: _WANT[k] for k in ("train", "dev", "probe")}, {"0": "n0", "1": "n1"}, ["pair_id"], ["train", "probe", "dev"]).select("pair_id", "split")
@@ -222,7 +229,7 @@ def forced_train(spark, sf):
     return S.forced_train(own, {"pair_id": own.where("toxic = 1").select("pair_id"), "key": own.where("label = 0").select("key")}).select("id", "forced")
 
 
-@query("srt06_hardest_literature", None)
+@query("srt06_hardest_literature", f"SELECT id, score FROM ({SQL['fea16_hardness']}) ORDER BY score DESC, {_SHUF()}, id LIMIT 50")
 def hardest(spark, sf):
     from textloom.functions.features import hardness
 
