@@ -11,18 +11,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 def pending(tasks: DataFrame, done: DataFrame, key: str = "task_id") -> DataFrame:
     """Tasks without a finished output."""
-    return tasks.join(done.select(key).distinct(), key, "left_anti")
+    return tasks.join(done.select(key), key, "left_anti")
 
 
 def follow(spark: SparkSession, source: str, schema: str, work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "task_id") -> StreamingQuery:
-    """Works through all files that are in source now, each once over all runs, and appends outputs; within a run keys are done once.
+    """Works through all files that are in source now, each once over all runs, and appends outputs; a key is done once.
 
-    A micro-batch leaves out keys that the target has, so a batch that is run again after a failure appends nothing twice.
+    A micro-batch leaves out keys that stand in it before or that the target has, of which only the key column is read; so no state grows, and a batch that is run
+    again after a failure appends nothing twice.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).json(source).dropDuplicates([key])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).json(source)
 
     def one(batch: DataFrame, _: int) -> None:
         s = batch.sparkSession
+        batch = batch.dropDuplicates([key])
         p = s._jvm.org.apache.hadoop.fs.Path(target)
         fs = p.getFileSystem(s._jsc.hadoopConfiguration())
         there = fs.exists(p) and fs.listStatus(p)
