@@ -101,10 +101,10 @@ def _placed(rows: DataFrame, by: list[str], order: list[str], length: str, into:
 
 
 class Mixture:
-    """docs: a row for each document, with its place; spans: what the mixture takes, shard by shard."""
+    """docs: a row for each document, with its place; spans: what the mixture takes, shard by shard; shards: how many there are."""
 
-    def __init__(self, docs: DataFrame, spans: DataFrame):
-        self.docs, self.spans = docs, spans
+    def __init__(self, docs: DataFrame, spans: DataFrame, shards: int):
+        self.docs, self.spans, self.shards = docs, spans, shards
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 1024, least_blocks: int = 256, shard_words: int = 4 << 20, most_shards: int = 4096, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Mixture:
@@ -157,7 +157,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     spans = written(spans.select("shard", "place", "rank", "block", "pass", "doc_id", "source", "text_hash", "copy", "start", "from_word", "to_word"), "spans")
     for used in (rows, sources, quotas, drawn):
         forget(used)
-    return Mixture(placed, spans)
+    return Mixture(placed, spans, 1 << depth)
 
 
 def taken_words(mixture: Mixture) -> DataFrame:
@@ -198,6 +198,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     slices = F.flatten(F.transform("t.parts", lambda p: F.slice(F.col("w"), (p["from_word"] + 1).cast("int"), (p["to_word"] - p["from_word"]).cast("int"))))
     whole = F.aggregate("t.parts", F.lit(0).cast("long"), lambda a, p: a + p["to_word"] - p["from_word"]) == F.col("t.words")
     out = out.withColumn("whole", whole).withColumn("w", F.when(~F.col("whole"), words)).withColumn("x", F.when(F.col("whole"), F.col("d").getField(text)).otherwise(F.array_join(slices, "")))
-    out = out.repartition("t.shard").sortWithinPartitions("t.shard", "t.place", "t.copy", "t.pass")
+    # as many tasks as shards, so that a task holds few, however many there are
+    out = out.repartition(mixture.shards, "t.shard").sortWithinPartitions("t.shard", "t.place", "t.copy", "t.pass")
     new = {text: F.col("x")} | ({length: F.length("x").cast(docs.schema[length].dataType)} if length in docs.columns else {})
     return out.select(*[new[c].alias(c) if c in new else F.col("d").getField(c).alias(c) for c in docs.columns])
