@@ -57,7 +57,7 @@ def round_robin(df: DataFrame, order: list, k: int, by: list[str] | None = None,
 def by_ratio(df: DataFrame, order: list, ratios: dict[str, float], into: str = "assigned") -> DataFrame:
     """Assigns rows in order to names by shares of the total, rounded half to even; the last name takes the rest."""
     own = positions(df, order)
-    n = F.broadcast(df.agg(F.count("*").alias("n_")))
+    n = F.broadcast(own.agg(F.count("*").alias("n_")))
     names, upto, case = list(ratios), F.lit(0).cast("double"), None
     for name in names[:-1]:
         upto = upto + F.bround(F.col("n_") * ratios[name])
@@ -81,9 +81,10 @@ def interleaved(df: DataFrame, source: str, order: list, per_source: int, most:
 
 def proportional(df: DataFrame, by: str, n: int, order: list) -> DataFrame:
     """Exactly n rows, or all if fewer: each group's share rounded half to even, then topped up or trimmed in order."""
-    total = F.broadcast(df.agg(F.count("*").alias("t_")))
-    sizes = df.groupBy(by).agg(F.count("*").alias("g_"))
-    own = positions(df, order, [by], "rank_").join(sizes, by).crossJoin(total)
+    own = positions(df, order, [by], "rank_")
+    total = F.broadcast(own.agg(F.count("*").alias("t_")))
+    sizes = own.groupBy(by).agg(F.count("*").alias("g_"))
+    own = own.join(sizes, by).crossJoin(total)
     own = own.withColumn("in_", F.col("rank_") <= F.bround(F.col("g_") * n / F.col("t_")))
     return own.orderBy(F.desc("in_"), *order).limit(n).drop("t_", "g_", "rank_", "in_")
 
@@ -92,14 +93,15 @@ def balanced(df: DataFrame, label: str, bucket: str, order: list) -> DataFrame:
     """As many rows of each label as the rarest has, one of each bucket before any second."""
     own = positions(df, order, [label, bucket], "b_")
     own = positions(own.withColumn("late_", (F.col("b_") > 1).cast("int")), ["late_", *order], [label], "l_")
-    least = F.broadcast(df.groupBy(label).agg(F.count("*").alias("k_")).agg(F.min("k_").alias("least_")))
+    least = F.broadcast(own.groupBy(label).agg(F.count("*").alias("k_")).agg(F.min("k_").alias("least_")))
     return own.crossJoin(least).where("l_ <= least_").drop("b_", "late_", "l_", "least_")
 
 
 def capped(df: DataFrame, family: str, most: int, order: list) -> DataFrame:
     """At most `most` rows: an equal share for each family, filled up in order."""
-    n = F.broadcast(df.agg(F.count_distinct(family).alias("f_")))
-    own = positions(df, order, [family], "rank_").crossJoin(n).withColumn("in_", F.col("rank_") <= F.floor(F.lit(most) / F.col("f_")))
+    own = positions(df, order, [family], "rank_")
+    n = F.broadcast(own.agg(F.count_distinct(family).alias("f_")))
+    own = own.crossJoin(n).withColumn("in_", F.col("rank_") <= F.floor(F.lit(most) / F.col("f_")))
     return own.orderBy(F.desc("in_"), family, *order).limit(most).drop("rank_", "f_", "in_")
 
 
