@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from textloom.llm.ann import nearest_neighbours
 from textloom.llm.common import spread, table
 from textloom.llm.html import extract
+from textloom.llm.lines import SQL as LINES_SQL
+from textloom.llm.lines import drop_repeated_lines
 from textloom.llm.minhash import near_duplicates
 from textloom.llm.mixing import mix, taken_words
 from textloom.llm.pii import personal_data
@@ -69,6 +71,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spread(table(spark, sf_dir, "documents")), percent=85)
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = drop_repeated_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_sharding": op2_sharding,
@@ -80,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_line_dedup": op12_line_dedup,
 }
 SQL: dict[str, str] = {
     "op2_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    "op12_line_dedup": LINES_SQL,
 }
