@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.ann import nearest_neighbours
 from textloom.llm.common import spread, table
+from textloom.llm.divergence import SQL as DIVERGENCE_SQL
+from textloom.llm.divergence import source_divergence
 from textloom.llm.html import extract
 from textloom.llm.lines import SQL as LINES_SQL
 from textloom.llm.lines import drop_repeated_lines
@@ -76,6 +78,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(spread(table(spark, sf_dir, "documents").select("text", "lang", "source")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_sharding": op2_sharding,
@@ -88,8 +94,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op12_line_dedup": op12_line_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 SQL: dict[str, str] = {
     "op2_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
     "op12_line_dedup": LINES_SQL,
+    "op13_source_divergence": DIVERGENCE_SQL,
 }
