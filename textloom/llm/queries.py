@@ -22,6 +22,7 @@ from textloom.llm.pq import near_duplicate_vectors
 from textloom.llm.sharding import compacted
 from textloom.llm.tokens import round_trip
 from textloom.llm.toxicity import fit, score
+from textloom.llm.whitening import whiten
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spread(table(spark, sf_dir, "documents")), percent=85)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spread(table(spark, sf_dir, "embeddings"))).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drop_repeated_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_line_dedup": op12_line_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
