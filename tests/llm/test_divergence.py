@@ -79,7 +79,7 @@ def test_blocks_slabs_and_heaps(spark, sizes):
 
 def test_a_very_long_text_and_clashing_names(spark):
     rows = [("word " * 50_000 + "tail", "en", "a", 1), ("tail word", "en", "b", 2), ("word tail", "en", "b", 3)]
-    docs = spark.createDataFrame(rows, "text string, lang string, source string, term int").withColumnsRenamed({})
+    docs = spark.createDataFrame(rows, "text string, lang string, source string, term int")
     got = [tuple(r) for r in docs.transform(source_divergence).select("lang", "source", "part", "item", "value", "rank").collect()]
     assert sorted(got) == sorted(plain([r[:3] for r in rows]))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,24 +14,51 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import written
-from textloom.llm.lines import folded
 
-#: Runs of letters: ASCII ones and every character beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Runs of letters, in UTF-8: ASCII ones and every character beyond ASCII.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Distinct terms by source that a task keeps before it gives out their counts; it looks after every two million words.
+ENTRIES = 300_000
 #: Counts of a tile, and sums of a matrix of pairs, that a task holds at a time.
 TILE, MATRIX = 1 << 16, 1 << 22
 SCALE = 1_000_000_000
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each source in a task, given out whenever they or the texts read for them grow large."""
+    found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (tf, df) in found.items():
+            words = list(tf)
+            for at in range(0, len(words), 50_000):
+                some = words[at : at + 50_000]
+                n = len(some)
+                columns = [pa.array([lang] * n), pa.array([source] * n), pa.array(some).cast(pa.string()), pa.array([tf[w] for w in some]), pa.array([df[w] for w in some])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        found.clear()
+
+    for batch in batches:
+        for text, lang, source in zip(*(batch.column(k) for k in range(3)), strict=True):
+            # on UTF-8, lower() changes A-Z alone
+            words = TERM.findall(text.as_buffer().to_pybytes().lower())
+            tf, df = found.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+            tf.update(words)
+            df.update(set(words))
+            held += len(words)
+            if held > 2_000_000:
+                if sum(len(t) for t, _ in found.values()) > ENTRIES:
+                    yield from out()
+                held = 0
+    yield from out()
+
+
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in a source, and the documents that hold it. Nulls count as empty."""
-    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    terms = F.sort_array(F.transform(F.regexp_extract_all(own(text), F.lit(TERM), F.lit(0)), folded))
-    rows = docs.select(own(lang).alias("lang"), own(source).alias("source"), terms.alias("terms"))
-    # the first of equal terms stands for the document; terms is named twice, so it is made once and not for each place
-    first = F.transform("terms", lambda x, k: F.struct(x.alias("term"), ((k == 0) | (x != F.get("terms", k - 1))).cast("int").alias("first")))
-    rows = rows.select("lang", "source", F.explode(first).alias("t"))
-    return rows.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.count("*").alias("n"), F.sum("t.first").alias("docs"))
+    own = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for k, c in (("text", text), ("lang", lang), ("source", source))))
+    parts = own.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _p(count: np.ndarray, total: np.ndarray) -> np.ndarray:
