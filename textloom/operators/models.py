@@ -1,160 +1,18 @@
-"""Vectorisation, linear models, stacking and calibration on MLlib."""
+"""Dense logistic regression and calibration on MLlib, and scoring by any model in batches."""
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, FeatureHasher, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import text_of
 from textloom.operators.metrics import class_weights
 
 
-def _runs(df: DataFrame, parts: str, size, at, low: int, high: int, into: str) -> DataFrame:
-    """Adds the runs of low to high units of a column that is there already: an expression in a lambda would be evaluated for each run."""
-    n = size(parts)
-    run = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: at(F.col(parts), i, k))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn(into, F.concat(*(run(k) for k in range(low, high + 1)))).drop(parts)
-
-
-def word_ngrams(df: DataFrame, text: str, into: str, n: int = 2) -> DataFrame:
-    """Adds lower-case words of two characters or more, and their runs up to n."""
-    own = df.withColumn("units_", F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)))
-    return _runs(own, "units_", F.size, lambda a, i, k: F.array_join(F.slice(a, i, k), " "), 1, n, into)
-
-
-def char_ngrams(df: DataFrame, text: str, into: str, low: int = 3, high: int = 5) -> DataFrame:
-    """Adds runs of characters across words, white space squeezed to one space."""
-    own = df.withColumn("units_", F.regexp_replace(F.lower(text_of(text)), r"(?U)\s\s+", " "))
-    return _runs(own, "units_", F.length, lambda t, i, k: F.substring(t, i, F.lit(k)), low, high, into)
-
-
-class TfIdf:
-    """Term weights 1 + ln(tf), times ln((1 + n) / (1 + df)) + 1, rows of length one; terms in min_df documents at least and max_df of them at most."""
-
-    def __init__(self, column: str, into: str, size: int = 100_000, min_df: float = 2, max_df: float = 0.95):
-        self.column, self.into, self.size, self.min_df, self.max_df = column, into, size, min_df, max_df
-
-    def fit(self, df: DataFrame) -> TfIdf:
-        self.model: CountVectorizerModel = CountVectorizer(inputCol=self.column, outputCol="tf_", vocabSize=self.size, minDF=self.min_df, maxDF=self.max_df).fit(df)
-        n = df.count()
-        # one number for each term of the vocabulary, whose size is a parameter
-        found = df.select(F.explode(F.array_distinct(self.column)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        words = df.sparkSession.createDataFrame([(w, i) for i, w in enumerate(self.model.vocabulary)], "term string, i int")
-        self.idf = [1.0] * len(self.model.vocabulary)
-        for r in found.join(F.broadcast(words), "term").select("i", F.log((1 + F.lit(n)) / (1 + F.col("df"))).alias("v")).toLocalIterator():
-            self.idf[r.i] = r.v + 1
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        idf = self.idf
-
-        @F.udf(VectorUDT())
-        def weigh(v: SparseVector) -> SparseVector:
-            values = [(1 + math.log(x)) * idf[i] for i, x in zip(v.indices.tolist(), v.values.tolist(), strict=True)]
-            norm = math.sqrt(sum(x * x for x in values)) or 1.0
-            return SparseVector(v.size, v.indices, [x / norm for x in values])
-
-        return self.model.transform(df).withColumn(self.into, weigh("tf_")).drop("tf_")
-
-
-class CharTfIdf:
-    """TfIdf over char_ngrams, counted in place: the runs of a text, some three for each character, are never written out as strings.
-
-    A run is a 64-bit key, one to one for three characters; two of n longer ones share a key with probability n * n / 2 ** 65, 3e-6 for ten million.
-    """
-
-    def __init__(self, column: str, into: str, size: int = 100_000, min_df: float = 2, max_df: float = 0.95, low: int = 3, high: int = 5):
-        if not 3 <= low <= high:
-            raise ValueError("runs have three characters at least")
-        self.column, self.into, self.size, self.min_df, self.max_df, self.low, self.high = column, into, size, min_df, max_df, low, high
-
-    def _units(self):
-        return F.regexp_replace(F.lower(text_of(self.column)), r"(?U)\s\s+", " ")
-
-    def fit(self, df: DataFrame) -> CharTfIdf:
-        low, high = self.low, self.high
-
-        def count(batches):
-            import pyarrow as pa
-
-            names, parts, held = ["key", "tf", "df"], [], 0
-            merge = lambda: _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            out = lambda rows: pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names)
-            for batch in batches:
-                for t in batch.column(0):
-                    key, tf = np.unique(_run_keys(t.as_py(), low, high), return_counts=True)
-                    parts.append((key, tf, np.ones(len(key), np.int64)))
-                    held += len(key)
-                    if held > 1_000_000:
-                        parts = [merge()]
-                        held = len(parts[0][0])
-                        if held > 500_000:
-                            yield out(parts[0])
-                            parts, held = [], 0
-            if parts:
-                yield out(merge())
-
-        n = df.count()
-        found = df.select(self._units().alias("t")).mapInArrow(count, "key long, tf long, df long").groupBy("key").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-        found = found.where((F.col("df") >= self.min_df) & (F.col("df") <= self.max_df * n))
-        # one row for each term of the vocabulary, whose size is a parameter
-        got = found.orderBy(F.desc("tf"), "key").limit(self.size).toArrow().sort_by("key")
-        self.keys, self.idf = got.column("key").to_numpy(), np.log((1 + n) / (1 + got.column("df").to_numpy())) + 1
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        keys, idf, low, high = self.keys, self.idf, self.low, self.high
-
-        @F.udf(VectorUDT())
-        def weigh(text: str) -> SparseVector:
-            key, tf = np.unique(_run_keys(text, low, high), return_counts=True)
-            at = np.searchsorted(keys, key)
-            known = at < len(keys)
-            known[known] = keys[at[known]] == key[known]
-            at, values = at[known], (1 + np.log(tf[known])) * idf[at[known]]
-            return SparseVector(len(keys), at, values / (math.sqrt(values @ values) or 1.0))
-
-        return df.withColumn(self.into, weigh(self._units()))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads their bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _run_keys(text: str, low: int, high: int) -> np.ndarray:
-    """The keys of all runs of low to high characters, repeated as they are."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(c) < low:
-        return np.empty(0, np.int64)
-    key = _mixed(c[:-2] | c[1:-1] << np.uint64(21) | c[2:] << np.uint64(42))
-    out = [key] if low == 3 else []
-    for k in range(4, min(high, len(c)) + 1):
-        key = _mixed(key[:-1] + (c[k - 1 :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        if k >= low:
-            out.append(key)
-    return np.concatenate(out).view(np.int64)
-
-
-def _summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    return key[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in counts)
-
-
 def style_matrix(df: DataFrame, columns: list[str], into: str, scales: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, float]]:
     """The columns over their population deviations as one vector, without centring; and the deviations, which scoring takes."""
     if scales is None:
@@ -181,17 +39,6 @@ def scored(model: PipelineModel, df: DataFrame, into: str = "p") -> DataFrame:
     return out.withColumn(into, vector_to_array("probability")[1]).select(*df.columns, into)
 
 
-def hashed(df: DataFrame, columns: list[str], into: str, size: int = 4096) -> DataFrame:
-    """Named features of any type, strings as indicators, in one sparse vector; values unseen in training need no care."""
-    return FeatureHasher(inputCols=columns, outputCol=into, numFeatures=size).transform(df)
-
-
-def out_of_fold(df: DataFrame, features: list[str], fold: str = "fold", **parameters) -> DataFrame:
-    """Every row's probability from a model that has not seen its fold."""
-    names = sorted(r[0] for r in df.select(fold).distinct().collect())
-    return reduce(DataFrame.unionByName, (scored(logistic(df.where(F.col(fold) != f), features, **parameters), df.where(F.col(fold) == f), "p_oof") for f in names))
-
-
 def calibrated(train: DataFrame, df: DataFrame, p: str = "p", label: str = "label") -> DataFrame:
     """df with p_platt and p_isotonic, fitted on train."""
     platt = logistic(train, [p], label, balanced=False)

@@ -6,9 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType
 
+from textloom.operators.carry import carried
+from textloom.operators.dedup import greedy
 from textloom.operators.order import positions
+from textloom.operators.store import written
 
 
 def shuffled(*cols: str, seed: int = 42) -> Column:
@@ -117,159 +120,110 @@ def leakage(splits: DataFrame, key: str, split: str = "split") -> DataFrame:
     return a.join(b, key).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def greedy_groups(groups: DataFrame, targets: dict[str, dict[str, int]], label_counts: dict[str, str], order: list[str]) -> DataFrame:
+def greedy_groups(groups: DataFrame, targets: dict[str, dict[str, int]], label_counts: dict[str, str], order: list[str], ranges: int | None = None) -> DataFrame:
     """Assigns whole groups, in order, each to the split of which it fills most of what is still wanted; the first of equal splits, so a group that fills nothing goes to the first.
 
-    label_counts names, for each label, the column with a group's rows of it. The choice depends on all choices before it, but a group fills something only while
-    one of its labels is wanted, and each that does lowers the sum of all targets: no label is wanted after as many groups that hold it. So only the first groups of
-    each label, as many as that sum, pass through an ordered scan, by their keys and counts; `order` tells groups apart.
+    label_counts names, for each label, the column with a group's rows of it. Keys and counts of the groups are walked in ranges; `order` tells groups apart.
     """
-    names = list(targets)
+    names, labels = list(targets), list(label_counts.items())
 
-    def choose(rows: list[dict]) -> list[str]:
-        left, out = {s: dict(t) for s, t in targets.items()}, []
-        for r in rows:
-            gain = {s: sum(min(max(0, left[s].get(l, 0)), r[c]) for l, c in label_counts.items()) for s in names}
-            best = max(names, key=lambda s: (gain[s], -names.index(s)))
-            for l, c in label_counts.items():
-                left[best][l] = left[best].get(l, 0) - r[c]
-            out.append(best)
-        return out
+    def choose(left: list[int], r: dict) -> str:
+        gain = [sum(min(max(0, left[s * len(labels) + k]), r[c]) for k, (_, c) in enumerate(labels)) for s in range(len(names))]
+        best = gain.index(max(gain))
+        for k, (_, c) in enumerate(labels):
+            # what is filled stays filled, so the state comes to rest
+            left[best * len(labels) + k] = max(0, left[best * len(labels) + k] - r[c])
+        return names[best]
 
-    bound = sum(n for t in targets.values() for n in t.values())
-    return _decided(groups, dict.fromkeys(label_counts.values(), bound), order, choose, "split", StringType(), F.lit(names[0]))
+    return _walked(groups, label_counts.values(), order, [targets[s].get(l, 0) for s in names for l, _ in labels], choose, "split", StringType(), ranges)
 
 
-def scored_groups(groups: DataFrame, targets: dict[str, dict[str, int]], label_counts: dict[str, str], order: list[str], priority: list[str]) -> DataFrame:
-    """As greedy_groups, by (rows still wanted of its labels, rows the split lacks in all, least overflow, the last in `priority`).
+def scored_groups(groups: DataFrame, targets: dict[str, dict[str, int]], label_counts: dict[str, str], order: list[str], priority: list[str], ranges: int | None = None) -> DataFrame:
+    """As greedy_groups, by (rows still wanted of its labels, rows the split lacks in all, least overflow, the last in `priority`)."""
+    names, labels = list(targets), list(label_counts.items())
+    want = [[targets[s].get(l, 0) for l, _ in labels] for s in names]
+    all_ = [sum(targets[s].values()) for s in names]
 
-    What a split lacks and overflows depends on every group before, so the keys and counts of all groups pass through the scan.
-    """
-
-    def choose(rows: list[dict]) -> list[str]:
-        held, out = {s: dict.fromkeys(label_counts, 0) for s in targets}, []
-        for r in rows:
-
-            def score(s: str, r: dict = r) -> tuple:
-                want = {l: targets[s].get(l, 0) for l in label_counts}
-                useful = sum(min(r[c], max(0, want[l] - held[s][l])) for l, c in label_counts.items())
-                over = sum(max(0, held[s][l] + r[c] - want[l]) for l, c in label_counts.items() if r[c])
-                return useful, max(0, sum(targets[s].values()) - sum(held[s].values())), -over, priority.index(s)
+    def choose(held: list[int], r: dict) -> str:
+        def score(s: int) -> tuple:
+            own = held[s * len(labels) : (s + 1) * len(labels)]
+            useful = sum(min(r[c], max(0, w - h)) for (_, c), w, h in zip(labels, want[s], own, strict=True))
+            over = sum(max(0, h + r[c] - w) for (_, c), w, h in zip(labels, want[s], own, strict=True) if r[c])
+            return useful, max(0, all_[s] - sum(own)), -over, priority.index(names[s])
 
-            best = max(targets, key=score)
-            for l, c in label_counts.items():
-                held[best][l] += r[c]
-            out.append(best)
-        return out
+        best = max(range(len(names)), key=score)
+        for k, (_, c) in enumerate(labels):
+            held[best * len(labels) + k] += r[c]
+        return names[best]
 
-    done = _scan(groups.select(*order, *(c for c in label_counts.values() if c not in order)), order, choose, "split", StringType())
-    return groups.join(done.select(*order, "split"), order)
+    return _walked(groups, label_counts.values(), order, [0] * (len(names) * len(labels)), choose, "split", StringType(), ranges)
 
 
-def _decided(groups: DataFrame, first: dict[str, int], order: list[str], choose, into: str, kind, default: Column) -> DataFrame:
-    """groups with `into`: what choose gives for the first groups of each column's rows, as many as `first` says, and `default` for the others."""
-    some = reduce(DataFrame.unionByName, (groups.where(F.col(c) > 0).orderBy(*order).limit(n) for c, n in first.items()))
-    some = some.select(*order, *(c for c in first if c not in order)).dropDuplicates(order)
-    done = _scan(some, order, choose, into, kind)
-    return groups.join(done.select(*order, into), order, "left").withColumn(into, F.coalesce(into, default))
+def capped_groups(groups: DataFrame, caps: dict[str, int], order: list[str], ranges: int | None = None) -> DataFrame:
+    """groups with `split`: dev for a whole group as long as no cap is passed, else train. caps bounds the sum of each named count; `order` tells groups apart."""
 
+    def choose(held: list[int], r: dict) -> str:
+        if any(h + r[c] > cap for h, (c, cap) in zip(held, caps.items(), strict=True)):
+            return "train"
+        for k, c in enumerate(caps):
+            held[k] += r[c]
+        return "dev"
 
-def _scan(table: DataFrame, order: list[str], choose, into: str, kind) -> DataFrame:
-    """One ordered pass over a table of groups; choose(records) gives a value for each."""
-    import pandas as pd
+    return _walked(groups, caps, order, [0] * len(caps), choose, "split", StringType(), ranges)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop(columns="one_").sort_values(order, kind="stable")
-        part[into] = choose(part.to_dict("records"))
-        return part
 
-    return table.withColumn("one_", F.lit(0)).groupBy("one_").applyInPandas(run, StructType([*table.schema.fields, StructField(into, kind)]))
+def groups_until(groups: DataFrame, targets: dict[str, int], order: list[str], ranges: int | None = None) -> DataFrame:
+    """groups with `selected`: taken in order while they hold rows of a label whose target is not reached. `order` tells groups apart."""
 
+    def choose(held: list[int], r: dict) -> bool:
+        helps = any(r[c] > 0 and h < t for h, (c, t) in zip(held, targets.items(), strict=True))
+        for k, (c, t) in enumerate(targets.items()) if helps else ():
+            held[k] = min(t, held[k] + r[c])
+        return helps
 
-def capped_groups(groups: DataFrame, caps: dict[str, int], order: list[str], batch: int = 100_000) -> DataFrame:
-    """groups with `split`: dev for a whole group as long as no cap is passed, else train. caps bounds the sum of each named count.
-
-    In batches of the first groups that still fit: what does not fit now never will. `order` tells groups apart; the groups in dev that hold any of
-    the counts are at most as many as the caps' sum.
-    """
-    held, dev, after = dict.fromkeys(caps, 0), [], None
-    counted = groups.where(reduce(lambda a, b: a | b, (F.col(c) > 0 for c in caps))).select(*order, *(c for c in caps if c not in order))
-    while True:
-        fits = reduce(lambda a, b: a & b, (F.col(c) <= cap - held[c] for c, cap in caps.items()))
-        left = counted.where(fits)
-        if after is not None:
-            left = left.where(F.struct(*order) > F.struct(*(F.lit(after[o]).cast(counted.schema[o].dataType).alias(o) for o in order)))
-        rows = left.orderBy(*order).limit(batch).collect()
-        for r in rows:
-            if all(held[c] + r[c] <= cap for c, cap in caps.items()):
-                for c in caps:
-                    held[c] += r[c]
-                dev.append(tuple(r[o] for o in order))
-        if len(rows) < batch:
-            break
-        after = rows[-1]
-    chosen = groups.sparkSession.createDataFrame(dev, StructType([counted.schema[o] for o in order])).withColumn("in_", F.lit(True))
-    none = reduce(lambda a, b: a & b, (F.col(c) == 0 for c in caps))
-    fits = none & F.lit(all(cap >= 0 for cap in caps.values()))
-    return groups.join(chosen, order, "left").withColumn("split", F.when(F.col("in_") | fits, "dev").otherwise("train")).drop("in_")
-
-
-def groups_until(groups: DataFrame, targets: dict[str, int], order: list[str]) -> DataFrame:
-    """groups with `selected`: taken in order while they hold rows of a label whose target is not reached.
-
-    A label is full after as many groups that hold it as its target, so no later ones are looked at. `order` tells groups apart.
-    """
+    return _walked(groups, targets, order, [0] * len(targets), choose, "selected", BooleanType(), ranges)
 
-    def choose(rows: list[dict]) -> list[bool]:
-        held, out = dict.fromkeys(targets, 0), []
-        for r in rows:
-            helps = any(r[c] > 0 and held[c] < t for c, t in targets.items())
-            for c in targets if helps else ():
-                held[c] += r[c]
-            out.append(helps)
-        return out
 
-    return _decided(groups, targets, order, choose, "selected", BooleanType(), F.lit(False))
+def _walked(groups: DataFrame, counts, order: list[str], start: list[int], choose, into: str, kind, ranges: int | None) -> DataFrame:
+    """groups with `into`, from a walk over their keys and counts."""
+    keys = groups.select(*order, *(c for c in counts if c not in order))
+    done = carried(keys, order, start, choose, into, kind, ranges)
+    return groups.join(done.select(*order, into), order)
 
 
 def unique_fill(rows: DataFrame, group: str, text: str, bucket: str, exact: str, target: int, minimums: dict[str, int], exact_limit: int, order: list[str]) -> DataFrame:
     """rows with `selected`: exact ones first, up to a limit of tries, then each bucket's minimum, then others to the target; a group or text is used once.
 
-    A try that is turned down counts towards the limit of exact ones.
+    A try that is turned down counts towards the limit of exact ones; nulls are groups and texts like others. Each of the steps is a greedy
+    choice among rows that share no group or text with those taken, in rounds (dedup.greedy), and the first of what it keeps; a step that wants few
+    rows looks at the first rows of the order only, twice as many each time until they are enough. `order` tells rows apart.
     """
-
-    def choose(table: list[dict]) -> list[bool]:
-        groups, texts, taken, counts, held = set(), set(), [False] * len(table), {}, 0
-
-        def add(k: int) -> None:
-            nonlocal held
-            r = table[k]
-            if r[group] not in groups and r[text] not in texts:
-                groups.add(r[group])
-                texts.add(r[text])
-                taken[k] = True
-                held += 1
-                counts[r[bucket]] = counts.get(r[bucket], 0) + 1
-
-        first = [k for k, r in enumerate(table) if r[exact]]
-        rest = [k for k, r in enumerate(table) if not r[exact]]
-        for k in first if exact_limit < 0 else first[:exact_limit]:
-            add(k)
-        for b, least in minimums.items():
-            for k in (k for k in rest if table[k][bucket] == b):
-                if counts.get(b, 0) >= least:
-                    break
-                add(k)
-        for k in rest:
-            if held >= target:
-                break
-            add(k)
+    key = lambda c: F.sha2(F.to_json(F.struct(F.col(c).cast("string").alias("v"))), 256)
+    own = rows.select(*order, key(group).alias("g_"), key(text).alias("t_"), F.col(bucket).alias("b_"), F.coalesce(F.col(exact), F.lit(False)).alias("e_"))
+    own = written(positions(own, order, ["e_"], "at_"), "fill")
+    first, rest = own.where("e_"), own.where("not e_")
+    taken = greedy(first if exact_limit < 0 else first.where(F.col("at_") <= exact_limit), ["g_", "t_"], "at_")
+    taken = written(taken, "taken")
+    for b, least in minimums.items():
+        taken = _filled(taken, rest.where(F.col("b_") == b), least - taken.where(F.col("b_") == b).count())
+    taken = _filled(taken, rest, target - taken.count())
+    return rows.join(taken.select(*order, F.lit(True).alias("in_")), order, "left").withColumn("selected", F.coalesce("in_", F.lit(False))).drop("in_")
+
+
+def _filled(taken: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """taken with the first n rows that share no key with it or with each other."""
+    if n <= 0:
         return taken
-
-    # keys pass through the scan, of texts their hashes
-    keys = rows.select(*order, F.col(group), F.sha2(F.col(text).cast("string"), 256).alias(text), F.col(bucket), F.col(exact))
-    done = _scan(keys, order, choose, "selected", BooleanType())
-    return rows.join(done.select(*order, "selected"), order)
+    look, all_ = 4 * n, rows.count()
+    while True:
+        some = rows if look >= all_ else rows.orderBy("at_").limit(look)
+        for k in ("g_", "t_"):
+            some = some.join(taken.select(k).distinct(), k, "left_anti")
+        more = greedy(some.select(*taken.columns), ["g_", "t_"], "at_")
+        more = written(more.orderBy("at_").limit(n), "more")
+        if look >= all_ or more.count() == n:
+            return written(taken.unionByName(more), "taken")
+        look *= 2
 
 
 def forced_train(df: DataFrame, checks: dict[str, DataFrame]) -> DataFrame:

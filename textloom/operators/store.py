@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,16 +19,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in a scratch folder and reads it back."""
+def written(df: DataFrame, name: str, by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
+    """Writes df as Parquet in a scratch folder, in a folder for each value of `by`, and reads it back."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).partitionBy(*(by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Deletes the files behind a table made by written(), once nothing reads it any more."""
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {re.sub(r"(/[^/]*=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()}:
         p = spark._jvm.org.apache.hadoop.fs.Path(folder)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
