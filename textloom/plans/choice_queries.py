@@ -1,4 +1,4 @@
-"""Queries of thresholds and rules that are chosen, pools and splits of candidates, and models over named features."""
+"""Queries of thresholds and rules that are chosen, and pools and splits of candidates."""
 
 from pyspark.sql import functions as F
 
@@ -6,7 +6,6 @@ from textloom.functions import features as X
 from textloom.functions import text as T
 from textloom.operators import candidates as K
 from textloom.operators import metrics as M
-from textloom.operators import models as D
 from textloom.operators import normalise as N
 from textloom.operators import reports as P
 from textloom.operators import rules as R
@@ -180,24 +179,3 @@ _CHANGED = _N(r"text <> trim(regexp_replace(text, '\s+', ' ', 'g'))")
 def normalised(spark, sf):
     own = cand(spark, sf).withColumn("changed", F.col("text") != T.squeeze("text"))
     return own.groupBy(F.coalesce("split", F.lit("none")).alias("split")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("changed").cast("long")), F.lit(0)).cast("long").alias("changed"))
-
-
-# models
-
-
-@query("ml04_05_07_guard")
-def guard(spark, sf):
-    """A guard over named features, strings among them, trained on one half of the candidates."""
-    own = cand(spark, sf).where("label is not null").withColumns({"delta": F.col("p_round4") - F.col("p_step7"), "bucket": N.present("bucket", default="unknown"), "generator": N.present("generator", default="unknown")})
-    own = written(own.select("id", "label", "p_step7", "p_round4", "p_guard", "delta", "bucket", "generator"), "guard")
-    named = D.hashed(own, ["bucket", "generator", "p_step7", "p_round4", "p_guard", "delta"], "x", 512)
-    model = D.logistic(named.where("id % 2 = 0"), ["x"], iterations=50)
-    return D.scored(model, named).select("id", "label", F.round("p", 6).alias("p"))
-
-
-@query("ml13_stacking")
-def stacking(spark, sf):
-    """A stacker over three runs and their differences, trained on one half."""
-    own = written(preds(spark, sf).withColumns(X.fusion_features(["step7", "tfidf", "neural"])), "stacking")
-    model = D.logistic(own.where("id % 2 = 0"), ["p_step7", "p_tfidf", "p_neural", "prob_mean", "prob_std"], iterations=50)
-    return D.scored(model, own).select("id", "label", F.round("p", 6).alias("p"))
