@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +84,47 @@ def search(df: DataFrame, rules: list[dict], condition, label: str = "label") ->
     return row.select(F.explode(each).alias("r")).select("r.*")
 
 
+def cube(df: DataFrame, on: Column, axes: dict[str, tuple[Column, str, list[float]]], by: str | None = None, label: str = "label", most: int = 20_000_000) -> DataFrame:
+    """(rule, [by,] the axes' thresholds, overrides, fixed_fn, induced_fp) of every combination of thresholds, numbered as grid() does.
+
+    An axis is a value, ">=" or "<=", and thresholds; a rule overrides the rows of `on` that pass its threshold on each axis. Nulls pass none. However many
+    rules there are, rows are looked at once: each counts in the cell of a histogram that says how many thresholds it passes on each axis, and sums of
+    the cells beyond, axis by axis, are the rules' counts. The histogram has a cell for each rule and value of `by`, `most` of them at most.
+    """
+    names, order = list(axes), {}
+    bins = []
+    for k, (name, (value, op, thresholds)) in enumerate(axes.items()):
+        # from the loosest threshold on, so that a row passes the first of them
+        order[name] = sorted(range(len(thresholds)), key=lambda i, t=thresholds, op=op: t[i] if op == ">=" else -t[i])
+        passes = [F.coalesce(((value >= F.lit(t)) if op == ">=" else (value <= F.lit(t))).cast("int"), F.lit(0)) for t in thresholds]
+        bins.append(sum(passes, F.lit(0)).alias(f"b{k}_"))
+    group = [F.col(by).alias("by_")] if by else [F.lit(None).cast("string").alias("by_")]
+    cells = df.where(on).select(*group, *bins, F.col(label).alias("y_"))
+    for k in range(len(names)):
+        cells = cells.where(F.col(f"b{k}_") > 0)
+    found = cells.groupBy("by_", *(f"b{k}_" for k in range(len(names)))).agg(F.count("*").alias("n"), F.sum(F.when(F.col("y_") == 1, 1).otherwise(0)).alias("fixed"), F.sum(F.when(F.col("y_") == 0, 1).otherwise(0)).alias("induced"))
+    shape = [len(axes[n][2]) for n in names]
+    groups = sorted((r[0] for r in df.select(by).distinct().collect()), key=lambda v: (v is not None, v)) if by else [None]
+    if math.prod(shape) * len(groups) > most:
+        raise ValueError(f"more than {most} cells")
+    table = np.zeros((len(groups), *shape, 3), np.int64)
+    place = {g: k for k, g in enumerate(groups)}
+    for r in found.collect():
+        table[(place[r["by_"]], *(r[f"b{k}_"] - 1 for k in range(len(names))))] = [r["n"], r["fixed"], r["induced"]]
+    for axis in range(1, len(names) + 1):
+        table = np.flip(np.cumsum(np.flip(table, axis), axis=axis), axis)
+        # back to the order in which the thresholds were given
+        table = np.take(table, np.argsort(order[names[axis - 1]]), axis)
+    rules = np.array(list(product(*(axes[n][2] for n in names))), float).reshape(-1, len(names))
+    flat = table.reshape(len(groups), -1, 3)
+    columns = {"rule": np.tile(np.arange(len(rules)), len(groups))}
+    if by:
+        columns[by] = np.repeat(np.array(groups, object), len(rules))
+    columns |= {n: np.tile(rules[:, k], len(groups)) for k, n in enumerate(names)} | {n: flat[:, :, k].ravel() for k, n in enumerate(("overrides", "fixed_fn", "induced_fp"))}
+    kinds = ["rule int", *([f"{by} {df.schema[by].dataType.simpleString()}"] if by else []), *(f"{n} double" for n in names), "overrides long", "fixed_fn long", "induced_fp long"]
+    return df.sparkSession.createDataFrame(pd.DataFrame(columns), ", ".join(kinds))
+
+
 def delta(df: DataFrame, before: str, after: str, by: list[str] | None = None, label: str = "label") -> DataFrame:
     """Counts of what a second prediction fixes and breaks."""
     y, a, b = F.col(label), F.col(before), F.col(after)

@@ -170,11 +170,6 @@ def softmax(spark, sf):
     return preds(spark, sf).select("id", F.round(P.softmax(F.col("p_step7") * 3, F.col("p_tfidf") * 3)[0], 9).alias("s"))
 
 
-@query("fea41_grid", "SELECT round(0.05 + k * 0.01::DOUBLE, 6) AS threshold FROM range(0, 91) t(k)")
-def grid(spark, sf):
-    return P.grid(spark, 0.05, 0.95, 0.01)
-
-
 @query("fea42_43_decision", f"SELECT c, b, CASE WHEN c >= 100000 THEN 'reached' WHEN c > b THEN 'partial_success' ELSE 'reject' END AS decision FROM (SELECT tp + tn AS c FROM (SELECT {_CONF('p_neural', 0.55)} FROM ({PREDS_SQL}))) CROSS JOIN (SELECT tp + tn AS b FROM (SELECT {_CONF('p_step7', 0.55)} FROM ({PREDS_SQL})))")
 def decision(spark, sf):
     own = preds(spark, sf)
@@ -187,11 +182,6 @@ def label_targets(spark, sf):
     return P.label_targets(preds(spark, sf).groupBy("label").agg(F.count("*").alias("n")), 0.65, 0.25)
 
 
-@query("msc12_provisional_targets", "SELECT a, CAST(CASE WHEN a >= 30 THEN 10 WHEN a <= 1 THEN a ELSE greatest(1, least(a - 1, round_even(a * 0.25::DOUBLE, 0))) END AS BIGINT) AS target FROM range(0, 45) t(a)")
-def provisional(spark, sf):
-    return spark.range(45).select(F.col("id").alias("a"), P.provisional_target("id", 20, 10, 0.25).alias("target"))
-
-
 @query("msc05_quality_accessor", f"SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN p_step7 END, -1.0) >= 0 AS known, round(coalesce(CASE WHEN id % 3 = 0 THEN p_step7 END, -1.0), 9) AS v FROM ({PREDS_SQL})")
 def accessor(spark, sf):
     own = preds(spark, sf).withColumn("q", F.struct(F.when(F.col("id") % 3 == 0, F.col("p_step7")).alias("lexical_jaccard")))
@@ -339,13 +329,6 @@ def prompt_tasks(spark, sf):
     return own.select("id", F.md5(T.fill_prompt("template", "text").cast("binary")).alias("prompt"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "kind")
 
 
-@query("txt24_parsed_limits", "SELECT domain, limit_ FROM (VALUES ('en', 3::BIGINT), ('fr', 4), ('de', -1)) t(domain, limit_)")
-def parsed_limits(spark, sf):
-    from textloom.sources.readers import parse_limits
-
-    return spark.createDataFrame(list(parse_limits("en=3, fr:4,,de=-1").items()), "domain string, limit_ long")
-
-
 # feature blocks
 
 

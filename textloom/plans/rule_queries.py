@@ -96,6 +96,17 @@ def rule_search(spark, sf):
     return R.search(ledger(spark, sf), _GRID, lambda r: R.residual_override(r | {"human_style_max": 0.9}))
 
 
+_AXES = {"t": [round(0.05 * k, 2) for k in range(20)], "d": [round(-0.9 + 0.2 * k, 1) for k in range(10)], "u": [round(0.1 * k, 1) for k in range(10, 0, -1)], "h": [0.2, 0.4, 0.6, 0.8, 1.0]}
+
+
+@query("ml25_rule_cube", f"WITH g AS (SELECT CAST(row_number() OVER (ORDER BY t, d, u DESC, h) - 1 AS INT) AS rule, t, d, u, h FROM {' CROSS JOIN '.join(f'(SELECT unnest([{", ".join(f"{v}::DOUBLE" for v in vs)}]) AS {n})' for n, vs in _AXES.items())}), o AS (SELECT rule, count(*) AS n, count(*) FILTER (label = 1) AS f, count(*) FILTER (label = 0) AS i FROM (SELECT label, new_p, delta, coalesce(p_unsafe, 1.0) AS pu, coalesce(p_human, 1.0) AS ph FROM ({_LEDGER}) WHERE step7_pred = 0 AND new_pred = 1) CROSS JOIN g WHERE new_p >= t AND delta >= d AND pu <= u AND ph <= h GROUP BY rule) SELECT rule, t, d, u, h, coalesce(n, 0) AS overrides, coalesce(f, 0) AS fixed_fn, coalesce(i, 0) AS induced_fp FROM g LEFT JOIN o USING (rule)")
+def rule_cube(spark, sf):
+    """Ten thousand rules from one aggregation."""
+    one = F.lit(1.0)
+    axes = {"t": (F.col("new_p"), ">=", _AXES["t"]), "d": (F.col("delta"), ">=", _AXES["d"]), "u": (F.coalesce("p_unsafe", one), "<=", _AXES["u"]), "h": (F.coalesce("p_human", one), "<=", _AXES["h"])}
+    return R.cube(ledger(spark, sf), (F.col("step7_pred") == 0) & (F.col("new_pred") == 1), axes)
+
+
 @query("agg34_gates", f"SELECT unnest(['accuracy', 'fp', 'recall']) AS gate, unnest([0.5, 200.0, 0.9])::DOUBLE AS required, unnest([(tp + tn)::DOUBLE / (tp + fp + fn + tn), fp::DOUBLE, tp::DOUBLE / (tp + fn)]) AS observed, unnest([(tp + tn)::DOUBLE / (tp + fp + fn + tn) >= 0.5, fp <= 200, tp::DOUBLE / (tp + fn) >= 0.9]) AS passed FROM (SELECT {_N('label = 1 AND pred_step7 = 1')} AS tp, {_N('label = 0 AND pred_step7 = 1')} AS fp, {_N('label = 1 AND pred_step7 = 0')} AS fn, {_N('label = 0 AND pred_step7 = 0')} AS tn FROM ({_ROWS}))")
 def gates(spark, sf):
     return R.gates(M.metrics(rows(spark, sf), pred="pred_step7"), {"accuracy": (">=", 0.5), "fp": ("<=", 200), "recall": (">=", 0.9)})

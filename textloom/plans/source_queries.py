@@ -1,9 +1,9 @@
 """Queries of readers and writers: what is written to a scratch folder comes back as it was."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textloom.operators.store import scratch
-
+from textloom.operators.store import scratch, settings, written
 from textloom.plans.registry import query
 from textloom.plans.views import CORPUS_SQL, PREDS_SQL, corpus, preds
 from textloom.sources import readers as R
@@ -37,6 +37,21 @@ def lenient(spark, sf):
     return _seen(R.lines(spark, [path, f"{path}-missing"]))
 
 
+@query("src01_02_numbered_lines", f"SELECT id, line, h FROM (SELECT CAST(id AS VARCHAR) AS id, row_number() OVER (ORDER BY id, k) AS line, k, md5(text) AS h FROM (SELECT id, 0 AS k, text FROM ({CORPUS_SQL}) UNION ALL SELECT id, k, text FROM ({CORPUS_SQL}) CROSS JOIN (VALUES (1), (2), (3)) b(k) WHERE CAST(id AS VARCHAR) LIKE '%7')) WHERE k = 0")
+def numbered(spark, sf):
+    """Lines in order of ids, some bad or blank, read in small ranges: a line's number in its file plus the lines of the files before."""
+    path = scratch(spark, "numbered")
+    own = corpus(spark, sf).select("id", F.to_json(F.struct(F.col("id").cast("string").alias("id"), "text")).alias("value"))
+    bad = F.array(F.col("value"), F.lit("no json"), F.lit(""), F.lit('{"id": '))
+    own.repartitionByRange(4, "id").sortWithinPartitions("id").select(F.explode(F.when(F.col("id").cast("string").like("%7"), bad).otherwise(F.array("value"))).alias("value")).write.text(path)
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "300000", "spark.sql.files.openCostInBytes": "0"}):
+        got = written(R.numbered_lines(spark, path, "id STRING, text STRING").select("file", "line", "record.*"), "numbered")
+    sizes = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    # a row for each file
+    base = sizes.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return got.join(base, "file").select("id", (F.col("line") + F.col("base")).alias("line"), F.md5(F.col("text").cast("binary")).alias("h"))
+
+
 @query("src01_bad_lines", f"SELECT 2 * count(*) AS bad FROM ({CORPUS_SQL}) WHERE CAST(id AS VARCHAR) LIKE '%7'")
 def bad_lines(spark, sf):
     path = scratch(spark, "bad")
@@ -86,24 +101,6 @@ def gzipped(spark, sf):
     return _seen(R.lines(spark, f"{path}/*.gz"))
 
 
-@query("src07_any_json", "SELECT * FROM (VALUES ('1', 'one'), ('2', 'two'), ('3', 'three'), ('4', 'four'), ('5', 'five')) t(id, text)")
-def any_json(spark, sf):
-    path = scratch(spark, "any")
-    _file(spark, f"{path}/a.json", ' {"id": "1", "text": "one"}\n')
-    _file(spark, f"{path}/b.json", '[{"id": "2", "text": "two"}, 7,\n {"id": "3", "text": "three"}]')
-    _file(spark, f"{path}/c.jsonl", '{"id": "4", "text": "four"}\nno json\n[1]\n\n{"id": "5", "text": "five"}\n')
-    _file(spark, f"{path}/d.json", "")
-    return R.any_json(spark, f"{path}/*", "id STRING, text STRING")
-
-
-@query("src08_09_files", "SELECT * FROM (VALUES ('a.json'), ('sub/b.jsonl'), ('sub/c.json.gz')) t(name)")
-def files(spark, sf):
-    path = scratch(spark, "files")
-    for name in ("a.json", "sub/b.jsonl", "sub/c.json.gz", "README.json", "sub/dataset_infos.json", "sub/x.txt", "z.jsonl"):
-        _file(spark, f"{path}/{name}", "{}")
-    return R.files(spark, path, most=3).select(F.regexp_extract("path", r"files-[0-9a-f]+/(.*)$", 1).alias("name"))
-
-
 @query("src10_11_books", f"SELECT 'T' || row_number() OVER (ORDER BY md5(text)) AS title, md5(text) AS h FROM (SELECT text FROM ({CORPUS_SQL}) WHERE length(trim(text)) > 0 AND NOT contains(text, chr(13)) ORDER BY id LIMIT 12)")
 def books(spark, sf):
     path = scratch(spark, "books")
@@ -132,21 +129,6 @@ def globbed(spark, sf):
     return both.groupBy(F.regexp_extract("file", r"/(run_\w)/[^/]*$", 1).alias("run")).agg(F.count("*").alias("n"))
 
 
-@query("src16_17_specs", "SELECT * FROM (VALUES ('-', 'my_run', 'x/y.jsonl'), ('dev', 'step7', 'a=b.jsonl'), ('dev', 'guard', 'c.jsonl')) t(split, name, path)")
-def specs(spark, sf):
-    name, path = R.parse_run(" My-Run = x/y.jsonl")
-    split, runs = R.parse_split(["dev", "step7=a=b.jsonl", " guard = c.jsonl"], ("step7", "guard"))
-    return spark.createDataFrame([("-", name, path), *((split, n, p) for n, p in runs.items())], "split string, name string, path string")
-
-
-@query("src18_rewrite_inputs", "SELECT * FROM (VALUES (1::BIGINT, 'seed.jsonl'), (2, 'llm_rewrite_a.jsonl'), (3, 'llm_rewrite_b.jsonl')) t(k, name)")
-def rewrite_inputs(spark, sf):
-    path = scratch(spark, "inputs")
-    for name in ("llm_rewrite_b.jsonl", "llm_rewrite_a.jsonl", "llm_rewrite_a_FAILED.jsonl", "seed.jsonl", "other.jsonl"):
-        _file(spark, f"{path}/{name}", "{}")
-    return spark.createDataFrame(list(enumerate(R.rewrite_inputs(spark, path, ("none.jsonl", "seed.jsonl")), 1)), "k long, name string")
-
-
 @query("snk02_03_appended_lines", f"SELECT CAST(id AS VARCHAR) AS id, 2::BIGINT AS n FROM ({CORPUS_SQL})")
 def appended(spark, sf):
     path = scratch(spark, "append")

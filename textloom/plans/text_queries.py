@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicon as L
+from textloom.functions import repair as E
 from textloom.functions import text as T
 from textloom.plans.registry import query
 from textloom.plans.views import CORPUS_SQL, REWRITES_SQL, corpus, rewrites, table
@@ -97,3 +98,12 @@ def prompt_tasks(spark, sf):
 @query("fea13_jaccard", rf"SELECT task_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END, 6) AS jaccard FROM (SELECT task_id, list_distinct(regexp_extract_all(lower(source_text), '[A-Za-z'']+')) AS a, list_distinct(regexp_extract_all(lower(rewrite_text), '[A-Za-z'']+')) AS b FROM ({REWRITES_SQL}))")
 def jaccard(spark, sf):
     return rewrites(spark, sf).select("task_id", F.round(T.jaccard("source_text", "rewrite_text"), 6).alias("jaccard"))
+
+
+@query("txt03_repaired", f"SELECT id, md5(text) AS h FROM ({CORPUS_SQL})")
+def repaired(spark, sf):
+    """Texts read wrongly once, twice or not at all come back as they were."""
+    wrong = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    k = F.col("id") % 3
+    own = corpus(spark, sf).select("id", F.when(k == 0, wrong(F.col("text"))).when(k == 1, wrong(wrong(F.col("text")))).otherwise(F.col("text")).alias("text"))
+    return E.with_repaired(own).select("id", F.md5(F.col("text").cast("binary")).alias("h"))

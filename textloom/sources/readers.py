@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -35,6 +35,30 @@ def lines(spark: SparkSession, paths: str | list[str], schema: str = CORPUS, str
     return df.withColumn(origin, F.col("_metadata.file_path")) if origin else df
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str], schema: str = CORPUS, strict: bool = False, observed: Observation | None = None) -> DataFrame:
+    """(file, line, record) of line JSON: the line's number in its file from 1 on, blank and bad lines counted, though the file is read in many ranges.
+
+    A range's lines are numbered in its task; its first number is the count of lines in the file's ranges before it, so the only table besides the scan
+    has a row for each range. Blank lines are left out. Bad ones, which are no JSON object, are left out and counted in `observed` (lines, bad);
+    in strict mode the first that a task meets ends the job, with its file and number.
+    """
+    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("at_"))
+    blocks = raw.groupBy("file", "block_").agg(F.count("*").alias("n_"), F.min("at_").alias("first_"))
+    before = F.sum("n_").over(Window.partitionBy("file").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block_", "n_", "first_", F.coalesce(before, F.lit(0)).alias("base_"))
+    within = F.col("at_") - F.col("first_")
+    # both scans deal the same ranges to the same tasks; were that ever not so, no number would be given
+    line = F.when(within.between(0, F.col("n_") - 1), F.col("base_") + within + 1).otherwise(F.raise_error(F.lit("ranges of a file changed while it was read")).cast("long"))
+    own = raw.join(blocks, ["file", "block_"]).where(F.trim("value") != "").select("file", line.alias("line"), "value")
+    record = F.from_json("value", StructType.fromDDL(schema))
+    bad = F.try_parse_json("value").isNull() | ~F.startswith(F.ltrim("value"), F.lit("{"))
+    if observed is not None:
+        own = own.observe(observed, F.count("*").alias("lines"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("bad"))
+    if strict:
+        return own.select("file", "line", F.when(bad, F.raise_error(F.concat(F.lit("no JSON object in line "), F.col("line").cast("string"), F.lit(" of "), F.col("file")))).otherwise(record).alias("record"))
+    return own.where(~bad).select("file", "line", record.alias("record"))
+
+
 def bad_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, bad): lines that are no JSON object, by file; blank lines are none."""
     own = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
