@@ -3,11 +3,11 @@
 Markup is stripped first: every block-level tag begins a new line, inline tags vanish, and elements that are never
 main text (scripts, menus, footers, forms, adverts by their class or id, and so on) leave empty lines. A line's length is its text
 outside links. The lengths of WINDOW lines of text in a row make a block, whatever markup stands between them. Text
-begins where blocks surge and ends where they dive to nothing, and all lines between are kept whole. Blocks surge over SURGE letters, or over half
-of the page's largest block if that is less; where the page marks its article, its first line is a surge, and its end a dive. A menu
-in an article dives like any other: WINDOW lines or more of nothing but links. Text outside a marked article is kept where a run
-of it is longer than all of the article, which then is but a teaser. A form or marked wrapper that the page's article or nearly all of
-its text stands in is not left out.
+begins where blocks surge and ends where they dive to nothing, and all lines between are kept whole, with up to WINDOW - 1 short
+lines right before the surge. Blocks surge over SURGE letters, or over half of the page's largest block if that is less. Where the page marks its
+article, what the blocks found there is widened to the article's ends, but for dives, and text outside is kept only where a run of it is longer than
+all of the article, which then is but a teaser; an article without a surge stays if nothing else does. A form or marked wrapper that the page's article or
+nearly all of its text stands in is not left out.
 
 Tags are read as browsers do, attribute by attribute, in time linear in the page: a `<` that no letter follows is
 text, and a tag that the page's end cuts off is none.
@@ -224,28 +224,54 @@ def blocks(plain: np.ndarray) -> np.ndarray:
 
 
 def runs(plain: np.ndarray, within: np.ndarray, marked: bool) -> np.ndarray:
-    """Which lines of text are main text, by the lines' lengths and whether they stand in an article."""
-    keep = np.zeros(len(plain), bool)
+    """Which lines of text are main text: by the lines' lengths first; whether they stand in a marked article widens or settles what the blocks found."""
     sums = blocks(plain)
     least = min(SURGE, int(sums.max()) // 2)
-    marked = marked and bool(within.any())
+    keep = np.zeros(len(plain), bool)
+    at = 0
+    while at < len(plain):
+        if sums[at] <= least or not plain[at]:
+            at += 1
+            continue
+        # short lines just before a surge, such as a title, belong to it
+        begin, to = at, at
+        while begin > max(0, at - WINDOW + 1) and plain[begin - 1] and not keep[begin - 1]:
+            begin -= 1
+        while to < len(plain) and plain[to : to + WINDOW].any():
+            to += 1
+        keep[begin:to] = True
+        at = to
+    if not (marked and within.any()):
+        return keep
     article = int(plain[within].sum())
-    edges = [0, *(np.flatnonzero(within[1:] != within[:-1]) + 1).tolist(), len(plain)] if marked else [0, len(plain)]
-    for begin, end in zip(edges, edges[1:], strict=False):
-        inside = marked and bool(within[begin])
-        at = begin
-        while at < end:
-            if not inside and not (sums[at] > least and plain[at] > 0):
-                at += 1
-                continue
-            to = at
-            # a dive: a whole window of nothing, of which an article's last lines are too few
-            while to < end and (plain[to : to + WINDOW if inside else min(to + WINDOW, end)].any() or inside and to + WINDOW > end):
-                to += 1
-            keep[at:to] = inside or not marked or plain[at:to].sum() > article
-            at = to
-            while at < end and plain[at] == 0:
-                at += 1
+    edges = [0, *(np.flatnonzero(within[1:] != within[:-1]) + 1).tolist(), len(plain)]
+    parts = list(zip(edges, edges[1:], strict=False))
+    for begin, end in parts:
+        if within[begin] and keep[begin:end].any():
+            keep[begin:end] = _undived(plain[begin:end])
+        elif not within[begin]:
+            cuts = [begin, *(np.flatnonzero(keep[begin + 1 : end] != keep[begin : end - 1]) + begin + 1).tolist(), end]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                keep[a:b] &= plain[a:b].sum() > article
+    if not keep.any():
+        for begin, end in parts:
+            if within[begin]:
+                keep[begin:end] = _undived(plain[begin:end])
+    return keep
+
+
+def _undived(plain: np.ndarray) -> np.ndarray:
+    """An article's lines but for its dives: WINDOW lines or more of nothing but links."""
+    keep = np.zeros(len(plain), bool)
+    at = 0
+    while at < len(plain):
+        to = at
+        while to < len(plain) and (plain[to : to + WINDOW].any() or to + WINDOW > len(plain)):
+            to += 1
+        keep[at:to] = True
+        at = to
+        while at < len(plain) and not plain[at]:
+            at += 1
     return keep
 
 
