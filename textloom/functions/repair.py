@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tables by which UTF-8 was read in error. The second leaves five bytes without a character; they stay what they are.
-TABLES = ("latin-1", "cp1252", "cp1251", "mac_roman")
+#: Tables by which UTF-8 was read in error. The second leaves five bytes without a character; they stay what they are. Tables that have common letters
+#: where UTF-8 has following bytes, such as cp1251 and mac_roman, would take words of some languages for errors.
+TABLES = ("latin-1", "cp1252")
 #: Wrong steps in a row that are undone.
 DEPTH = 3
 #: Decoded wrongly, UTF-8 beyond ASCII is a run of characters beyond ASCII.
