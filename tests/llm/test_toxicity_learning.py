@@ -117,3 +117,13 @@ def test_one_class_scores_its_share(pairs):
     m = T.train([t for t, _ in pairs], [y for _, y in pairs])
     share = (sum(y for _, y in pairs) + 0.5) / (len(pairs) + 1)
     assert T.Scorer(m).scores(["a b", None, "zz" * 400]).tolist() == pytest.approx([share] * 3)
+
+
+def test_training_in_tasks_is_the_training_in_one_place(spark):
+    texts, y = labelled(60, 4)
+    rows = [(k, t, c) for k, (t, c) in enumerate(zip(texts, y, strict=True))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    share = (sum(y) + 0.5) / (len(y) + 1)
+    # fit takes each document once, in order of ids
+    assert T.fit(docs, labels) == T.train(texts, y, share)

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import mix64, slices, small_batches
@@ -37,6 +38,8 @@ SAMPLE_DOCS = 2000
 #: Bytes of a window at most.
 WINDOW = 32
 PARTS, ROUNDS = 4, 6
+#: Tasks that judge a part's windows.
+SLICES = 2
 #: Windows of a document that a round's dictionaries are trained on.
 TOP = 3
 #: Bytes of the content that both dictionaries begin with, of what each adds, and of a committee's member.
@@ -207,11 +210,55 @@ def _largest(windows: Windows, saved: np.ndarray) -> np.ndarray:
     return out & (saved > 0)
 
 
-def train(texts: list[str | None], toxic: list[int], share: float | None = None) -> Model:
+class _Sample:
+    """The labelled texts of a fit by class, with their windows, cut into parts: every dictionary judges parts that it was not trained on."""
+
+    def __init__(self, bags: list[list[bytes]]):
+        self.bags, self.parts = bags, min(PARTS, *map(len, bags))
+        self.windows = [Windows(b) for b in bags]
+        self.part = [w.owner % self.parts for w in self.windows]
+
+    def member(self, side: int, p: int) -> list[np.ndarray]:
+        """Lengths of all windows, by class, by a dictionary of one part of a class."""
+        c = compressor(dictionary(_pieces(self.bags[side][p :: self.parts]), MEMBER_BYTES, 64))
+        return [w.lengths(c).astype(np.int16) for w in self.windows]
+
+    def base(self, p: int) -> bytes:
+        """Ordinary text without part p."""
+        return dictionary(_pieces([t for k, t in enumerate(self.bags[0]) if k % self.parts != p]), BASE_BYTES, 64)
+
+    def contents(self, p: int, saved: list[np.ndarray]) -> tuple[bytes, bytes]:
+        """What the toxic and the ordinary dictionary add, from windows of other parts than p."""
+        ordinary, known = (dictionary(w.cut(np.flatnonzero((own != p) & _largest(w, s))), OWN_BYTES, 16) for w, own, s in zip(self.windows, self.part, saved, strict=True))
+        return known, ordinary
+
+    def judged(self, p: int, slice_: int, base: bytes, saved: list[np.ndarray]) -> list[np.ndarray]:
+        """Savings, by class, of a slice of part p's windows by the dictionaries of the other parts."""
+        pair = Scorer(Model(base, *self.contents(p, saved))).pair
+        mine = [self.slice(side, p, slice_) for side in (0, 1)]
+        return [(w.lengths(pair[0], m) - w.lengths(pair[1], m)).astype(np.int16) for w, m in zip(self.windows, mine, strict=True)]
+
+    def slice(self, side: int, p: int, slice_: int) -> np.ndarray:
+        return np.array_split(np.flatnonzero(self.part[side] == p), SLICES)[slice_]
+
+
+#: The sample that this worker has built last, by its fit's name: rounds of a fit need not build it again.
+_held: dict[str, _Sample] = {}
+
+
+def _each(name: str, bags: list[list[bytes]], step: str, arguments: tuple):
+    """One step of the training over a sample."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = _Sample(bags)
+    return getattr(_held[name], step)(*arguments)
+
+
+def train(texts: list[str | None], toxic: list[int], share: float | None = None, run=None) -> Model:
     """A model from labelled texts, of which a share of `share` (as in the texts, if None) is toxic where it will be used.
 
     With fewer than two texts of a class, every text scores the smoothed share of toxic ones. Texts without letters or digits are
-    no evidence for either class but count in that share.
+    no evidence for either class but count in that share. run(bags) gives a function that does a list of steps; by default they are done one by one.
     """
     y = np.array(toxic, int)
     counts = [int((y == c).sum()) for c in (0, 1)]
@@ -220,30 +267,25 @@ def train(texts: list[str | None], toxic: list[int], share: float | None = None)
     bags = [[t for t in (normalised(t) for t, own in zip(texts, y, strict=True) if own == c) if t] for c in (0, 1)]
     if min(map(len, bags)) < 2:
         return Model(logistic=[math.log(share / (1 - share)), 0.0, 0.0])
-    parts = min(PARTS, *map(len, bags))
-    windows = [Windows(b) for b in bags]
-    part = [w.owner % parts for w in windows]
-    member = [[compressor(dictionary(_pieces(b[p::parts]), MEMBER_BYTES, 64)) for p in range(parts)] for b in bags]
+    sample = _Sample(bags)
+    parts, windows, part = sample.parts, sample.windows, sample.part
+    do = run(bags) if run else lambda steps, shared=(): [getattr(sample, step)(*arguments, *shared) for step, *arguments in steps]
+    # the dictionary of all ordinary text is that without a part which is none
+    first = do([("member", side, p) for side in (0, 1) for p in range(parts)] + [("base", p) for p in range(parts + 1)])
+    member, base = [first[:parts], first[parts : 2 * parts]], first[2 * parts :]
     saved = []
-    for w, own in zip(windows, part, strict=True):
-        length = np.stack([[w.lengths(c) for c in side] for side in member])
+    for k, own in enumerate(part):
+        length = np.stack([[m[k].astype(np.int64) for m in side] for side in member])
         # a member does not judge the part that it was trained on
         length[0][own[None] == np.arange(parts)[:, None]] = 1 << 30
         length[1][own[None] == np.arange(parts)[:, None]] = 0
         saved.append(length[0].min(axis=0) - length[1].max(axis=0))
-    base = [dictionary(_pieces([t for k, t in enumerate(bags[0]) if k % parts != p]), BASE_BYTES, 64) for p in range(parts + 1)]
-
-    def contents(p: int) -> tuple[bytes, bytes, bytes]:
-        ordinary, known = (dictionary(w.cut(np.flatnonzero((own != p) & _largest(w, s))), OWN_BYTES, 16) for w, own, s in zip(windows, part, saved, strict=True))
-        return base[p], known, ordinary
-
     for _ in range(ROUNDS):
         new = [np.zeros_like(s) for s in saved]
-        for p in range(parts):
-            s = Scorer(Model(*contents(p)))
-            for w, own, out in zip(windows, part, new, strict=True):
-                mine = np.flatnonzero(own == p)
-                out[mine] = w.lengths(s.pair[0], mine) - w.lengths(s.pair[1], mine)
+        steps = [("judged", p, j) for p in range(parts) for j in range(SLICES)]
+        for (_, p, j), got in zip(steps, do([(*s, base[s[1]]) for s in steps], (saved,)), strict=True):
+            for side in (0, 1):
+                new[side][sample.slice(side, p, j)] = got[side]
         saved = new
     # the last savings, all by dictionaries that have not seen the text
     count = [np.bincount(np.clip(s, LEAST, MOST) - LEAST, minlength=MOST - LEAST + 1) + 0.5 for s in saved]
@@ -256,7 +298,32 @@ def train(texts: list[str | None], toxic: list[int], share: float | None = None)
     n = [len(b) for b in bags]
     each = np.repeat([(1 - share) * sum(n) / n[0], share * sum(n) / n[1]], n)
     fitted = _logistic((x - centre) / spread, np.repeat([0.0, 1.0], n), each)
-    return Model(*contents(parts), weights.tolist(), tail.tolist(), fitted.tolist(), centre.tolist(), spread.tolist())
+    return Model(base[parts], *sample.contents(parts, saved), weights.tolist(), tail.tolist(), fitted.tolist(), centre.tolist(), spread.tolist())
+
+
+def _in_tasks(spark: SparkSession):
+    """Steps of a training as tasks of a Spark job; the sample travels once, as a broadcast."""
+
+    def begin(bags: list[list[bytes]]):
+        name, sample = uuid.uuid4().hex, spark.sparkContext.broadcast(bags)
+
+        def do(steps: list[tuple], shared: tuple = ()) -> list:
+            given = spark.sparkContext.broadcast((steps, shared))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for k in batch.column(0).to_pylist():
+                        steps, shared = given.value
+                        out = _each(name, sample.value, steps[k][0], (*steps[k][1:], *shared))
+                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(out)], pa.binary())], ["k", "out"])
+
+            got = {r.k: pickle.loads(r.out) for r in spark.range(0, len(steps), 1, len(steps)).mapInArrow(run, "k long, out binary").collect()}
+            given.destroy()
+            return [got[k] for k in range(len(steps))]
+
+        return do
+
+    return begin
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -264,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     Labels other than 0 and 1, and documents without label, are left out; a document labelled twice counts by its larger label, and
     of rows that repeat a doc_id one counts, that whose text has the smallest hash. Only the sampled ids, which the bound keeps few, go to the documents.
-    One task trains; the driver gets the model.
+    The sample comes to the driver, which deals dictionaries to train and windows to judge to tasks, round by round.
     """
     own = labels.select(F.col(doc_id).cast("long").alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     some = [own.where(F.col("y") == c).orderBy(F.xxhash64("i"), "i").limit(sample_docs) for c in (0, 1)]
@@ -272,14 +339,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1) if counts else 0.25
     known = docs.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     known = known.join(F.broadcast(some[0].unionAll(some[1])), "i").groupBy("i").agg(F.max("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b.column("i").to_pylist(), b.column("y").to_pylist(), b.column("t").to_pylist(), strict=True)]
-        rows.sort()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, _, t in rows], [c for _, c, _ in rows], share))], pa.binary())], ["model"])
-
-    got = small_batches(known).repartition(1).mapInArrow(run, "model binary").collect()
-    return pickle.loads(got[0].model) if got else train([], [], share)
+    rows = sorted((r.i, r.y, r.t) for r in known.toLocalIterator())
+    return train([t for _, _, t in rows], [y for _, y, _ in rows], share, _in_tasks(docs.sparkSession))
 
 
 def _parts(texts: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
