@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import quality as Q
 from textloom.functions import taxonomy as C
+from textloom.functions.features import drop_parts, with_surface
 from textloom.functions.text import col, jaccard, slug, space_words, strip, text_key, text_of, word_count
 from textloom.operators.normalise import hard_bucket, inferred_bucket, present
 from textloom.operators.order import positions
@@ -315,3 +316,46 @@ def pool(rows: DataFrame, forbidden: DataFrame, order: list[str], text: str = "t
     own = rows.withColumn("text_key", text_key(text)).where("text_key <> ''")
     own = own.join(forbidden.select(text_key(text).alias("text_key")).distinct(), "text_key", "left_anti")
     return first_wins(own, ["text_key"], order)
+
+
+def guard_tag(label: Column | str, bucket: Column | str, domain: Column | str, prompt: Column | str) -> Column:
+    """What a candidate of the precision guard mirrors, by its bucket, then domain or prompt."""
+    l, b, d, p = col(label), col(bucket), text_of(domain), F.lower(text_of(prompt))
+    human = (
+        F.when(b == "poetry_classical", "human_poetry_classical_mirror").when(b == "poetry_freeverse", "human_poetry_freeverse_mirror").when(b == "literary_old_prose", "human_literary_old_prose_mirror")
+        .when((b == "academic_formal") | (d == "academic"), "human_formal_academic_mirror").when(b == "literary_short_fragment", "human_short_fragment_mirror").otherwise("human_ornate_literary_mirror")
+    )
+    llm = (
+        F.when((b == "poetry_classical") | F.contains(p, F.lit("archaic")), "llm_archaic_poetry_hardpos").when((b == "poetry_freeverse") | (F.lower(d) == "poetry"), "llm_poetry_preserving_hardpos")
+        .when((b == "academic_formal") | (F.lower(d) == "academic"), "llm_natural_academic_hardpos").when((b == "literary_old_prose") | F.contains(p, F.lit("old")), "llm_old_fiction_style_hardpos")
+        .when(b == "literary_short_fragment", "llm_short_fragment_hardpos").otherwise("llm_conservative_literary_hardpos")
+    )
+    return F.when(l == 0, human).otherwise(llm)
+
+
+def guard_candidates(df: DataFrame, order: list[str], name: str = "input_name") -> DataFrame:
+    """Candidates of the precision guard: stripped text, its own bucket, tag and weight, where they come from, and the surface features, of which those that are there win."""
+    own = positions(df, order, ["label"]).withColumn("n_", F.col("position").cast("int")).withColumn("text", strip(text_of("text")))
+    own = with_surface(own.drop("bucket") if "bucket" in own.columns else own)
+    own = drop_parts(own)
+    human, file = F.col("label") == 0, text_of(name)
+    stage = F.lit("round3_local_pool")
+    # the first of them that the name holds wins
+    for word, value in (("hard_negative", "round3_hard_negative_pool"), ("academic", "round3_academic_mirror_pool"), ("poetry", "round3_poetry_mirror_pool"), ("round2", "round2_reused_pool")):
+        stage = F.when(F.contains(file, F.lit(word)), value).otherwise(stage)
+    tag = guard_tag("label", "bucket", "domain", "prompt_type")
+    g = F.when(human, "human").otherwise(present("generator", "source", default="unknown_llm"))
+    number = lambda f: F.format_string(f, "label", "n_")
+    own = own.withColumns({"round3_tag": tag, "subdomain": tag, "round3_source": file, "round3_source_stage": stage, "generator": g})
+    own = own.withColumns({
+        "id": F.coalesce(present(F.trim(F.col("id").cast("string"))), number("round3_%d_%06d")), "domain": present("domain", F.when(F.col("bucket") == "academic_formal", "academic").otherwise("literature")),
+        "source": present("source", "generator"), "pair_id": F.coalesce(present(F.col("pair_id").cast("string"), F.col("source_id").cast("string")), number("round3_pair_%d_%06d")),
+        "sample_weight": C.sample_weight("label", "bucket", "round3_tag"),
+    })
+    return own.withColumn("source_id", present(F.col("source_id").cast("string"), "id")).drop("position", "n_")
+
+
+def original_label(original: Column | str, label: Column | str) -> Column:
+    """The label that a row had before it was turned into a question of overrides, or the one it has; null where neither is 0 or 1."""
+    number = lambda c: F.when(col(c).try_cast("int").isin(0, 1), col(c).try_cast("int"))
+    return F.coalesce(number(original), number(label))

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from textloom.functions import features as X
 from textloom.functions import lexicon as L
 from textloom.functions import quality as Q
 from textloom.operators import align as A
 from textloom.operators import candidates as K
 from textloom.operators import normalise as N
-from textloom.plans.feature_queries import _has
+from textloom.plans.feature_queries import BUCKET_SQL, _has
 from textloom.plans.registry import query
 from textloom.plans.validity_queries import _META, _NW, _STRIP, TRUNCATED_SQL
 from textloom.plans.views import CORPUS_SQL, PREDS_SQL, REWRITES_SQL, RUNS, corpus, preds, probability, rewrites, run_of, run_sql, table
@@ -215,6 +216,27 @@ def teacher_like(spark, sf):
     return K.teacher_like(cand(spark, sf).where("label = 0"), 0, "pool").select("id", "round2_tag", "text", "domain", "generator", "source", "pair_id", "source_id", "round2_source")
 
 
+_GUARD_TAG = "CASE WHEN label = 0 THEN CASE WHEN bucket IN ('poetry_classical', 'poetry_freeverse', 'literary_old_prose') THEN 'human_' || bucket || '_mirror' WHEN bucket = 'academic_formal' OR domain = 'academic' THEN 'human_formal_academic_mirror' WHEN bucket = 'literary_short_fragment' THEN 'human_short_fragment_mirror' ELSE 'human_ornate_literary_mirror' END WHEN bucket = 'poetry_classical' OR contains(pt, 'archaic') THEN 'llm_archaic_poetry_hardpos' WHEN bucket = 'poetry_freeverse' OR lower(domain) = 'poetry' THEN 'llm_poetry_preserving_hardpos' WHEN bucket = 'academic_formal' OR lower(domain) = 'academic' THEN 'llm_natural_academic_hardpos' WHEN bucket = 'literary_old_prose' OR contains(pt, 'old') THEN 'llm_old_fiction_style_hardpos' WHEN bucket = 'literary_short_fragment' THEN 'llm_short_fragment_hardpos' ELSE 'llm_conservative_literary_hardpos' END"
+_GUARD_STAGE = "CASE WHEN contains(nm, 'round2') THEN 'round2_reused_pool' WHEN contains(nm, 'poetry') THEN 'round3_poetry_mirror_pool' WHEN contains(nm, 'academic') THEN 'round3_academic_mirror_pool' WHEN contains(nm, 'hard_negative') THEN 'round3_hard_negative_pool' ELSE 'round3_local_pool' END"
+_GUARD_WEIGHT = "CAST(CASE WHEN label = 1 THEN 1.0 WHEN bucket IN ('poetry_classical', 'poetry_freeverse') THEN 2.0 WHEN bucket IN ('literary_old_prose', 'literary_short_fragment') THEN 1.7 WHEN bucket = 'academic_formal' THEN 1.4 WHEN tag = 'human_ornate_literary_mirror' THEN 1.5 ELSE 1.2 END AS DOUBLE)"
+_SURFACED = BUCKET_SQL.replace(CORPUS_SQL, f"SELECT * REPLACE ({_STRIP.format('text')} AS text) FROM ({CORPUS_SQL})")
+_GUARD_ROWS = f"SELECT *, {_GUARD_TAG} AS tag, CASE WHEN label = 0 THEN 'human' ELSE coalesce(nullif(gen, ''), nullif(source, ''), 'unknown_llm') END AS g FROM (SELECT b.*, c.generator AS gen, c.input_name AS nm, lower(coalesce(c.prompt_type, '')) AS pt FROM ({_SURFACED}) b JOIN ({CAND_SQL}) c ON b.id = c.id WHERE b.label IN (0, 1))"
+
+
+@query("prj10_guard_rows", f"SELECT CAST(id AS VARCHAR) AS id, md5(text) AS h, bucket, tag AS round3_tag, {_GUARD_STAGE} AS round3_source_stage, {_GUARD_WEIGHT} AS sample_weight, g AS generator, {_OR('source', 'g')} AS source, {_OR('pair_id')} AS pair_id, CAST(id AS VARCHAR) AS source_id, {', '.join(f'round({c}, 6) AS {c}' for c in X.SURFACE)} FROM ({_GUARD_ROWS})")
+def guard_rows(spark, sf):
+    """Candidates of the precision guard with tag, weight and the fifteen surface features."""
+    own = K.guard_candidates(cand(spark, sf).where("label in (0, 1)").withColumn("source_id", F.lit(None).cast("string")), ["id"])
+    return own.select("id", F.md5(F.col("text").cast("binary")).alias("h"), "bucket", "round3_tag", "round3_source_stage", "sample_weight", "generator", "source", "pair_id", "source_id", *(F.round(c, 6).alias(c) for c in X.SURFACE))
+
+
+@query("msc30_original_labels", f"SELECT id, coalesce(CASE WHEN TRY_CAST(o AS INT) IN (0, 1) THEN TRY_CAST(o AS INT) END, CASE WHEN label IN (0, 1) THEN label END) AS original FROM (SELECT id, label, CASE id % 4 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'x' END AS o FROM ({CORPUS_SQL}))")
+def original_labels(spark, sf):
+    k = F.col("id") % 4
+    own = corpus(spark, sf).withColumn("o", F.when(k == 0, "1").when(k == 1, "2").when(k == 2, "x"))
+    return own.select("id", K.original_label("o", "label").alias("original"))
+
+
 _OLD = "CASE WHEN label = 1 AND (contains(sig, 'old_fiction') OR contains(sig, 'old_prose')) THEN 'literary_old_prose' ELSE bucket END"
 _SIG = "lower(concat_ws(' ', input_name, coalesce(round4_tag, ''), coalesce(prompt_type, ''), domain))"
 _TAG = "CASE WHEN label = 0 THEN CASE WHEN b4 = 'poetry_classical' THEN 'human_poetry_classical_mirror' WHEN b4 = 'poetry_freeverse' THEN 'human_poetry_freeverse_mirror' WHEN b4 = 'literary_old_prose' THEN 'human_literary_old_prose_mirror' WHEN b4 = 'academic_formal' OR domain = 'academic' THEN 'human_formal_academic_mirror' WHEN b4 = 'literary_short_fragment' THEN 'human_short_fragment_mirror' ELSE 'human_polished_general_mirror' END ELSE CASE WHEN b4 = 'poetry_classical' OR contains(pt, 'archaic') THEN 'llm_archaic_poetry_hardpos' WHEN b4 = 'poetry_freeverse' THEN 'llm_freeverse_poetry_hardpos' WHEN b4 = 'academic_formal' THEN 'llm_natural_academic_hardpos' WHEN b4 = 'literary_old_prose' OR contains(pt, 'old') THEN 'llm_old_prose_hardpos' WHEN b4 = 'literary_short_fragment' THEN 'llm_short_fragment_hardpos' ELSE 'llm_polished_general_hardpos' END END"
