@@ -4,10 +4,12 @@ import json
 import random
 import statistics
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import features as X
+from textloom.functions import lexicon as L
 from textloom.functions import quality as Q
 from textloom.functions import taxonomy as C
 from textloom.functions import text as T
@@ -69,6 +71,26 @@ def test_bucket(spark, text, bucket):
     assert X.with_surface(df).first().bucket == bucket
 
 
+@pytest.mark.parametrize(
+    ("text", "bucket", "rough"),
+    [
+        ("word " * 60 + "fête né alasé", "literary_old_prose", "literary_old_prose"),
+        ("word " * 60 + "éhath", "literary_old_prose", "general_prose"),
+        ("word " * 60 + "étable 1", "academic_formal", "academic_formal"),
+        ("word " * 60 + "et al.é", "general_prose", "general_prose"),
+        ("word " * 60 + "table\x0b1", "general_prose", "general_prose"),
+    ],
+)
+def test_edges_of_words_are_those_of_ascii_as_in_sql(spark, text, bucket, rough):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert X.with_surface(df).first().bucket == bucket
+    assert X.rough_domain(df).first().rough_domain == rough
+    for p, own in (("(?i)" + "|".join(L.PROMPT_LEAKAGE), "As an AIé"), (L.OLD_PROSE, text), (L.CITATION, text)):
+        want = duckdb.execute("SELECT regexp_matches(?, ?)", [own, p]).fetchone()[0]
+        assert one(spark, F.col("text").rlike(T.ascii_pattern(p)), own) == want
+    assert one(spark, Q.has_prompt_leakage("text"), "As an AIé")
+
+
 def test_existing_features_win(spark):
     df = spark.createDataFrame([("abc", 7.0, "mine"), ("abc", None, None)], "text string, length_words double, bucket string")
     a, b = X.with_surface(df).select("length_words", "bucket").collect()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicon as L
-from textloom.functions.text import contains_any, lines, space_words, text_of, word_count, words
+from textloom.functions.text import ascii_pattern, contains_any, lines, space_words, text_of, word_count, words
 
 SURFACE = ["length_chars", "length_words", "num_lines", "linebreak_ratio", "avg_line_length", "punctuation_ratio", "quote_count", "dash_count", "semicolon_count", "archaic_word_count", "academic_marker_count", "poetic_marker_count", "type_token_ratio", "sentence_length_mean", "sentence_length_std"]
 STYLE = ["length_chars", "length_words", "num_lines", "linebreak_ratio", "avg_line_length", "punctuation_ratio", "quote_count", "dash_count", "semicolon_count", "colon_count", "comma_count", "period_count", "question_count", "exclamation_count", "parenthesis_count", "digit_ratio", "uppercase_ratio", "avg_word_length", "word_length_std", "type_token_ratio", "stopword_ratio", "function_word_ratio", "sentence_length_mean", "sentence_length_std", "archaic_word_count", "academic_marker_count", "poetic_marker_count"]
@@ -85,8 +85,8 @@ def bucket() -> Column:
     return (
         F.when((nl >= 4) & (avg <= 72), verse((archaic >= 1) | (poetic >= 2)))
         .when((nw <= 55) & ((poetic >= 2) | (archaic >= 1) | ((nl >= 2) & (avg <= 90))), verse((archaic >= 1) | contains_any(low, ["sonnet", "poesy"])))
-        .when((academic >= 4) | t.rlike(L.CITATION), "academic_formal")
-        .when((archaic >= 2) | low.rlike(L.OLD_PROSE), "literary_old_prose")
+        .when((academic >= 4) | t.rlike(ascii_pattern(L.CITATION)), "academic_formal")
+        .when((archaic >= 2) | low.rlike(ascii_pattern(L.OLD_PROSE)), "literary_old_prose")
         .when(nw <= 55, "literary_short_fragment")
         .otherwise("general_prose")
     )
@@ -189,15 +189,15 @@ def rough_domain(df: DataFrame, text: str = "text") -> DataFrame:
     n, nl = F.size("words_"), F.size("lines_")
     archaic, academic, poetic = (_among(F.col("lower_"), x) for x in (L.LEDGER_ARCHAIC, L.LEDGER_ACADEMIC, L.LEDGER_POETIC))
     avg = F.aggregate("lines_", F.lit(0.0), lambda s, x: s + F.length(x)) / F.greatest(F.lit(1), nl)
-    contracted = _count(t, r"[A-Za-z]+[’']d\b")
+    contracted = _count(t, ascii_pattern(r"[A-Za-z]+[’']d\b"))
     verse = lambda c: F.when(c, "poetry_classical").otherwise("poetry_freeverse")
     case = (
         F.when((nl >= 4) & (avg <= 55), verse(archaic >= 2))
         .when((n <= 150) & ((_count(t, " {2,}") >= 2) | (archaic >= 3) | (contracted >= 3) | (poetic >= 3)), verse((archaic >= 2) | (contracted >= 3) | contains_any(low, ["poesy", "muse", "muses", "sonnet"])))
         .when((n <= 50) & ((poetic >= 1) | ((_count(t, ",") >= 2) & (_count(t, "[.!?]+") <= 1))), verse(archaic >= 1))
         .when((nl >= 2) & (n <= 45), "poetry_or_fragment")
-        .when((academic >= 5) | t.rlike(r"\([A-Z][A-Za-z]+,\s*\d{4}\)|\bet al\.\b|\bfigure\s+\d+|\btable\s+\d+"), "academic_formal")
-        .when((archaic >= 2) | low.rlike(r"\b(whilst|whereupon|thereof|hitherto|nay|alas)\b"), "literary_old_prose")
+        .when((academic >= 5) | t.rlike(ascii_pattern(r"\([A-Z][A-Za-z]+,\s*\d{4}\)|\bet al\.\b|\bfigure\s+\d+|\btable\s+\d+")), "academic_formal")
+        .when((archaic >= 2) | low.rlike(ascii_pattern(r"\b(whilst|whereupon|thereof|hitherto|nay|alas)\b")), "literary_old_prose")
         .when(n <= 45, "literary_short_fragment")
         .otherwise("general_prose")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicon as L
-from textloom.functions.text import col, contains_any, jaccard, lines, space_words, squeeze, starts_with_any, strip, text_of, word_count
+from textloom.functions.text import ascii_pattern, col, contains_any, jaccard, lines, space_words, squeeze, starts_with_any, strip, text_of, word_count
 
 DANGLING = [r"\b(and|or|but|because|while|although|though|that|which|who|whom|whose|where|when|if|to|of|in|on|at|by|with|from|into|for|as|than|the|a|an)\s*$", r"[,;:]\s*$", r"\b(can|could|would|should|may|might|must|shall|will|is|are|was|were|be|been|being|have|has|had|do|does|did)\s*$"]
 
@@ -38,7 +38,7 @@ def starts_with_meta_text(c: Column | str) -> Column:
 
 
 def has_prompt_leakage(c: Column | str) -> Column:
-    return text_of(c).rlike("(?i)" + "|".join(L.PROMPT_LEAKAGE))
+    return text_of(c).rlike("(?i)" + ascii_pattern("|".join(L.PROMPT_LEAKAGE)))
 
 
 def human_reasons(label="label", id_="id", pair="pair_id", text="text") -> Column:
