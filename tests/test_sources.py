@@ -13,6 +13,7 @@ from textloom.functions import repair as E
 from textloom.operators import reports as P
 from textloom.operators import rules as R
 from textloom.operators.store import settings
+from textloom.plans.registry import QUERIES
 from textloom.sources import readers as S
 
 
@@ -160,3 +161,11 @@ def test_a_hundred_thousand_rules_in_one_aggregation(spark):
         assert (x.overrides, x.fixed_fn, x.induced_fp) == (len(on), (on.label == 1).sum(), (on.label == 0).sum())
     with pytest.raises(ValueError, match="cells"):
         R.cube(df, F.lit(True), {c: (F.col(c), ">=", v) for c, v in grid.items()}, most=1000)
+
+
+def test_container_files_do_not_grow_with_the_table(spark, tmp_path):
+    spark.range(5000).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'src1' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(10).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["src04_containers"](spark, str(tmp_path))
+    assert got.count() == 5000 and got.select("id").distinct().count() == 5000
+    assert len(got.inputFiles()) == 5

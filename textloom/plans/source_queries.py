@@ -77,11 +77,12 @@ def labelled(spark, sf):
 
 @query("src04_containers", f"{_ROWS} FROM ({CORPUS_SQL})")
 def containers(spark, sf):
-    """A list in one file, objects with a list under different keys in others."""
+    """Lists in some files, objects with a list under different keys in others; a file holds the records of one domain and 1,024 ids in a row, so the
+    whole files that tasks hold stay as they are while their number grows with the table."""
     path = scratch(spark, "containers")
-    listed = rows(spark, sf).groupBy("domain").agg(F.to_json(F.collect_list(F.struct("id", "text", "label", "domain", "source"))).alias("j"))
+    listed = rows(spark, sf).groupBy("domain", F.expr("cast(id as long) div 1024")).agg(F.to_json(F.collect_list(F.struct("id", "text", "label", "domain", "source"))).alias("j"))
     key = F.when(F.col("domain") == "en", F.col("j")).otherwise(F.concat(F.lit('{"'), F.when(F.col("domain") == "de", "samples").otherwise("data"), F.lit('": '), "j", F.lit("}")))
-    listed.select(key.alias("value"), F.col("domain").alias("d")).write.partitionBy("d").text(path)
+    listed.select(key.alias("value"), F.col("domain").alias("d")).write.option("maxRecordsPerFile", 1).partitionBy("d").text(path)
     return _seen(R.containers(spark, path))
 
 

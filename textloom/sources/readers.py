@@ -67,7 +67,7 @@ def bad_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def containers(spark: SparkSession, paths: str | list[str], record: str = CORPUS, keys: tuple[str, ...] = ("data", "samples", "records", "items")) -> DataFrame:
-    """Records of whole-file JSON: a list, or an object with a list under the first of the keys that it has."""
+    """Records of whole-file JSON: a list, or an object with a list under the first of the keys that it has. A task holds one file at a time, whole."""
     raw = spark.read.text(paths, wholetext=True)
     listed = F.from_json("value", F.lit(f"array<struct<{_struct(record)}>>"))
     held = F.from_json("value", F.lit("struct<" + ", ".join(f"{k}: array<struct<{_struct(record)}>>" for k in keys) + ">"))
