@@ -169,3 +169,16 @@ def test_container_files_do_not_grow_with_the_table(spark, tmp_path):
     got = QUERIES["src04_containers"](spark, str(tmp_path))
     assert got.count() == 5000 and got.select("id").distinct().count() == 5000
     assert len(got.inputFiles()) == 5
+
+
+def test_files_of_numbered_lines_grow_in_number_with_the_table(spark, tmp_path):
+    spark.range(0, 5000, 1, 12).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'src1' as source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(10).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "0"}):
+        got = QUERIES["src01_02_numbered_lines"](spark, str(tmp_path))
+    want, line = {}, 0
+    for k in range(5000):
+        want[str(k)] = line + 1
+        line += 4 if str(k).endswith("7") else 1
+    assert {r["id"]: r["line"] for r in got.select("id", "line").collect()} == want
+    assert len([f for f in got.inputFiles() if f.endswith(".txt")]) > 4

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.store import scratch, settings, written
 from textloom.plans.registry import query
-from textloom.plans.views import CORPUS_SQL, PREDS_SQL, corpus, preds
+from textloom.plans.views import CORPUS_SQL, PREDS_SQL, corpus, preds, table
 from textloom.sources import readers as R
 from textloom.sources import writers as W
 
@@ -43,7 +43,9 @@ def numbered(spark, sf):
     path = scratch(spark, "numbered")
     own = corpus(spark, sf).select("id", F.to_json(F.struct(F.col("id").cast("string").alias("id"), "text")).alias("value"))
     bad = F.array(F.col("value"), F.lit("no json"), F.lit(""), F.lit('{"id": '))
-    own.repartitionByRange(4, "id").sortWithinPartitions("id").select(F.explode(F.when(F.col("id").cast("string").like("%7"), bad).otherwise(F.array("value"))).alias("value")).write.text(path)
+    # files grow in number, not in size, with the table
+    n = max(4, table(spark, sf, "documents").rdd.getNumPartitions())
+    own.repartitionByRange(n, "id").sortWithinPartitions("id").select(F.explode(F.when(F.col("id").cast("string").like("%7"), bad).otherwise(F.array("value"))).alias("value")).write.text(path)
     with settings(spark, {"spark.sql.files.maxPartitionBytes": "300000", "spark.sql.files.openCostInBytes": "0"}):
         got = written(R.numbered_lines(spark, path, "id STRING, text STRING").select("file", "line", "record.*"), "numbered")
     sizes = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
