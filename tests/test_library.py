@@ -3,8 +3,10 @@
 import json
 import random
 import statistics
+import unicodedata
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,18 @@ def test_normalisation(spark, text, want):
     assert one(spark, T.normalize_text("text"), text) == want
 
 
+def test_the_compatibility_form_takes_few_texts_at_a_time(monkeypatch):
+    odd = ["", "plain", "déjà vu", "ﬁ①ẹ́", "한한", None, "ｶﾞ½"]
+    sizes = []
+
+    column = pa.array([odd[k % 7] for k in range(1000)], pa.string())
+    monkeypatch.setattr(T.pa, "array", lambda x, *a, make=pa.array: (sizes.append(len(x)), make(x, *a))[1])
+    got = T._nfkc.func(column)
+    assert got.to_pylist() == [t and unicodedata.normalize("NFKC", t) for t in column.to_pylist()]
+    assert max(sizes) <= 64 and sum(sizes) == 1000
+    assert len(T._nfkc.func(column.slice(0, 0))) == 0
+
+
 def test_words_and_keys(spark):
     assert one(spark, T.word_count("text"), "It's o'er 3 wee-days") == 4
     assert one(spark, T.text_key("text"), "  A\tb\n C ") == "a b c"
