@@ -4,6 +4,7 @@ import json
 import random
 import statistics
 import unicodedata
+from string import punctuation
 
 import duckdb
 import pyarrow as pa
@@ -105,6 +106,17 @@ def test_edges_of_words_are_those_of_ascii_as_in_sql(spark, text, bucket, rough)
     assert one(spark, Q.has_prompt_leakage("text"), "As an AIé")
 
 
+@pytest.mark.parametrize("text", ["a\r\nb\rc\x0bd\x0ce\x1cf\x85g\u2028h\u2029 \u00a0\n\t\n\u3000i", "", "\n \n", "x\r\n\r\ny"])
+def test_lines_are_those_of_python(spark, text):
+    assert one(spark, T.lines("text"), text) == [x for x in text.splitlines() if x.strip()]
+
+
+def test_characters_are_counted_among_many(spark):
+    text = "a-–—b\\]^[!~`'\"‘’“”;;\n\n😀.,"
+    for chars in (punctuation, "'\"`‘’“”", "-–—", ";", "\n", "()"):
+        assert one(spark, X._chars(F.col("text"), chars), text) == sum(c in chars for c in text)
+
+
 def test_existing_features_win(spark):
     df = spark.createDataFrame([("abc", 7.0, "mine"), ("abc", None, None)], "text string, length_words double, bucket string")
     a, b = X.with_surface(df).select("length_words", "bucket").collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import combinations
 from string import punctuation
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicon as L
-from textloom.functions.text import ascii_pattern, contains_any, lines, space_words, text_of, word_count, words
+from textloom.functions.text import ascii_pattern, contains_any, has_word, lines, replace_many, space_words, text_of, word_count, words
 
 SURFACE = ["length_chars", "length_words", "num_lines", "linebreak_ratio", "avg_line_length", "punctuation_ratio", "quote_count", "dash_count", "semicolon_count", "archaic_word_count", "academic_marker_count", "poetic_marker_count", "type_token_ratio", "sentence_length_mean", "sentence_length_std"]
 STYLE = ["length_chars", "length_words", "num_lines", "linebreak_ratio", "avg_line_length", "punctuation_ratio", "quote_count", "dash_count", "semicolon_count", "colon_count", "comma_count", "period_count", "question_count", "exclamation_count", "parenthesis_count", "digit_ratio", "uppercase_ratio", "avg_word_length", "word_length_std", "type_token_ratio", "stopword_ratio", "function_word_ratio", "sentence_length_mean", "sentence_length_std", "archaic_word_count", "academic_marker_count", "poetic_marker_count"]
@@ -25,8 +26,10 @@ def _count(t: Column, pattern: str) -> Column:
 
 
 def _chars(t: Column, chars: str) -> Column:
-    """How many of a text's characters are among chars."""
-    return F.length(t) - F.length(F.translate(t, chars, ""))
+    """How many of a text's characters are among chars: from the bytes that go with each of a few, or with runs of many of ASCII."""
+    if len(chars) > 8 and chars.isascii():
+        return F.octet_length(t) - F.octet_length(F.regexp_replace(t, f"[{re.escape(chars)}]+", ""))
+    return reduce(lambda a, b: a + b, (((F.octet_length(t) - F.octet_length(F.replace(t, F.lit(x)))) / len(x.encode())).cast("int") for x in chars))
 
 
 def _mean(a: Column) -> Column:
@@ -45,12 +48,15 @@ def _among(ws: Column, words_: list[str]) -> Column:
     return _n(F.size(F.filter(ws, lambda w: w.isin(words_))))
 
 
+_MARKERS = sorted({*L.ARCHAIC, *L.ACADEMIC, *L.POETIC, *L.LEDGER_ARCHAIC, *L.LEDGER_ACADEMIC, *L.LEDGER_POETIC})
+
+
 def with_parts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the pieces that features share, computed once: t_, words_, lower_, lines_ and sents_."""
+    """Adds the pieces that features share, computed once: t_, words_ in lower case, marked_ (those of them that a list of markers has), lines_ and sents_."""
     df = df.withColumn("t_", text_of(text))
-    df = df.withColumns({"words_": words("t_"), "lines_": lines("t_"), "sents_": F.split("t_", "[.!?]+")})
+    df = df.withColumns({"words_": F.transform(words("t_"), lambda w: F.lower(w)), "lines_": lines("t_"), "sents_": F.split("t_", "[.!?]+")})
     lengths = F.filter(F.transform("sents_", lambda s: word_count(s).cast("double")), lambda n: n > 0)
-    return df.withColumns({"lower_": F.transform("words_", lambda w: F.lower(w)), "sents_": lengths, "lines_": F.when(F.size("lines_") > 0, F.col("lines_")).otherwise(F.array("t_"))})
+    return df.withColumns({"marked_": F.filter("words_", lambda w: w.isin(_MARKERS)), "sents_": lengths, "lines_": F.when(F.size("lines_") > 0, F.col("lines_")).otherwise(F.array("t_"))})
 
 
 def surface_features() -> dict[str, Column]:
@@ -67,15 +73,23 @@ def surface_features() -> dict[str, Column]:
         "quote_count": _n(_chars(t, "'\"`‘’“”")),
         "dash_count": _n(_chars(t, "-–—")),
         "semicolon_count": _n(_chars(t, ";")),
-        "archaic_word_count": _among(F.col("lower_"), L.ARCHAIC),
-        "academic_marker_count": _among(F.col("lower_"), L.ACADEMIC),
-        "poetic_marker_count": _among(F.col("lower_"), L.POETIC),
-        "type_token_ratio": ratio(F.size(F.array_distinct("lower_")), w),
+        "archaic_word_count": _among(F.col("marked_"), L.ARCHAIC),
+        "academic_marker_count": _among(F.col("marked_"), L.ACADEMIC),
+        "poetic_marker_count": _among(F.col("marked_"), L.POETIC),
+        "type_token_ratio": ratio(F.size(F.array_distinct("words_")), w),
         "sentence_length_mean": _mean(F.col("sents_")),
         "sentence_length_std": _std(F.col("sents_")),
     }
 
 
+def _refers(t: Column, name: str) -> Column:
+    """Whether a text cites a paper, a table or a figure. Only texts that hold what a pattern begins with meet it; edges are those of ASCII words, as in SQL."""
+    space = r"[ \t\n\f\r]"
+    numbered = [F.contains(t, F.lit(x)) & t.rlike(rf"{x}(?<!\w{x}){space}+\d") for x in ("table", "figure")]
+    author = F.contains(t, F.lit("(")) & t.rlike(rf"\([A-Z]{name}+,{space}*\d{{4}}\)")
+    return reduce(lambda a, b: a | b, numbered, author | F.contains(t, F.lit("et al.")) & t.rlike(r"et al\.(?<!\wet al\.)(?=\w)"))
+
+
 def bucket() -> Column:
     """The six-way bucket of a text, from its surface features."""
     t, low = F.col("t_"), F.lower("t_")
@@ -85,8 +99,8 @@ def bucket() -> Column:
     return (
         F.when((nl >= 4) & (avg <= 72), verse((archaic >= 1) | (poetic >= 2)))
         .when((nw <= 55) & ((poetic >= 2) | (archaic >= 1) | ((nl >= 2) & (avg <= 90))), verse((archaic >= 1) | contains_any(low, ["sonnet", "poesy"])))
-        .when((academic >= 4) | t.rlike(ascii_pattern(L.CITATION)), "academic_formal")
-        .when((archaic >= 2) | low.rlike(ascii_pattern(L.OLD_PROSE)), "literary_old_prose")
+        .when((academic >= 4) | _refers(t, "[A-Za-z-]"), "academic_formal")
+        .when((archaic >= 2) | has_word(low, re.findall("[a-z]+", L.OLD_PROSE.replace(r"\b", ""))), "literary_old_prose")
         .when(nw <= 55, "literary_short_fragment")
         .otherwise("general_prose")
     )
@@ -104,7 +118,7 @@ def with_surface(df: DataFrame, text: str = "text", keep_existing: bool = True)
 
 
 def drop_parts(df: DataFrame) -> DataFrame:
-    return df.drop("t_", "words_", "lower_", "lines_", "sents_")
+    return df.drop("t_", "words_", "marked_", "lines_", "sents_")
 
 
 def style_features() -> dict[str, Column]:
@@ -112,7 +126,7 @@ def style_features() -> dict[str, Column]:
     t, w = F.col("t_"), F.size("words_")
     chars = F.greatest(F.lit(1), F.length("t_"))
     sizes = F.transform("words_", lambda x: F.length(x).cast("double"))
-    function = F.when(w > 0, _among(F.col("lower_"), L.FUNCTION_WORDS) / w).otherwise(0.0)
+    function = F.when(w > 0, _among(F.col("words_"), L.FUNCTION_WORDS) / w).otherwise(0.0)
     return {
         "colon_count": _n(_chars(t, ":")),
         "comma_count": _n(_chars(t, ",")),
@@ -142,7 +156,7 @@ def shape_features(per_letter: bool = True) -> dict[str, Column]:
         "paren_count": _n(_chars(t, "()")),
         "long_word_ratio": F.size(F.filter("words_", lambda x: F.length(x) >= 9)) / w,
         "avg_word_len": F.aggregate("words_", F.lit(0.0), lambda s, x: s + F.length(x)) / w,
-        "first_person_count": _among(F.col("lower_"), L.FIRST_PERSON),
+        "first_person_count": _among(F.col("words_"), L.FIRST_PERSON),
         "quote_count_raw": _n(_chars(t, "'\"`‘’“”")),
     }
 
@@ -187,7 +201,7 @@ def rough_domain(df: DataFrame, text: str = "text") -> DataFrame:
     df = with_parts(df, text)
     t, low = F.col("t_"), F.lower("t_")
     n, nl = F.size("words_"), F.size("lines_")
-    archaic, academic, poetic = (_among(F.col("lower_"), x) for x in (L.LEDGER_ARCHAIC, L.LEDGER_ACADEMIC, L.LEDGER_POETIC))
+    archaic, academic, poetic = (_among(F.col("marked_"), x) for x in (L.LEDGER_ARCHAIC, L.LEDGER_ACADEMIC, L.LEDGER_POETIC))
     avg = F.aggregate("lines_", F.lit(0.0), lambda s, x: s + F.length(x)) / F.greatest(F.lit(1), nl)
     contracted = _count(t, ascii_pattern(r"[A-Za-z]+[’']d\b"))
     verse = lambda c: F.when(c, "poetry_classical").otherwise("poetry_freeverse")
@@ -196,8 +210,8 @@ def rough_domain(df: DataFrame, text: str = "text") -> DataFrame:
         .when((n <= 150) & ((_count(t, " {2,}") >= 2) | (archaic >= 3) | (contracted >= 3) | (poetic >= 3)), verse((archaic >= 2) | (contracted >= 3) | contains_any(low, ["poesy", "muse", "muses", "sonnet"])))
         .when((n <= 50) & ((poetic >= 1) | ((_count(t, ",") >= 2) & (_count(t, "[.!?]+") <= 1))), verse(archaic >= 1))
         .when((nl >= 2) & (n <= 45), "poetry_or_fragment")
-        .when((academic >= 5) | t.rlike(ascii_pattern(r"\([A-Z][A-Za-z]+,\s*\d{4}\)|\bet al\.\b|\bfigure\s+\d+|\btable\s+\d+")), "academic_formal")
-        .when((archaic >= 2) | low.rlike(ascii_pattern(r"\b(whilst|whereupon|thereof|hitherto|nay|alas)\b")), "literary_old_prose")
+        .when((academic >= 5) | _refers(t, "[A-Za-z]"), "academic_formal")
+        .when((archaic >= 2) | has_word(low, ["whilst", "whereupon", "thereof", "hitherto", "nay", "alas"]), "literary_old_prose")
         .when(n <= 45, "literary_short_fragment")
         .otherwise("general_prose")
     )

@@ -38,7 +38,8 @@ def starts_with_meta_text(c: Column | str) -> Column:
 
 
 def has_prompt_leakage(c: Column | str) -> Column:
-    return text_of(c).rlike("(?i)" + ascii_pattern("|".join(L.PROMPT_LEAKAGE)))
+    """Only texts that hold letters of a pattern meet them all."""
+    return contains_any(F.lower(text_of(c)), ["as an ai", "i cannot", "i can't", "sure", "here is ", "rewritten ", "return only"]) & text_of(c).rlike("(?i)" + ascii_pattern("|".join(L.PROMPT_LEAKAGE)))
 
 
 def human_reasons(label="label", id_="id", pair="pair_id", text="text") -> Column:
