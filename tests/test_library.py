@@ -16,6 +16,7 @@ from textloom.functions import lexicon as L
 from textloom.functions import quality as Q
 from textloom.functions import taxonomy as C
 from textloom.functions import text as T
+from textloom.plans import registry as R
 from textloom.operators import align as A
 from textloom.operators import dedup as D
 from textloom.operators import metrics as M
@@ -106,6 +107,35 @@ def test_edges_of_words_are_those_of_ascii_as_in_sql(spark, text, bucket, rough)
     assert one(spark, Q.has_prompt_leakage("text"), "As an AIé")
 
 
+BUCKETED = ["bucket_distribution", "fea02_bucket", "fea03_kept_buckets", "fea17_22_taxonomy_weight", "fea21_inferred_bucket", "fea26_rough_domain", "fea37_precision_guard", "fea38_residual_override", "fea39_routed_threshold", "flt15_quality_flags", "flt29_policy_override", "msc18_source_buckets"]
+
+
+@pytest.fixture(scope="module")
+def edged(spark, tmp_path_factory):
+    """Documents whose buckets hang on edges of words beside letters of other scripts, each of them eight times with other ids."""
+    path, n = tmp_path_factory.mktemp("edged"), 0
+    rows = []
+    for _ in range(8):
+        for mark in ("é", "_", "1", "'", "-", " ", "ß"):
+            for w in ("alas", "hath", "ere", "nay", "table 1", "figure\n22", "et al.", "(Smith, 2020)", "here is the rewrite", "As an AI"):
+                for own in (f"{mark}{w}", f"{w}{mark}", f"{mark}{w}{mark}", f"é{w}é {w}"):
+                    rows.append((n, "word " * (60 if n % 3 else 20) + own + (" semantic" * (n % 5)), "en" if n % 2 else "fr", f"src{n % 7}", 1))
+                    n += 1
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(k, k // 3 % 2, 0) for k in range(n)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", BUCKETED)
+def test_queries_over_buckets_have_the_edges_of_their_sql(spark, edged, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{edged}/{t}.parquet/*.parquet'")
+    got, want = R.QUERIES[name](spark, edged), con.sql(R.SQL[name])
+    at = [want.columns.index(c) for c in got.columns]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
+
+
 @pytest.mark.parametrize("text", ["a\r\nb\rc\x0bd\x0ce\x1cf\x85g\u2028h\u2029 \u00a0\n\t\n\u3000i", "", "\n \n", "x\r\n\r\ny"])
 def test_lines_are_those_of_python(spark, text):
     assert one(spark, T.lines("text"), text) == [x for x in text.splitlines() if x.strip()]
